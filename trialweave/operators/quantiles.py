@@ -1,11 +1,11 @@
 """Exact grouped quantiles (linear interpolation) that survive a heavy group.
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one
-aggregation buffer.  Groups up to ``group_limit`` rows use it.  Larger groups are
-narrowed by counting: equal-width bins between the group's minimum and maximum are
-counted with map-side combine, only bins that hold a wanted rank stay, and the step
-repeats inside those bins.  What is left is ranked exactly, so both ways give the
-same numbers.
+aggregation buffer.  Here a mergeable sketch of fixed size first brackets every wanted
+quantile between two values.  A second pass counts: values outside all brackets only
+add to a counter, values inside keep themselves with their count, and both combine
+map-side.  What reaches one task per group is the content of the brackets, a fixed
+small share of the group, and the wanted ranks are read off exactly.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUP_LIMIT = 1_000_000
-BINS = 1024
+ACCURACY = 10_000
+# Brackets reach this many times the sketch's rank error to each side.
+SLACK = 4
 
 
 def exact_quantiles(
@@ -25,9 +26,7 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probabilities: dict[str, float],
-    group_limit: int = GROUP_LIMIT,
-    bins: int = BINS,
-    levels: int = 2,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row per key with one column per named probability.
 
@@ -35,135 +34,97 @@ def exact_quantiles(
     value give no row.
     """
     keys = list(keys)
+    wanted = sorted(probabilities.items(), key=lambda item: item[1])
     data = df.select(*keys, F.col(value).cast("double").alias("__v")).where(
         F.col("__v").isNotNull() & ~F.isnan("__v")
     )
-    extent = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
+    margin = SLACK / accuracy
+    edges = [e for _, p in wanted for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = data.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.min("__v").alias("__min"),
+        F.max("__v").alias("__max"),
+        F.percentile_approx("__v", F.array(*[F.lit(e) for e in edges]), F.lit(accuracy)).alias("__e"),
     )
-    small = extent.where(F.col("__n") <= group_limit).select(*keys)
-    large = extent.where(F.col("__n") > group_limit)
-
-    direct = (
-        data.join(small, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(*[F.percentile("__v", F.lit(p)).alias(n) for n, p in probabilities.items()])
-    )
-    narrowed = _by_counting(data, keys, large, probabilities, bins, levels)
-    return direct.unionByName(narrowed)
-
-
-def _wanted(probabilities: dict[str, float], size: str) -> list[tuple[str, Column, Column]]:
-    out = []
-    for name, p in probabilities.items():
-        at = F.lit(float(p)) * (F.col(size) - 1)
-        out.append((name, F.floor(at), F.ceil(at)))
-    return out
-
-
-def _by_counting(data, keys, large, probabilities, bins, levels):
-    wanted = _wanted(probabilities, "__n")
-
-    def holds_wanted(start: Column, size: Column) -> Column:
-        hits = [
-            (rank >= start) & (rank < start + size)
-            for _, lo, hi in wanted
-            for rank in (lo, hi)
-        ]
-        return reduce(lambda a, b: a | b, hits)
-
-    segments = large.select(
+    # Interpolation needs a neighbour, so brackets at the ends reach the extremes.
+    brackets = sketch.select(
         *keys,
-        F.lit("").alias("__seg"),
-        F.lit(0).cast("long").alias("__before"),
         "__n",
-        "__lo",
-        "__hi",
+        *[
+            (F.col("__min") if p <= margin else F.col("__e")[2 * i]).alias(f"__lo{i}")
+            for i, (_, p) in enumerate(wanted)
+        ],
+        *[
+            (F.col("__max") if p >= 1 - margin else F.col("__e")[2 * i + 1]).alias(f"__hi{i}")
+            for i, (_, p) in enumerate(wanted)
+        ],
     )
-    rows = data.withColumn("__seg", F.lit(""))
-    for _ in range(levels):
-        width = F.col("__hi") - F.col("__lo")
-        slot = F.when(
-            width > 0,
-            F.least(
-                F.floor((F.col("__v") - F.col("__lo")) / width * bins), F.lit(bins - 1)
-            ),
-        ).otherwise(F.lit(0).cast("long"))
-        placed = rows.join(
-            segments.select(*keys, "__seg", "__lo", "__hi"), [*keys, "__seg"]
-        ).withColumn("__bin", slot)
-        histogram = placed.groupBy(*keys, "__seg", "__bin").agg(
-            F.count(F.lit(1)).alias("__size"),
-            F.min("__v").alias("__blo"),
-            F.max("__v").alias("__bhi"),
-        )
-        inside = (
-            Window.partitionBy(*keys, "__seg")
-            .orderBy("__bin")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        next_seg = F.concat_ws("/", "__seg", F.col("__bin").cast("string"))
-        segments = (
-            histogram.join(segments.select(*keys, "__seg", "__before", "__n"), [*keys, "__seg"])
-            .withColumn(
-                "__before",
-                F.col("__before") + F.coalesce(F.sum("__size").over(inside), F.lit(0)),
-            )
-            .where(holds_wanted(F.col("__before"), F.col("__size")))
-            .select(
-                *keys,
-                next_seg.alias("__seg"),
-                "__before",
-                "__n",
-                F.col("__blo").alias("__lo"),
-                F.col("__bhi").alias("__hi"),
-            )
-        )
-        rows = placed.select(*keys, next_seg.alias("__seg"), "__v")
-
-    inside = (
-        Window.partitionBy(*keys, "__seg")
-        .orderBy("__v")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    span = range(len(wanted))
+    inside = reduce(
+        lambda a, b: a | b,
+        [(F.col("__v") >= F.col(f"__lo{i}")) & (F.col("__v") <= F.col(f"__hi{i}")) for i in span],
     )
-    ranked = (
-        rows.join(segments, [*keys, "__seg"])
-        .groupBy(*keys, "__seg", "__before", "__n", "__v")
-        .agg(F.count(F.lit(1)).alias("__size"))
-        .withColumn(
-            "__start", F.col("__before") + F.coalesce(F.sum("__size").over(inside), F.lit(0))
+    passed = reduce(
+        lambda a, b: a + b, [(F.col("__v") > F.col(f"__hi{i}")).cast("int") for i in span]
+    )
+    counted = (
+        data.join(brackets, keys)
+        .select(
+            *keys,
+            "__n",
+            passed.alias("__gap"),
+            inside.alias("__in"),
+            F.when(inside, F.col("__v")).alias("__v"),
         )
-        .where(holds_wanted(F.col("__start"), F.col("__size")))
+        .groupBy(*keys, "__n", "__gap", "__in", "__v")
+        .agg(F.count(F.lit(1)).alias("__size"))
+    )
+    walk = (
+        Window.partitionBy(*keys)
+        .orderBy("__gap", "__in", "__v")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
+    ranked = counted.withColumn("__start", F.coalesce(F.sum("__size").over(walk), F.lit(0)))
 
     def at(rank: Column) -> Column:
-        covers = (rank >= F.col("__start")) & (rank < F.col("__start") + F.col("__size"))
+        covers = (
+            F.col("__in")
+            & (rank >= F.col("__start"))
+            & (rank < F.col("__start") + F.col("__size"))
+        )
         return F.max(F.when(covers, F.col("__v")))
 
+    def place(p: float) -> Column:
+        return F.lit(float(p)) * (F.col("__n") - 1)
+
     picked = ranked.groupBy(*keys, "__n").agg(
-        *[at(lo).alias(f"__a_{name}") for name, lo, _ in wanted],
-        *[at(hi).alias(f"__b_{name}") for name, _, hi in wanted],
+        *[at(F.floor(place(p))).alias(f"__a{i}") for i, (_, p) in enumerate(wanted)],
+        *[at(F.ceil(place(p))).alias(f"__b{i}") for i, (_, p) in enumerate(wanted)],
     )
-    out = []
-    for name, p in probabilities.items():
-        place = F.lit(float(p)) * (F.col("__n") - 1)
-        part = place - F.floor(place)
-        out.append(
-            (F.col(f"__a_{name}") + (F.col(f"__b_{name}") - F.col(f"__a_{name}")) * part).alias(name)
+    out = {}
+    for i, (name, p) in enumerate(wanted):
+        low, high = F.col(f"__a{i}"), F.col(f"__b{i}")
+        part = place(p) - F.floor(place(p))
+        # A rank outside its bracket would mean a broken sketch: fail, never guess.
+        out[name] = (
+            F.when(low.isNull() | high.isNull(), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
+            .when(part == 0, low)
+            .otherwise(low + (high - low) * part)
+            .alias(name)
         )
-    return picked.select(*keys, *out)
+    return picked.select(*keys, *[out[name] for name in probabilities])
 
 
 def robust_z(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, group_limit: int = GROUP_LIMIT
+    df: DataFrame, keys: Sequence[str], value: str, name: str, accuracy: int = ACCURACY
 ) -> DataFrame:
     """Add (x - median) / (1.4826 x MAD); zero where that scale is at most epsilon."""
     keys = list(keys)
-    center = exact_quantiles(df, keys, value, {"__median": 0.5}, group_limit)
+    center = exact_quantiles(df, keys, value, {"__median": 0.5}, accuracy)
     centered = df.join(center, keys).withColumn(
         "__dev", F.abs(F.col(value) - F.col("__median"))
     )
-    spread = exact_quantiles(centered, keys, "__dev", {"__mad": 0.5}, group_limit)
+    spread = exact_quantiles(centered, keys, "__dev", {"__mad": 0.5}, accuracy)
     scale = F.lit(MAD_SCALE) * F.col("__mad")
     return (
         centered.join(spread, keys)

@@ -1,6 +1,14 @@
 """Every operator as a named query over the given tables."""
 
-from trialweave.plans import filters, scalars  # noqa: F401
+from trialweave.plans import (  # noqa: F401
+    aggregates,
+    decoding,
+    filters,
+    joins,
+    scalars,
+    signals,
+    windows,
+)
 from trialweave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
