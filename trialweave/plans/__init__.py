@@ -2,7 +2,9 @@
 
 from trialweave.plans import (  # noqa: F401
     aggregates,
+    decisions,
     decoding,
+    files,
     filters,
     joins,
     scalars,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.functions.hashing import content_hash
@@ -21,9 +21,21 @@ def sequenced_events(events: DataFrame, existing: DataFrame, run: str, order: st
     )
 
 
-def append_events(events: DataFrame, path: str, run: str) -> None:
-    """Append JSON lines below one folder per run."""
-    events.write.mode("append").partitionBy(run).json(path)
+LOG_BUCKETS = 64
+
+
+def append_events(events: DataFrame, path: str, run: str, buckets: int = LOG_BUCKETS) -> None:
+    """Append JSON lines below one folder per bucket of runs.
+
+    Buckets keep a run's lines in one folder, so reading a run is a pruned scan,
+    without a folder and a file for each of many small runs.
+    """
+    bucket = F.pmod(F.xxhash64(run), F.lit(buckets)).cast("int")
+    events.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").json(path)
+
+
+def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, bucket int").json(path)
 
 
 def write_once(df: DataFrame, path: str) -> None:
