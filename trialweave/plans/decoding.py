@@ -364,7 +364,24 @@ def gj11_confirmation(spark, sf):
     return search.confirm(locks, evaluated, earlier)
 
 
-@query("gj10_guided_order")
+GUIDED_SQL = f"""
+    {TRIAL_SQL}, ex AS (SELECT trial_id, subject_id, label, c.c AS ch, unnest(range(32)) AS i, unnest(CASE c.c WHEN 0 THEN x0 ELSE x1 END) AS v FROM ch, (VALUES (0), (1)) c(c)),
+    ct AS (SELECT *, (v - avg(v) OVER (PARTITION BY trial_id, ch)) * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS z FROM ex),
+    ft AS (SELECT trial_id, subject_id, label, ch, b.b AS bin, sum(z * cos(2 * pi() * b.b * i / 32)) AS re, sum(z * sin(2 * pi() * b.b * i / 32)) AS im FROM ct, (SELECT range AS b FROM range(2, 8)) b GROUP BY ALL),
+    ps AS (SELECT *, 2 * (re * re + im * im) / (128.0 * (SELECT sum((0.5 - 0.5 * cos(2 * pi() * range / 32)) ** 2) FROM range(32))) AS p FROM ft),
+    bd(band, lo, hi) AS (VALUES ('mu', 2, 3), ('beta', 4, 7)),
+    bp AS (SELECT trial_id, subject_id, label, ch, band, ln((sum(p) - (sum(CASE WHEN bin IN (lo, hi) THEN p END)) / 2) * 4.0 + 1e-12) AS f FROM ps JOIN bd ON bin BETWEEN lo AND hi GROUP BY ALL),
+    ms AS (SELECT subject_id, band, ch, label, avg(f) AS m, var_pop(f) AS v FROM bp GROUP BY ALL),
+    ef AS (SELECT a.subject_id, a.band, a.ch, abs((b.m - a.m) / sqrt((a.v + b.v) / 2 + 1e-12)) AS e FROM ms a JOIN ms b ON a.subject_id = b.subject_id AND a.band = b.band AND a.ch = b.ch AND a.label = 'a' AND b.label = 'b'),
+    sm AS (SELECT subject_id, band, quantile_cont(e, 0.5) AS med, max(e) AS mx FROM ef GROUP BY 1, 2),
+    ch2 AS (SELECT m.subject_id, m.mx >= b.mx AS mu_first, CASE WHEN m.mx >= b.mx THEN m.med / m.mx ELSE b.med / b.mx END AS ratio FROM sm m JOIN sm b ON m.subject_id = b.subject_id AND m.band = 'mu' AND b.band = 'beta'),
+    pl(pb, k) AS (VALUES (0, 'first'), (1, '8-30'), (2, '4-40'), (3, 'second'))
+    SELECT subject_id, (2 * pb + j.j + 1)::INTEGER AS place, CASE WHEN (ratio >= 0.55) = (j.j = 0) THEN 'bandpower_lda-' ELSE 'csp_lda-' END || CASE k WHEN 'first' THEN CASE WHEN mu_first THEN '8-13' ELSE '13-30' END WHEN 'second' THEN CASE WHEN mu_first THEN '13-30' ELSE '8-13' END ELSE k END AS pipeline_id, round(ratio, 6) AS effect_ratio
+    FROM ch2, pl, (VALUES (0), (1)) j(j)
+"""
+
+
+@query("gj10_guided_order", f"WITH {GUIDED_SQL}")
 def gj10_guided_order(spark, sf):
     """Measured profile of each subject to its eight ranked candidates."""
     rows = (
