@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from trialweave.functions import kernels
 from trialweave.functions.hashing import content_hash
 from trialweave.functions.parameters import BANDS
-from trialweave.operators.checks import violations
+from trialweave.operators.checks import Rule, failed_rules, violations
 from trialweave.operators.ordered import hash_slice, ordered_position
 from trialweave.session import materialise
 
@@ -88,14 +88,11 @@ def configuration_hash() -> Column:
 # --- guards ---------------------------------------------------------------------
 
 
-def decoding_faults(summaries: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:
-    """(subject_id, rule_id) for subjects the executor refuses.
+def subject_facts(summaries: DataFrame) -> DataFrame:
+    """One row per subject: its two labels, their trial counts, and signal shape.
 
     Works on trial summaries, so the raw samples are read once only.
     """
-    most_folds = max(c.cv_folds for c in candidates)
-    highest = max(c.high for c in candidates)
-    needed = max(c.csp_components for c in candidates)
     shape = ("sfreq", "channels", "width")
     per_label = summaries.groupBy("subject_id", "label").agg(
         F.count(F.lit(1)).alias("n"),
@@ -103,37 +100,61 @@ def decoding_faults(summaries: DataFrame, candidates: Sequence[Candidate]) -> Da
         *[F.min(c).alias(f"{c}_lo") for c in shape],
         *[F.max(c).alias(f"{c}_hi") for c in shape],
     )
-    facts = per_label.groupBy("subject_id").agg(
+    return per_label.groupBy("subject_id").agg(
         F.count(F.lit(1)).alias("labels"),
-        F.min("n").alias("fewest"),
+        F.min("label").alias("class_0"),
+        F.max("label").alias("class_1"),
+        F.min_by("n", "label").alias("n_0"),
+        F.max_by("n", "label").alias("n_1"),
         F.bool_and("finite").alias("finite"),
         *[F.min(f"{c}_lo").alias(f"{c}_lo") for c in shape],
         *[F.max(f"{c}_hi").alias(f"{c}_hi") for c in shape],
     )
+
+
+def refusal_rules(candidates: Sequence[Candidate]) -> list[Rule]:
+    """What a subject's facts must meet before any candidate runs."""
+    most_folds = max(c.cv_folds for c in candidates)
+    highest = max(c.high for c in candidates)
+    needed = max(c.csp_components for c in candidates)
     same = (
         (F.col("sfreq_lo") == F.col("sfreq_hi"))
         & (F.col("channels_lo") == F.col("channels_hi"))
         & (F.col("width_lo") == F.col("width_hi"))
     )
-    return violations(
-        facts,
-        ["subject_id"],
-        [
-            ("two_labels", F.col("labels") == 2),
-            ("label_has_a_trial_per_fold", F.col("fewest") >= most_folds),
-            ("samples_finite", F.col("finite")),
-            ("one_signal_shape", same),
-            ("band_below_nyquist", F.col("sfreq_lo") / 2 > highest),
-            ("samples_cover_padding", F.col("width_lo") > kernels.PAD),
-            ("components_within_channels", F.col("channels_lo") >= needed),
-        ],
-    )
+    return [
+        ("two_labels", F.col("labels") == 2),
+        ("label_has_a_trial_per_fold", F.least("n_0", "n_1") >= most_folds),
+        ("samples_finite", F.col("finite")),
+        ("one_signal_shape", same),
+        ("band_below_nyquist", F.col("sfreq_lo") / 2 > highest),
+        ("samples_cover_padding", F.col("width_lo") > kernels.PAD),
+        ("components_within_channels", F.col("channels_lo") >= needed),
+    ]
+
+
+def decoding_faults(summaries: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:
+    """(subject_id, rule_id) for subjects the executor refuses."""
+    return violations(subject_facts(summaries), ["subject_id"], refusal_rules(candidates))
 
 
 def accepted(summaries: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:
-    """Summaries of subjects without a fault."""
-    bad = decoding_faults(summaries, candidates).select("subject_id").distinct()
-    return summaries.join(bad, "subject_id", "left_anti")
+    """Rows of subjects without a fault, with ``class`` and the class's trial count.
+
+    Class 0 is the lower label.  One join with the per-subject facts does all three.
+    """
+    good = (
+        subject_facts(summaries)
+        .where(F.size(failed_rules(refusal_rules(candidates))) == 0)
+        .select("subject_id", "class_0", "n_0", "n_1")
+    )
+    first = F.col("label") == F.col("class_0")
+    return (
+        summaries.join(good, "subject_id")
+        .withColumn("class", F.when(first, 0).otherwise(1))
+        .withColumn("class_trials", F.when(first, F.col("n_0")).otherwise(F.col("n_1")))
+        .drop("class_0", "n_0", "n_1")
+    )
 
 
 # --- filtering ------------------------------------------------------------------
@@ -186,38 +207,37 @@ def band_rows(summaries: DataFrame) -> DataFrame:
 # --- folds ----------------------------------------------------------------------
 
 
+def fold_of_place(place: Column, size: Column, folds: int) -> Column:
+    """Part number of a place (from 1) when ``size`` places are cut into even parts.
+
+    Parts of size q + 1 come first, r of them, as an even split does.
+    """
+    q, r, at = F.floor(size / folds), size % folds, place - 1
+    large = r * (q + 1)
+    fold = F.when(at < large, F.floor(at / (q + 1))).otherwise(r + F.floor((at - large) / q))
+    return F.when(q > 0, fold).otherwise(at).cast("int")
+
+
 def stratified_folds(
-    trials: DataFrame, keys: Sequence[str], label: str, trial: str, folds: int, seed: int
+    trials: DataFrame, keys: Sequence[str], trial: str, size: str, folds: int, seed: int
 ) -> DataFrame:
-    """Add ``fold``: hashed order within (keys, label) cut into near-equal parts.
+    """Add ``fold``: hashed order within ``keys`` cut into near-equal parts.
 
-    The order hash spreads evenly, so its first digits are the slices of the scan and
-    a subject with most of the trials is still ranked by many tasks.
+    ``keys`` name the stratum (subject and class), ``size`` its number of trials.  The
+    order hash spreads evenly, so its first digits are the slices of the scan and a
+    subject with most of the trials is still ranked by many tasks.
     """
-    keys = list(keys)
     text = F.concat_ws(":", F.lit(str(seed)), F.col(trial).cast("string"))
     hashed = trials.withColumn("__h", F.sha2(text, 256))
-    placed = ordered_position(hashed, [*keys, label], ["__h"], hash_slice("__h"), "__p")
-    sizes = trials.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("__n"))
-    # Parts of size q + 1 come first, r of them, as an even split does.
-    q = F.floor(F.col("__n") / folds)
-    r = F.col("__n") % folds
-    at = F.col("__p") - 1
-    large = r * (q + 1)
-    fold = F.when(at < large, F.floor(at / (q + 1))).otherwise(r + F.floor((at - large) / q))
-    return (
-        placed.join(sizes, [*keys, label])
-        .withColumn("fold", F.when(q > 0, fold).otherwise(at).cast("int"))
-        .drop("__h", "__p", "__n")
-    )
+    placed = ordered_position(hashed, list(keys), ["__h"], hash_slice("__h"), "__p")
+    return placed.withColumn("fold", fold_of_place(F.col("__p"), F.col(size), folds)).drop("__h", "__p")
 
 
-def all_folds(trials: DataFrame, splits: Sequence[tuple[int, int]]) -> DataFrame:
-    """(subject_id, trial_id, split, fold) for every (folds, seed) in use."""
-    slim = trials.select("subject_id", "trial_id", "label")
+def with_folds(labelled: DataFrame, splits: Sequence[tuple[int, int]]) -> DataFrame:
+    """Rows repeated per (folds, seed) in use, with ``split`` and ``fold``."""
     parts = [
-        stratified_folds(slim, ["subject_id"], "label", "trial_id", k, seed).select(
-            "subject_id", "trial_id", F.lit(i).alias("split"), "fold"
+        stratified_folds(labelled, ["subject_id", "class"], "trial_id", "class_trials", k, seed).withColumn(
+            "split", F.lit(i)
         )
         for i, (k, seed) in enumerate(splits)
     ]
@@ -269,16 +289,6 @@ def log_variances(cov: Column, channels: Column, width: Column) -> Column:
     )
 
 
-def class_indexed(trials: DataFrame) -> DataFrame:
-    """Add ``class``: 0 for a subject's lower label, 1 for the higher."""
-    low = trials.groupBy("subject_id").agg(F.min("label").alias("__low"))
-    return (
-        trials.join(low, "subject_id")
-        .withColumn("class", (F.col("label") != F.col("__low")).cast("int"))
-        .drop("__low")
-    )
-
-
 # --- spatial filters ------------------------------------------------------------
 
 
@@ -407,29 +417,29 @@ def predicted_class(x: Column, weights: Column, bias: Column) -> Column:
 def classification_metrics(predictions: DataFrame, keys: Sequence[str], label: str, predicted: str) -> DataFrame:
     """Accuracy, balanced accuracy over true labels, kappa; from a confusion table."""
     keys = list(keys)
-    cells = predictions.groupBy(*keys, label, predicted).agg(F.count(F.lit(1)).alias("n"))
+    cells = predictions.groupBy(*keys, label, predicted).agg(F.count(F.lit(1)).alias("__n"))
     both = F.explode(
         F.array(
             F.struct(F.lit("true").alias("side"), F.col(label).alias("value")),
             F.struct(F.lit("predicted").alias("side"), F.col(predicted).alias("value")),
         )
     )
-    hit = F.when((F.col(label) == F.col(predicted)), F.col("n")).otherwise(0)
+    hit = F.when((F.col(label) == F.col(predicted)), F.col("__n")).otherwise(0)
     margins = (
-        cells.select(*keys, "n", hit.alias("hit"), both.alias("s"))
-        .groupBy(*keys, F.col("s.value").alias("value"))
+        cells.select(*keys, "__n", hit.alias("__hit"), both.alias("__side"))
+        .groupBy(*keys, F.col("__side.value").alias("__value"))
         .agg(
-            F.sum(F.when(F.col("s.side") == "true", F.col("n")).otherwise(0)).alias("t"),
-            F.sum(F.when(F.col("s.side") == "predicted", F.col("n")).otherwise(0)).alias("p"),
-            F.sum(F.when(F.col("s.side") == "true", F.col("hit")).otherwise(0)).alias("h"),
+            F.sum(F.when(F.col("__side.side") == "true", F.col("__n")).otherwise(0)).alias("__t"),
+            F.sum(F.when(F.col("__side.side") == "predicted", F.col("__n")).otherwise(0)).alias("__p"),
+            F.sum(F.when(F.col("__side.side") == "true", F.col("__hit")).otherwise(0)).alias("__h"),
         )
     )
-    total = F.sum("t")
+    total = F.sum("__t")
     summed = margins.groupBy(*keys).agg(
         total.alias("trials"),
-        (F.sum("h") / total).alias("accuracy"),
-        F.avg(F.when(F.col("t") > 0, F.col("h") / F.col("t"))).alias("balanced_accuracy"),
-        (F.sum(F.col("t") * F.col("p")) / (total * total)).alias("__chance"),
+        (F.sum("__h") / total).alias("accuracy"),
+        F.avg(F.when(F.col("__t") > 0, F.col("__h") / F.col("__t"))).alias("balanced_accuracy"),
+        (F.sum(F.col("__t") * F.col("__p")) / (total * total)).alias("__chance"),
     )
     kappa = F.when(
         F.col("__chance") < 1.0,
@@ -473,18 +483,20 @@ def _with_candidates(moments: DataFrame, candidates: Sequence[Candidate]) -> Dat
     )
 
 
-def _prepared(summaries: DataFrame, candidates: Sequence[Candidate], folds: DataFrame | None) -> DataFrame:
+def _prepared(
+    summaries: DataFrame, candidates: Sequence[Candidate], splits: Sequence[tuple[int, int]]
+) -> DataFrame:
     """Band rows of accepted subjects with class and fold, written once for the steps
     that read them: spatial filters, training sums and held-out features."""
-    labelled = class_indexed(accepted(summaries, candidates))
-    rows = band_rows(labelled).select(
-        "subject_id", "trial_id", "class", "channels", "width", "band", "cov"
-    )
-    if folds is None:
-        placed = rows.withColumn("split", F.lit(0)).withColumn("fold", F.lit(-1))
+    labelled = accepted(summaries, candidates)
+    if splits:
+        placed = with_folds(labelled, splits)
     else:
-        placed = rows.join(folds, ["subject_id", "trial_id"])
-    return materialise(placed, "band-rows")
+        placed = labelled.withColumn("split", F.lit(0)).withColumn("fold", F.lit(-1))
+    rows = band_rows(placed).select(
+        "subject_id", "trial_id", "class", "channels", "width", "split", "fold", "band", "cov"
+    )
+    return materialise(rows, "band-rows")
 
 
 def predictions(summaries: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:
@@ -493,8 +505,7 @@ def predictions(summaries: DataFrame, candidates: Sequence[Candidate]) -> DataFr
     (subject_id, pipeline_id, fold, trial_id, class, predicted)
     """
     candidates = list(candidates)
-    folds = all_folds(accepted(summaries, candidates), _splits(candidates))
-    covs = _prepared(summaries, candidates, folds)
+    covs = _prepared(summaries, candidates, _splits(candidates))
     feature_rows: list[DataFrame] = []
     moment_rows: list[DataFrame] = []
     keep = [*FEATURE_KEY, "fold", "trial_id", "class", "x"]
@@ -541,7 +552,7 @@ def fit_models(summaries: DataFrame, candidates: Sequence[Candidate]) -> DataFra
     """One frozen model per subject and candidate, fitted on all given trials."""
     candidates = [replace(c, cv_folds=2, random_seed=0) for c in candidates]
     bands = _bands(candidates)
-    covs = _prepared(summaries, candidates, None)
+    covs = _prepared(summaries, candidates, [])
     keys = [*FEATURE_KEY, "fold"]
     none = F.lit(None).cast("array<double>")
     parts: list[DataFrame] = []

@@ -34,14 +34,14 @@ def distinct_durations(events: DataFrame, duration: str) -> DataFrame:
 def session_summary(runs: DataFrame, subject: str, session: str) -> DataFrame:
     """Subjects, subject-sessions, sessions per subject, longitudinal flag."""
     per_subject = (
-        runs.select(subject, session).distinct().groupBy(subject).agg(F.count(F.lit(1)).alias("n"))
+        runs.select(subject, session).distinct().groupBy(subject).agg(F.count(F.lit(1)).alias("__n"))
     )
     return per_subject.agg(
         F.count(F.lit(1)).alias("subjects"),
-        F.sum("n").alias("subject_sessions"),
-        F.min("n").alias("fewest_sessions"),
-        F.max("n").alias("most_sessions"),
-        F.coalesce(F.max("n") > 1, F.lit(False)).alias("longitudinal"),
+        F.sum("__n").alias("subject_sessions"),
+        F.min("__n").alias("fewest_sessions"),
+        F.max("__n").alias("most_sessions"),
+        F.coalesce(F.max("__n") > 1, F.lit(False)).alias("longitudinal"),
     )
 
 
@@ -78,10 +78,10 @@ def runs_per_session(runs: DataFrame, subject: str, session: str, run: str, on_d
         runs.select(subject, session, run)
         .distinct()
         .groupBy(subject, session)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("__n"))
     )
     per_session = counts.groupBy(session).agg(
-        F.max("n").alias("runs"), F.min("n").alias("fewest_runs")
+        F.max("__n").alias("runs"), F.min("__n").alias("fewest_runs")
     )
     if on_disagree == "max":
         return per_session.select(session, "runs")
@@ -91,27 +91,27 @@ def runs_per_session(runs: DataFrame, subject: str, session: str, run: str, on_d
 def volume(runs: DataFrame, subject: str, session: str, trials: str, size: str) -> DataFrame:
     """Totals over run rows; subject-sessions are distinct pairs."""
     pairs = runs.groupBy(subject, session).agg(
-        F.count(F.lit(1)).alias("r"), F.sum(trials).alias("t"), F.sum(size).alias("b")
+        F.count(F.lit(1)).alias("__r"), F.sum(trials).alias("__t"), F.sum(size).alias("__b")
     )
     per_subject = pairs.groupBy(subject).agg(
-        F.count(F.lit(1)).alias("s"), F.sum("r").alias("r"), F.sum("t").alias("t"), F.sum("b").alias("b")
+        F.count(F.lit(1)).alias("__s"), F.sum("__r").alias("__r"), F.sum("__t").alias("__t"), F.sum("__b").alias("__b")
     )
     return per_subject.agg(
         F.count(F.lit(1)).alias("subjects"),
-        F.sum("s").alias("subject_sessions"),
-        F.sum("r").alias("runs"),
-        F.sum("t").alias("trials"),
-        F.sum("b").alias("signal_bytes"),
+        F.sum("__s").alias("subject_sessions"),
+        F.sum("__r").alias("runs"),
+        F.sum("__t").alias("trials"),
+        F.sum("__b").alias("signal_bytes"),
     )
 
 
 def first_seen_mode(rows: DataFrame, value: str, position: str, keys: Sequence[str] = ()) -> DataFrame:
     """Most frequent value; among equals the one seen first."""
     tally = rows.groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("n"), F.min(position).alias("first")
+        F.count(F.lit(1)).alias("__n"), F.min(position).alias("__first")
     )
     return tally.groupBy(*keys).agg(
-        F.max_by(value, F.struct(F.col("n"), -F.col("first"))).alias("nominal")
+        F.max_by(value, F.struct(F.col("__n"), -F.col("__first"))).alias("nominal")
     )
 
 
@@ -144,16 +144,16 @@ def array_checks(epochs: DataFrame, run: Sequence[str], channel: str, samples: s
         epochs.select(
             *run,
             channel,
-            finite.alias("f"),
-            F.array_max(samples).alias("hi"),
-            F.array_min(samples).alias("lo"),
+            finite.alias("__f"),
+            F.array_max(samples).alias("__hi"),
+            F.array_min(samples).alias("__lo"),
         )
         .groupBy(*run, channel)
-        .agg(F.bool_and("f").alias("f"), F.max("hi").alias("hi"), F.min("lo").alias("lo"))
+        .agg(F.bool_and("__f").alias("__f"), F.max("__hi").alias("__hi"), F.min("__lo").alias("__lo"))
     )
     return per_channel.groupBy(*run).agg(
-        F.bool_and("f").alias("all_finite"),
-        F.count_if(F.col("hi") - F.col("lo") == 0).alias("flat_channel_count"),
+        F.bool_and("__f").alias("all_finite"),
+        F.count_if(F.col("__hi") - F.col("__lo") == 0).alias("flat_channel_count"),
     )
 
 

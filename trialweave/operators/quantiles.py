@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 # Brackets reach this many times the sketch's rank error to each side.
 SLACK = 4
+# Groups up to this many times the accuracy are ranked whole.
+KEEP_ALL = 8
 
 
 def exact_quantiles(
@@ -46,16 +48,19 @@ def exact_quantiles(
         F.max("__v").alias("__max"),
         F.percentile_approx("__v", F.array(*[F.lit(e) for e in edges]), F.lit(accuracy)).alias("__e"),
     )
-    # Interpolation needs a neighbour, so brackets at the ends reach the extremes.
+    # Interpolation needs a neighbour, so brackets at the ends reach the extremes.  A
+    # group too small for the margin to span several ranks keeps all its values, whose
+    # number this bounds.
+    small = F.col("__n") <= KEEP_ALL * accuracy
     brackets = sketch.select(
         *keys,
         "__n",
         *[
-            (F.col("__min") if p <= margin else F.col("__e")[2 * i]).alias(f"__lo{i}")
+            (F.col("__min") if p <= margin else F.when(small, F.col("__min")).otherwise(F.col("__e")[2 * i])).alias(f"__lo{i}")
             for i, (_, p) in enumerate(wanted)
         ],
         *[
-            (F.col("__max") if p >= 1 - margin else F.col("__e")[2 * i + 1]).alias(f"__hi{i}")
+            (F.col("__max") if p >= 1 - margin else F.when(small, F.col("__max")).otherwise(F.col("__e")[2 * i + 1])).alias(f"__hi{i}")
             for i, (_, p) in enumerate(wanted)
         ],
     )

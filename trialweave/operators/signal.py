@@ -303,28 +303,28 @@ def class_effects(
     """
     keys = list(keys)
     moments = features.groupBy(*keys, channel, label).agg(
-        F.count(feature).alias("n"), F.avg(feature).alias("m"), F.var_pop(feature).alias("v")
+        F.count(feature).alias("__n"), F.avg(feature).alias("__m"), F.var_pop(feature).alias("__v")
     )
     pair = moments.groupBy(*keys, channel).agg(
-        F.count(F.lit(1)).alias("labels"),
+        F.count(F.lit(1)).alias("__labels"),
         F.min(label).alias("left_label"),
         F.max(label).alias("right_label"),
-        F.min_by("m", label).alias("ml"),
-        F.max_by("m", label).alias("mr"),
-        F.min_by("v", label).alias("vl"),
-        F.max_by("v", label).alias("vr"),
-        F.min_by("n", label).alias("left_n"),
-        F.max_by("n", label).alias("right_n"),
+        F.min_by("__m", label).alias("__ml"),
+        F.max_by("__m", label).alias("__mr"),
+        F.min_by("__v", label).alias("__vl"),
+        F.max_by("__v", label).alias("__vr"),
+        F.min_by("__n", label).alias("left_n"),
+        F.max_by("__n", label).alias("right_n"),
     )
-    pooled = F.sqrt((F.col("vl") + F.col("vr")) / 2 + FLOOR)
-    return pair.where("labels = 2").select(
+    pooled = F.sqrt((F.col("__vl") + F.col("__vr")) / 2 + FLOOR)
+    return pair.where("__labels = 2").select(
         *keys,
         channel,
         "left_label",
         "right_label",
         "left_n",
         "right_n",
-        ((F.col("mr") - F.col("ml")) / pooled).alias("effect"),
+        ((F.col("__mr") - F.col("__ml")) / pooled).alias("effect"),
     )
 
 

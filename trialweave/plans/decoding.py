@@ -125,13 +125,20 @@ FOLD_SQL = f"""
 """
 
 
-@query("wn7_stratified_folds", f"WITH {FOLD_SQL} SELECT t.subject_id, t.label, t.trial_id, fold::INTEGER AS fold FROM t JOIN fd USING (trial_id)")
-def wn7_stratified_folds(spark, sf):
+def folded_trials(spark, sf):
     rows = trials(spark, sf).select("subject_id", "trial_id", "label")
-    folds = decode.stratified_folds(rows, ["subject_id"], "label", "trial_id", 3, 7)
+    sizes = rows.groupBy("subject_id", "label").agg(F.count(F.lit(1)).alias("size"))
+    folds = decode.stratified_folds(
+        rows.join(sizes, ["subject_id", "label"]), ["subject_id", "label"], "trial_id", "size", 3, 7
+    )
     return folds.select("subject_id", "label", "trial_id", "fold")
 
 
+@query("wn7_stratified_folds", f"WITH {FOLD_SQL} SELECT t.subject_id, t.label, t.trial_id, fold::INTEGER AS fold FROM t JOIN fd USING (trial_id)")
+def wn7_stratified_folds(spark, sf):
+    return folded_trials(spark, sf)
+
+
 FEATURE_SQL = f"""
     {FOLD_SQL}, ex AS (SELECT trial_id, ch.subject_id, ch.label, c.c AS channel, ln(list_var_pop(CASE c.c WHEN 0 THEN x0 ELSE x1 END) + 1e-12) AS x FROM ch, (VALUES (0), (1)) c(c)),
     ff AS (SELECT ex.*, fold FROM ex JOIN fd USING (trial_id))
@@ -139,11 +146,8 @@ FEATURE_SQL = f"""
 
 
 def fold_features(spark, sf):
-    folds = decode.stratified_folds(
-        trials(spark, sf).select("subject_id", "trial_id", "label"), ["subject_id"], "label", "trial_id", 3, 7
-    )
-    rows = raw_features(spark, sf)
-    return rows.join(folds.select("trial_id", "fold"), "trial_id")
+    folds = folded_trials(spark, sf).select("trial_id", "fold")
+    return raw_features(spark, sf).join(folds, "trial_id")
 
 
 @query(
@@ -191,7 +195,8 @@ def ag23_classifier_statistics(spark, sf):
         rows.groupBy("subject_id", "trial_id", "label")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "x"))), lambda p: p["x"]).alias("x"))
     )
-    moments = decode.class_moments(decode.class_indexed(vectors), ["subject_id"], holdout=False)
+    classed = vectors.withColumn("class", (F.col("label") == "b").cast("int"))
+    moments = decode.class_moments(classed, ["subject_id"], holdout=False)
     f = F.col("f")
     facts = moments.withColumn("f", F.floor(F.size("sums") / 2).cast("int")).withColumn(
         "n", F.get("counts", F.lit(0)) + F.get("counts", F.lit(1))
@@ -266,10 +271,8 @@ def gj1_bandpass(spark, sf):
 
 @query("gj2_spatial_filters")
 def gj2_spatial_filters(spark, sf):
-    rows = decode.class_indexed(decode.trial_summaries(trials(spark, sf), BANDS))
-    folds = decode.all_folds(rows.select("subject_id", "trial_id", "label"), [(3, 7)])
-    covs = decode.band_rows(rows).join(folds, ["subject_id", "trial_id"])
-    return decode.fit_spatial_filters(covs, [2])
+    rows = decode.accepted(decode.trial_summaries(trials(spark, sf), BANDS), CANDIDATES)
+    return decode.fit_spatial_filters(decode.band_rows(decode.with_folds(rows, [(3, 7)])), [2])
 
 
 @query(
