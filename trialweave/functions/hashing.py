@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 # Fixed value: stands for null inside hashed text.
 NULL_MARK = "null"
-PIECES = 8
+# Digests are summed in five pieces of six hex digits, so a sum of up to
+# 2^39 items fits a long.
+PIECES = 5
+WIDTH = 6
 
 
 def canonical_text(columns: Sequence[Column], separator: str = "|") -> Column:
@@ -43,13 +46,13 @@ def external_blocker_id(description: Column) -> Column:
 def set_digest(df: DataFrame, keys: Sequence[str], item_hash: str, name: str) -> DataFrame:
     """Order-free digest of each key's items, with nothing collected.
 
-    Every item digest is cut into 32-bit pieces, pieces are summed, and the sums with
+    Every item digest is cut into 24-bit pieces, pieces are summed, and the sums with
     the item count are hashed.  Sums combine map-side, so a key with any number of
     items costs one row per task in the shuffle.
     """
     pieces = [
         F.sum(
-            F.conv(F.substring(F.col(item_hash), 1 + 8 * i, 8), 16, 10).cast("long")
+            F.conv(F.substring(F.col(item_hash), 1 + WIDTH * i, WIDTH), 16, 10).cast("long")
         ).alias(f"__p{i}")
         for i in range(PIECES)
     ]
@@ -61,7 +64,7 @@ def set_digest(df: DataFrame, keys: Sequence[str], item_hash: str, name: str) ->
 def set_digest_sql(item_hash: str) -> str:
     """The same digest as an SQL aggregate expression over one group."""
     sums = ", ".join(
-        f"sum(('0x' || substr({item_hash}, {1 + 8 * i}, 8))::BIGINT)::BIGINT"
+        f"sum(('0x' || substr({item_hash}, {1 + WIDTH * i}, {WIDTH}))::BIGINT)::BIGINT"
         for i in range(PIECES)
     )
     return f"sha256(concat_ws(':', count(*), {sums}))"

@@ -224,12 +224,12 @@ def stratified_folds(
     """Add ``fold``: hashed order within ``keys`` cut into near-equal parts.
 
     ``keys`` name the stratum (subject and class), ``size`` its number of trials.  The
-    order hash spreads evenly, so its first digits are the slices of the scan and a
-    subject with most of the trials is still ranked by many tasks.
+    order hash spreads evenly, so cutting its range cuts a large stratum into slices of
+    equal size, and a subject with most of the trials is still ranked by many tasks.
     """
     text = F.concat_ws(":", F.lit(str(seed)), F.col(trial).cast("string"))
     hashed = trials.withColumn("__h", F.sha2(text, 256))
-    placed = ordered_position(hashed, list(keys), ["__h"], hash_slice("__h"), "__p")
+    placed = ordered_position(hashed, list(keys), ["__h"], hash_slice("__h", F.col(size)), "__p")
     return placed.withColumn("fold", fold_of_place(F.col("__p"), F.col(size), folds)).drop("__h", "__p")
 
 
@@ -439,7 +439,7 @@ def classification_metrics(predictions: DataFrame, keys: Sequence[str], label: s
         total.alias("trials"),
         (F.sum("__h") / total).alias("accuracy"),
         F.avg(F.when(F.col("__t") > 0, F.col("__h") / F.col("__t"))).alias("balanced_accuracy"),
-        (F.sum(F.col("__t") * F.col("__p")) / (total * total)).alias("__chance"),
+        (F.sum(F.col("__t") / F.lit(1.0) * F.col("__p")) / (total / F.lit(1.0) * total)).alias("__chance"),
     )
     kappa = F.when(
         F.col("__chance") < 1.0,

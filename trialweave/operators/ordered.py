@@ -53,7 +53,8 @@ def ordered_scan(
     """Add running values over ``order`` (ascending, unique within ``keys``).
 
     ``keys`` must not be null.  ``keys`` may be empty: the scan then runs over the
-    whole table, still split by slice.
+    whole table, still split by slice.  The input is evaluated twice, once for its rows
+    and once, combined map-side, for the summary; write an expensive one down first.
     """
     sliced = df.withColumn(SLICE, slice_by)
     local = Window.partitionBy(*keys, SLICE).orderBy(*order)
@@ -114,9 +115,14 @@ def ordered_position(
     return ordered_scan(df, keys, order, slice_by, {name: POSITION})
 
 
-def hash_slice(hash_column: str, digits: int = 2) -> Column:
-    """Slice for rows ordered by a hex digest: its first digits, evenly filled."""
-    return F.substring(F.col(hash_column), 1, digits)
+def hash_slice(hash_column: str, size: Column, rows: int = 100_000) -> Column:
+    """Slice for rows ordered by a hex digest.
+
+    The digest's range is cut evenly into as many slices as the key's ``size`` needs,
+    one for a small key.
+    """
+    part = F.conv(F.substring(F.col(hash_column), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return F.floor(part * F.ceil(size / F.lit(rows)))
 
 
 def block_slice(column: str, rows: int = 100_000) -> Column:

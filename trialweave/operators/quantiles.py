@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialweave.session import materialise
+
 ACCURACY = 10_000
 # Brackets reach this many times the sketch's rank error to each side.
 SLACK = 4
@@ -33,7 +35,7 @@ def exact_quantiles(
     """One row per key with one column per named probability.
 
     Null and NaN values are left out, as nan-aware medians do.  Keys without any
-    value give no row.
+    value give no row.  The input is evaluated twice; write an expensive one down first.
     """
     keys = list(keys)
     wanted = sorted(probabilities.items(), key=lambda item: item[1])
@@ -125,11 +127,12 @@ def robust_z(
 ) -> DataFrame:
     """Add (x - median) / (1.4826 x MAD); zero where that scale is at most epsilon."""
     keys = list(keys)
-    center = exact_quantiles(df, keys, value, {"__median": 0.5}, accuracy)
+    # One small row per key each; written, so that the data is not read again for them.
+    center = materialise(exact_quantiles(df, keys, value, {"__median": 0.5}, accuracy), "medians")
     centered = df.join(center, keys).withColumn(
         "__dev", F.abs(F.col(value) - F.col("__median"))
     )
-    spread = exact_quantiles(centered, keys, "__dev", {"__mad": 0.5}, accuracy)
+    spread = materialise(exact_quantiles(centered, keys, "__dev", {"__mad": 0.5}, accuracy), "deviations")
     scale = F.lit(MAD_SCALE) * F.col("__mad")
     return (
         centered.join(spread, keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -578,12 +579,13 @@ def applicability(profiles: DataFrame, components: Sequence[dict], deferred: Seq
     reasons = F.filter(
         F.array(*[F.when(bad, F.lit(reason)) for reason, bad in tests]), lambda r: r.isNotNull()
     )
+    excluded = reduce(lambda a, b: a | b, [bad for _, bad in tests])
     return (
         profiles.withColumn("component", F.explode(entries))
         .withColumn("reasons", reasons)
         .withColumn(
             "verdict",
-            F.when(F.size("reasons") > 0, "excluded")
+            F.when(excluded, "excluded")
             .when(F.col("component.deferred"), "deferred")
             .otherwise("applicable"),
         )

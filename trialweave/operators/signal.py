@@ -17,6 +17,7 @@ from trialweave.functions import kernels
 from trialweave.operators import ordered
 from trialweave.operators.checks import disagreements
 from trialweave.operators.quantiles import ACCURACY, EPSILON, exact_quantiles, robust_z
+from trialweave.session import materialise
 
 SESSION = ["subject_id", "session_id"]
 FLOOR = 1e-12
@@ -154,7 +155,8 @@ def trial_flags(moments: DataFrame, accuracy: int = ACCURACY) -> DataFrame:
 
 def signal_quality(epochs: DataFrame, accuracy: int = ACCURACY) -> DataFrame:
     """One row per session: counts, finite fraction, deviation summary, flag counts."""
-    moments = sample_moments(epochs)
+    # Raw samples are read once; all below works on a few numbers per row.
+    moments = materialise(sample_moments(epochs), "sample-moments")
     channels = channel_flags(channel_deviation(moments), accuracy)
     trials = trial_flags(moments, accuracy)
     base = moments.groupBy(*SESSION).agg(
@@ -212,41 +214,19 @@ def mean_spectrum(densities: DataFrame) -> DataFrame:
     )
 
 
-def spectrum_band_powers(spectrum: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFrame:
-    """Trapezoid per session and band over spectrum rows, as sums without a window.
+def spectral_profile(epochs: DataFrame) -> DataFrame:
+    """One row per session and band or peak: absolute and relative power, frequency.
 
-    On a uniform grid the trapezoid is the sum of the bins less half of both ends.
+    Bands and peaks come from one aggregate over the session's mean spectrum.  On its
+    uniform grid a trapezoid is the sum of the bins less half of both ends.
     """
-    aggs = []
-    for name, (low, high) in bands.items():
-        inside = (F.col("hz") >= low) & (F.col("hz") <= high)
-        value = F.when(inside, F.col("power"))
-        ends = (F.min_by("power", F.when(inside, F.col("hz"))) + F.max_by("power", F.when(inside, F.col("hz")))) / 2
-        aggs.append(
-            F.when(F.count(value) >= 2, (F.sum(value) - ends) * F.first("bin_hz")).alias(name)
-        )
-    return spectrum.groupBy(*SESSION).agg(*aggs)
-
-
-def spectral_profile(epochs: DataFrame) -> DataFrame:
-    """One row per session and band or peak: absolute and relative power, frequency."""
     spectrum = mean_spectrum(power_density(epochs))
-    powers = spectrum_band_powers(spectrum, {**BANDS, "total": TOTAL_BAND})
-    rows = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("measure"),
-                    F.lit(None).cast("double").alias("hz"),
-                    F.col(name).alias("power"),
-                    F.try_divide(F.col(name), F.col("total")).alias("relative"),
-                )
-                for name in BANDS
-            ]
-        )
-    )
-    bands = powers.select(*SESSION, rows.alias("r")).select(*SESSION, "r.*")
-    aggs = []
+    aggs: list[Column] = []
+    for name, (low, high) in {**BANDS, "total": TOTAL_BAND}.items():
+        inside = (F.col("hz") >= low) & (F.col("hz") <= high)
+        value, hz = F.when(inside, F.col("power")), F.when(inside, F.col("hz"))
+        ends = (F.min_by("power", hz) + F.max_by("power", hz)) / 2
+        aggs.append(F.when(F.count(value) >= 2, (F.sum(value) - ends) * F.first("bin_hz")).alias(name))
     for name, (low, high) in PEAKS.items():
         inside = (F.col("hz") >= low) & (F.col("hz") <= high)
         order = F.when(inside, F.struct(F.col("power"), -F.col("hz")))
@@ -254,22 +234,25 @@ def spectral_profile(epochs: DataFrame) -> DataFrame:
             F.max_by("hz", order).alias(f"{name}_hz"),
             F.max_by("power", order).alias(f"{name}_power"),
         ]
-    found = spectrum.groupBy(*SESSION).agg(*aggs)
-    peak_rows = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(f"{name}_peak").alias("measure"),
-                    F.col(f"{name}_hz").alias("hz"),
-                    F.col(f"{name}_power").alias("power"),
-                    F.lit(None).cast("double").alias("relative"),
-                )
-                for name in PEAKS
-            ]
+    none = F.lit(None).cast("double")
+    rows = [
+        F.struct(
+            F.lit(name).alias("measure"),
+            none.alias("hz"),
+            F.col(name).alias("power"),
+            F.try_divide(F.col(name), F.col("total")).alias("relative"),
         )
-    )
-    peaks = found.select(*SESSION, peak_rows.alias("r")).select(*SESSION, "r.*")
-    return bands.unionByName(peaks)
+        for name in BANDS
+    ] + [
+        F.struct(
+            F.lit(f"{name}_peak").alias("measure"),
+            F.col(f"{name}_hz").alias("hz"),
+            F.col(f"{name}_power").alias("power"),
+            none.alias("relative"),
+        )
+        for name in PEAKS
+    ]
+    return spectrum.groupBy(*SESSION).agg(*aggs).select(*SESSION, F.inline(F.array(*rows)))
 
 
 # --- separability ---------------------------------------------------------------
@@ -345,8 +328,13 @@ def top_effects(effects: DataFrame, keys: Sequence[str], channel: str, k: int =
 def class_separability(epochs: DataFrame, accuracy: int = ACCURACY) -> tuple[DataFrame, DataFrame]:
     """(summary, top channels) per session and band; ten broad, three narrow."""
     bands = {n: BANDS[n] for n in ("motor_8_30", "mu_8_13", "beta_13_30")}
-    effects = class_effects(
-        log_band_features(power_density(epochs), bands), [*SESSION, "band"], "channel_idx", "label", "feature"
+    # A few numbers per session, band and channel; written, so that medians and
+    # rankings do not measure the signals again.
+    effects = materialise(
+        class_effects(
+            log_band_features(power_density(epochs), bands), [*SESSION, "band"], "channel_idx", "label", "feature"
+        ),
+        "class-effects",
     )
     top = top_effects(effects, [*SESSION, "band"], "channel_idx", 10)
     return (
@@ -372,6 +360,11 @@ def alternate_halves(trials: DataFrame, slice_by: Column) -> DataFrame:
     return placed.withColumn("half", (F.col("__p") - 1) % 2).drop("__p")
 
 
+def written_features(epochs: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFrame:
+    """Log band features in the shared folder, for the measures that read them often."""
+    return materialise(log_band_features(power_density(epochs), bands), "band-features")
+
+
 def split_half_stability(features: DataFrame, slice_by: Column) -> DataFrame:
     """Correlation over channels of the class effects of two alternating halves."""
     halves = alternate_halves(

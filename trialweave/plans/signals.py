@@ -12,6 +12,7 @@ from trialweave.operators import inventory, signal
 from trialweave.operators.ordered import block_slice
 from trialweave.operators.quantiles import exact_quantiles, robust_z
 from trialweave.plans.registry import query, table
+from trialweave.session import materialise
 
 TRIAL_SQL = """
     t AS (SELECT vec_id AS trial_idx, vec_id % 3 AS session_id, 'c' || label % 2 AS label, list_transform(embedding, lambda x: x::DOUBLE) AS s FROM embeddings),
@@ -122,7 +123,7 @@ def ag12_signal_quality(spark, sf):
     f"WITH {QUALITY_SQL} SELECT session_id, trial_idx, round(peak, 6) AS peak, outlier FROM tf",
 )
 def ag12_trial_flags(spark, sf):
-    flags = signal.trial_flags(signal.sample_moments(loud(spark, sf)))
+    flags = signal.trial_flags(materialise(signal.sample_moments(loud(spark, sf)), "sample-moments"))
     return flags.select("session_id", "trial_idx", F.round("peak", 6).alias("peak"), "outlier")
 
 
@@ -149,8 +150,9 @@ def ag12_group_quantiles(spark, sf):
     """,
 )
 def ag13_robust_z(spark, sf):
-    spread = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(
-        F.stddev_pop("l_extendedprice").alias("v")
+    spread = materialise(
+        table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.stddev_pop("l_extendedprice").alias("v")),
+        "spread",
     )
     scored = robust_z(spread, ["l_returnflag"], "v", "z")
     return scored.select("l_suppkey", "l_returnflag", F.round("z", 6).alias("z"))
@@ -310,9 +312,7 @@ MOTOR_SQL = f"""
 
 
 def motor_features(spark, sf):
-    return signal.log_band_features(
-        signal.power_density(epochs(spark, sf)), {"motor_8_30": signal.BANDS["motor_8_30"]}
-    )
+    return signal.written_features(epochs(spark, sf), {"motor_8_30": signal.BANDS["motor_8_30"]})
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trialweave.operators import logs, search
 from trialweave.operators.ordered import block_slice, day_slice
 from trialweave.plans.registry import query, table
+from trialweave.session import materialise
 
 TOLERANCE, MIN_CYCLES, MAX_CYCLES, STOP = 0.02, 2, 4, 0.75
 
@@ -164,7 +165,8 @@ def customer_log(spark, sf):
     )
     month = F.trunc("o_orderdate", "month")
     placed = ordered_scan(orders, ["run"], ["o_orderdate", "o_orderkey"], month, {"p": POSITION})
-    return placed.withColumn("sequence", F.col("p") - 1).drop("p")
+    # The log the operators below read; it stands for a stored table.
+    return materialise(placed.withColumn("sequence", F.col("p") - 1).drop("p"), "customer-log")
 
 
 @query(
@@ -195,7 +197,8 @@ def wn4_chain_faults(spark, sf):
         .withColumn("event_sha256", content_hash([F.col(c) for c in hashed]))
         .withColumn("delta", F.col("delta") + F.when(F.col("o_orderkey") % 89 == 0, 1).otherwise(0))
     )
-    return logs.chain_faults(events, "run", "sequence", block_slice("sequence", 1000), hashed)
+    log = materialise(events, "chained-log")
+    return logs.chain_faults(log, "run", "sequence", block_slice("sequence", 1000), hashed)
 
 
 TOTAL_SQL = f"""
