@@ -40,6 +40,8 @@ def decode_entities(text: Column) -> Column:
     def rare(batch: pd.Series) -> pd.Series:
         return batch.map(html.unescape, na_action="ignore")
 
+    # Not copied into inferred null filters: each branch sends its rows across once.
+    rare = rare.asNondeterministic()
     known = "|".join(COMMON_ENTITIES)
     needs_rare = F.contains(F.regexp_replace(text, known, ""), F.lit("&"))
     decoded = text

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from trialweave.functions import kernels
 from trialweave.functions.hashing import content_hash
 from trialweave.functions.parameters import BANDS
-from trialweave.operators.checks import Rule, failed_rules, violations
+from trialweave.operators.checks import Rule, holds, violations
 from trialweave.operators.ordered import hash_slice, ordered_position
 from trialweave.session import materialise
 
@@ -145,7 +145,7 @@ def accepted(summaries: DataFrame, candidates: Sequence[Candidate]) -> DataFrame
     """
     good = (
         subject_facts(summaries)
-        .where(F.size(failed_rules(refusal_rules(candidates))) == 0)
+        .where(holds(refusal_rules(candidates)))
         .select("subject_id", "class_0", "n_0", "n_1")
     )
     first = F.col("label") == F.col("class_0")

@@ -51,15 +51,15 @@ def with_exclusion_reason(papers: DataFrame, search: Sequence[str], rank: str) -
     The first rank of each title is found by a combined minimum and joined back, so
     many copies of one title are never sorted in one task.
     """
-    marked = papers.withColumn(
-        "reason",
-        row_exclusion_reason(F.col("work_type"), F.col("title"), F.col("is_retracted")),
-    ).withColumn("title_key", text.normalized_title(F.col("title")))
+    reason = row_exclusion_reason(F.col("work_type"), F.col("title"), F.col("is_retracted"))
+    key = text.normalized_title(F.col("title"))
     first = (
-        marked.where(F.col("reason").isNull())
+        papers.where(reason.isNull())
+        .select(*search, rank, key.alias("title_key"))
         .groupBy(*search, "title_key")
         .agg(F.min(rank).alias("__first"))
     )
+    marked = papers.withColumn("reason", reason).withColumn("title_key", key)
     return (
         marked.join(first, [*search, "title_key"], "left")
         .withColumn(
@@ -80,12 +80,18 @@ def exclusion_histogram(marked: DataFrame, keys: Sequence[str] = ()) -> DataFram
     )
 
 
-def compact_papers(eligible: DataFrame, search: Sequence[str], rank: str, limit: int = 4) -> DataFrame:
-    """First papers of each search with the abstract cut for reading."""
-    cut = F.substring(F.trim("abstract"), 1, ABSTRACT_CHARS)
-    return ordered.top_rows(eligible, search, [rank], limit, "place").withColumn(
-        "abstract", F.when(cut != "", cut)
+def short_abstract(abstract: Column) -> Column:
+    """An abstract cut for reading; taken before a shuffle, whole texts stay behind."""
+    cut = F.substring(F.trim(abstract), 1, ABSTRACT_CHARS)
+    return F.when(cut != "", cut)
+
+
+def compact_papers(papers: DataFrame, search: Sequence[str], rank: str, limit: int = 4) -> DataFrame:
+    """First eligible papers of each search with short abstracts."""
+    marked = with_exclusion_reason(
+        papers.withColumn("abstract", short_abstract(F.col("abstract"))), search, rank
     )
+    return ordered.top_rows(marked.where(F.col("reason").isNull()), search, [rank], limit, "place")
 
 
 # Fixed value: characters of an abstract kept in a compact record.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trialweave.functions.hashing import content_hash, set_digest
 from trialweave.operators.checks import disagreements
 from trialweave.operators.ordered import ordered_position
+from trialweave.session import materialise
 
 
 def event_counts(events: DataFrame, label: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -162,15 +163,17 @@ def grid_gaps(observed: DataFrame, unit: str, cell: str, slice_by: Column) -> Da
 
     Cells get dense numbers; per unit the observed numbers are walked and only the
     holes between them are expanded.  Work is observed pairs plus holes, and a unit
-    never has more rows than there are cells.
+    never has more rows than there are cells.  The distinct pairs and the numbered
+    cells are written once, as each is read several times.
     """
-    cells = ordered_position(observed.select(cell).distinct(), [], [cell], slice_by, "__at")
+    pairs = materialise(observed.select(unit, cell).distinct(), "grid-pairs")
+    cells = materialise(
+        ordered_position(pairs.select(cell).distinct(), [], [cell], slice_by, "__at"), "grid-cells"
+    )
     last = cells.agg(F.max("__at")).scalar()
     walk = Window.partitionBy(unit).orderBy("__at")
     placed = (
-        observed.select(unit, cell)
-        .distinct()
-        .join(cells, cell)
+        pairs.join(cells, cell)
         .select(
             unit,
             "__at",

@@ -122,6 +122,29 @@ def exact_quantiles(
     return picked.select(*keys, *[out[name] for name in probabilities])
 
 
+def few_values_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]
+) -> DataFrame:
+    """The same numbers for groups that are small by nature, such as the channels of a
+    recording: the built-in exact aggregate in one shuffle."""
+    v = F.col(value).cast("double")
+    kept = F.when(~F.isnan(v), v)
+    return (
+        df.groupBy(*keys)
+        .agg(*[F.percentile(kept, F.lit(p)).alias(n) for n, p in probabilities.items()])
+        .where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in probabilities]))
+    )
+
+
+def robust_z_of_few(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """:func:`robust_z` for groups that are small by nature."""
+    keys = list(keys)
+    center = few_values_quantiles(df, keys, value, {"__median": 0.5})
+    centered = df.join(center, keys).withColumn("__dev", F.abs(F.col(value) - F.col("__median")))
+    spread = few_values_quantiles(centered, keys, "__dev", {"__mad": 0.5})
+    return _scored(centered.join(spread, keys), value, name)
+
+
 def robust_z(
     df: DataFrame, keys: Sequence[str], value: str, name: str, accuracy: int = ACCURACY
 ) -> DataFrame:
@@ -133,17 +156,13 @@ def robust_z(
         "__dev", F.abs(F.col(value) - F.col("__median"))
     )
     spread = materialise(exact_quantiles(centered, keys, "__dev", {"__mad": 0.5}, accuracy), "deviations")
+    return _scored(centered.join(spread, keys), value, name)
+
+
+def _scored(rows: DataFrame, value: str, name: str) -> DataFrame:
     scale = F.lit(MAD_SCALE) * F.col("__mad")
-    return (
-        centered.join(spread, keys)
-        .withColumn(
-            name,
-            F.when(scale <= EPSILON, F.lit(0.0)).otherwise(
-                (F.col(value) - F.col("__median")) / scale
-            ),
-        )
-        .drop("__dev", "__median", "__mad")
-    )
+    z = F.when(scale <= EPSILON, F.lit(0.0)).otherwise((F.col(value) - F.col("__median")) / scale)
+    return rows.withColumn(name, z).drop("__dev", "__median", "__mad")
 
 
 # Scale of the median absolute deviation, double machine epsilon.

@@ -16,7 +16,13 @@ from pyspark.sql import functions as F
 from trialweave.functions import kernels
 from trialweave.operators import ordered
 from trialweave.operators.checks import disagreements
-from trialweave.operators.quantiles import ACCURACY, EPSILON, exact_quantiles, robust_z
+from trialweave.operators.quantiles import (
+    ACCURACY,
+    EPSILON,
+    few_values_quantiles,
+    robust_z,
+    robust_z_of_few,
+)
 from trialweave.session import materialise
 
 SESSION = ["subject_id", "session_id"]
@@ -124,13 +130,16 @@ def channel_deviation(moments: DataFrame) -> DataFrame:
     return merged.select(*SESSION, "channel_idx", F.sqrt(var).alias("std"))
 
 
-def channel_flags(deviation: DataFrame, accuracy: int = ACCURACY) -> DataFrame:
-    """Flat and robust-outlier flags per channel; flags never drop a row."""
-    spread = exact_quantiles(
-        deviation, SESSION, "std", {"std_median": 0.5, "std_q25": 0.25, "std_q75": 0.75}, accuracy
+def channel_flags(deviation: DataFrame) -> DataFrame:
+    """Flat and robust-outlier flags per channel; flags never drop a row.
+
+    One row per channel comes in, so a session's group is as long as its montage.
+    """
+    spread = few_values_quantiles(
+        deviation, SESSION, "std", {"std_median": 0.5, "std_q25": 0.25, "std_q75": 0.75}
     )
-    scored = robust_z(
-        deviation.withColumn("__log", F.log(F.col("std") + FLOOR)), SESSION, "__log", "z", accuracy
+    scored = robust_z_of_few(
+        deviation.withColumn("__log", F.log(F.col("std") + FLOOR)), SESSION, "__log", "z"
     )
     flat = F.col("std") <= F.greatest(F.lit(EPSILON), F.col("std_median") * FLAT_RATIO)
     return scored.join(spread, SESSION).select(
@@ -157,7 +166,7 @@ def signal_quality(epochs: DataFrame, accuracy: int = ACCURACY) -> DataFrame:
     """One row per session: counts, finite fraction, deviation summary, flag counts."""
     # Raw samples are read once; all below works on a few numbers per row.
     moments = materialise(sample_moments(epochs), "sample-moments")
-    channels = channel_flags(channel_deviation(moments), accuracy)
+    channels = channel_flags(channel_deviation(moments))
     trials = trial_flags(moments, accuracy)
     base = moments.groupBy(*SESSION).agg(
         (F.sum("finite_n") / F.sum("samples_n")).alias("finite_fraction"),
@@ -311,12 +320,11 @@ def class_effects(
     )
 
 
-def effect_summary(effects: DataFrame, keys: Sequence[str], accuracy: int = ACCURACY) -> DataFrame:
-    """Median and largest absolute effect per key."""
+def effect_summary(effects: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Median and largest absolute effect over the channels of each key."""
     sized = effects.withColumn("__abs", F.abs("effect"))
-    median = exact_quantiles(sized, keys, "__abs", {"median_abs_effect": 0.5}, accuracy)
-    return median.join(
-        sized.groupBy(*keys).agg(F.max("__abs").alias("max_abs_effect")), list(keys)
+    return few_values_quantiles(
+        sized, keys, "__abs", {"median_abs_effect": 0.5, "max_abs_effect": 1.0}
     )
 
 
@@ -325,7 +333,7 @@ def top_effects(effects: DataFrame, keys: Sequence[str], channel: str, k: int =
     return ordered.top_rows(effects, keys, [F.abs("effect").desc(), F.col(channel)], k, "place")
 
 
-def class_separability(epochs: DataFrame, accuracy: int = ACCURACY) -> tuple[DataFrame, DataFrame]:
+def class_separability(epochs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(summary, top channels) per session and band; ten broad, three narrow."""
     bands = {n: BANDS[n] for n in ("motor_8_30", "mu_8_13", "beta_13_30")}
     # A few numbers per session, band and channel; written, so that medians and
@@ -338,7 +346,7 @@ def class_separability(epochs: DataFrame, accuracy: int = ACCURACY) -> tuple[Dat
     )
     top = top_effects(effects, [*SESSION, "band"], "channel_idx", 10)
     return (
-        effect_summary(effects, [*SESSION, "band"], accuracy),
+        effect_summary(effects, [*SESSION, "band"]),
         top.where((F.col("band") == "motor_8_30") | (F.col("place") <= 3)),
     )
 

@@ -189,7 +189,8 @@ def line_files(spark, sf):
     days = lines.select(
         F.concat(folder, F.lit("day-"), F.year("l_shipdate").cast("string"), F.lit(".mff")).alias("relative_path"), F.lit(True).alias("is_dir")
     )
-    return recs.distinct().unionByName(days.distinct())
+    # A stored listing, as a file scan would leave it.
+    return materialise(recs.distinct().unionByName(days.distinct()), "inventory")
 
 
 @query(
