@@ -181,14 +181,27 @@ def spatial_filters(left: np.ndarray, right: np.ndarray, components: int) -> np.
     return keep.T
 
 
-def spatial_filters_batch(left: pd.Series, right: pd.Series, components: pd.Series) -> pd.Series:
+def training_sides(sums: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(2 classes, folds, values) sums to what each fold trains on: the total less its
+    own part.  With a single fold there is nothing to hold out."""
+    if counts.shape[1] == 1:
+        return sums, counts
+    return sums.sum(axis=1, keepdims=True) - sums, counts.sum(axis=1, keepdims=True) - counts
+
+
+def spatial_filters_batch(sums: pd.Series, counts: pd.Series, components: pd.Series) -> pd.Series:
+    """Flat filters per fold from per-fold covariance sums of two classes."""
     out = []
-    for a, b, k in zip(left, right, components, strict=True):
-        c = int(round(len(a) ** 0.5))
+    for flat, n, k in zip(sums, counts, components, strict=True):
+        n = np.reshape(n, (2, -1)).astype(float)
+        total = np.reshape(flat, (2, n.shape[1], -1))
+        c = int(round(total.shape[2] ** 0.5))
         if k > c:
             out.append(None)
             continue
-        out.append(spatial_filters(np.reshape(a, (c, c)), np.reshape(b, (c, c)), int(k)).ravel())
+        total, n = training_sides(total, n)
+        mean = (total / n[:, :, None]).reshape(2, -1, c, c)
+        out.append([spatial_filters(a, b, int(k)).ravel() for a, b in zip(*mean, strict=True)])
     return pd.Series(out)
 
 
@@ -230,20 +243,20 @@ def discriminant(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, shri
     return center, scale, means, precision, weights, bias
 
 
-def discriminant_batch(frame: pd.DataFrame) -> pd.DataFrame:
+def discriminant_batch(sums: pd.Series, counts: pd.Series, holdout: bool, shrinkage: pd.Series) -> pd.Series:
+    """Models per fold from per-fold moment sums (1, features, products) of two classes."""
     names = ("center", "scale", "means", "precision", "weights", "bias")
-    out: dict[str, list] = {n: [] for n in names}
-    for counts, sums, squares, shrinkage in zip(
-        frame["counts"], frame["sums"], frame["squares"], frame["shrinkage"], strict=True
-    ):
-        counts = np.asarray(counts, dtype=float)
-        size = len(sums) // 2
-        fit = discriminant(
-            counts,
-            np.reshape(sums, (2, size)),
-            np.reshape(squares, (2, size, size)),
-            float(shrinkage),
-        )
-        for name, value in zip(names, fit, strict=True):
-            out[name].append(np.ravel(value))
-    return pd.DataFrame(out)
+    out = []
+    for flat, n, ridge in zip(sums, counts, shrinkage, strict=True):
+        folds = len(n) // 2
+        total = np.reshape(flat, (2, folds, -1))
+        if holdout:
+            total, _ = training_sides(total, np.reshape(n, (2, folds)))
+        f = int(np.sqrt(total.shape[2] - 1))
+        models = []
+        for fold in range(folds):
+            m = total[:, fold]
+            fit = discriminant(m[:, 0], m[:, 1 : f + 1], m[:, f + 1 :].reshape(2, f, f), float(ridge))
+            models.append({name: np.ravel(value).tolist() for name, value in zip(names, fit, strict=True)})
+        out.append(models)
+    return pd.Series(out)

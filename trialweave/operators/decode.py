@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.functions import kernels
@@ -259,17 +259,24 @@ def element_sums(rows: DataFrame, keys: Sequence[str], vector: str) -> DataFrame
     )
 
 
-def training_side(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per held-out fold: sums over all other folds, from one row per fold."""
-    others = Window.partitionBy(*[k for k in keys if k != "fold"], "pos")
-    return sums.withColumn("total", F.sum("total").over(others) - F.col("total")).withColumn(
-        "n", F.sum("n").over(others) - F.col("n")
-    )
-
+def gathered_sums(rows: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
+    """One row per key: sums of ``vector`` laid out by class, fold and element.
 
-def _vector(key: str, value: str) -> Column:
-    pairs = F.array_sort(F.collect_list(F.struct(key, value)))
-    return F.transform(pairs, lambda p: p[value])
+    Two shuffles whatever the number of trials: the sums, combined map-side, and the
+    gathering of their classes x folds x elements, a number set by the montage.
+    """
+    sums = element_sums(rows, [*keys, "class", "fold"], vector)
+    cells = F.array_sort(F.collect_list(F.struct("class", "fold", "pos", "total", "n")))
+    return (
+        sums.groupBy(*keys)
+        .agg(cells.alias("__c"))
+        .select(
+            *keys,
+            F.transform("__c", lambda c: c["total"]).alias("sums"),
+            F.transform(F.filter("__c", lambda c: c["pos"] == 0), lambda c: c["n"]).alias("counts"),
+            F.array_sort(F.array_distinct(F.transform("__c", lambda c: c["fold"]))).alias("folds"),
+        )
+    )
 
 
 def normalised_covariance(cov: Column, channels: Column) -> Column:
@@ -292,34 +299,28 @@ def log_variances(cov: Column, channels: Column, width: Column) -> Column:
 # --- spatial filters ------------------------------------------------------------
 
 
-def fit_spatial_filters(
-    covs: DataFrame, components: Sequence[int], holdout: bool = True
-) -> DataFrame:
-    """(subject, band, split, fold, csp_components, filters) from class covariances.
+def fit_spatial_filters(covs: DataFrame, components: Sequence[int]) -> DataFrame:
+    """(subject, band, split, csp_components, held, filters) from class covariances.
 
-    Expects subject_id, band, split, fold, class, channels, cov.
+    Expects subject_id, band, split, fold, class, channels, cov.  Each fold's filters
+    are fitted on the other folds.
     """
-    keys = ["subject_id", "band", "split", "fold", "class"]
+    keys = ["subject_id", "band", "split"]
     normal = covs.withColumn("cov", normalised_covariance(F.col("cov"), F.col("channels")))
-    sums = element_sums(normal, keys, "cov")
-    if holdout:
-        sums = training_side(sums, keys)
-    means = sums.withColumn("mean", F.col("total") / F.col("n"))
-    per_class = means.groupBy(*keys).agg(_vector("pos", "mean").alias("mean"))
-    pair = per_class.groupBy(*keys[:-1]).agg(
-        F.max_by("mean", -F.col("class")).alias("left"), F.max_by("mean", "class").alias("right")
-    )
 
-    @F.pandas_udf("array<double>")
-    def run(left: pd.Series, right: pd.Series, k: pd.Series) -> pd.Series:
-        return kernels.spatial_filters_batch(left, right, k)
+    @F.pandas_udf("array<array<double>>")
+    def run(sums: pd.Series, counts: pd.Series, k: pd.Series) -> pd.Series:
+        return kernels.spatial_filters_batch(sums, counts, k)
 
     wanted = F.explode(F.array(*[F.lit(int(k)) for k in components]))
-    return pair.withColumn("csp_components", wanted).select(
-        *keys[:-1],
+    fitted = gathered_sums(normal, keys, "cov").withColumn("csp_components", wanted)
+    per_fold = fitted.select(
+        *keys,
         "csp_components",
-        run(F.col("left"), F.col("right"), F.col("csp_components")).alias("filters"),
+        "folds",
+        F.posexplode(run(F.col("sums"), F.col("counts"), F.col("csp_components"))).alias("at", "filters"),
     )
+    return per_fold.select(*keys, "csp_components", F.get("folds", F.col("at")).alias("held"), "filters")
 
 
 def spatial_features(covs: DataFrame, filters: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -329,7 +330,7 @@ def spatial_features(covs: DataFrame, filters: DataFrame, on: Sequence[str]) ->
     def run(cov: pd.Series, w: pd.Series) -> pd.Series:
         return kernels.projected_shares_batch(cov, w)
 
-    return covs.join(filters.where("filters is not null"), list(on)).withColumn(
+    return covs.join(filters, list(on)).withColumn(
         "x", run(F.col("cov"), F.col("filters"))
     )
 
@@ -344,52 +345,34 @@ def moment_vector(x: Column) -> Column:
     return F.concat(F.array(F.lit(1.0)), x, products)
 
 
-def class_moments(features: DataFrame, keys: Sequence[str], holdout: bool) -> DataFrame:
-    """(keys, counts, sums, squares) with both classes laid end to end."""
-    full = [*keys, "class"]
-    sums = element_sums(features.withColumn("m", moment_vector(F.col("x"))), full, "m")
-    if holdout:
-        sums = training_side(sums, full)
-    per_class = sums.groupBy(*full).agg(_vector("pos", "total").alias("m"))
-    pair = per_class.groupBy(*keys).agg(
-        F.max_by("m", -F.col("class")).alias("a"),
-        F.max_by("m", "class").alias("b"),
-    )
-    # 1 + F + F^2 entries, so F is the floor of the root of their number.
-    f = F.floor(F.sqrt(F.size("a").cast("double") - 1)).cast("int")
-
-    def cut(c: str, start: Column, length: Column) -> Column:
-        return F.slice(c, start, length)
-
-    return pair.withColumn("f", f).select(
-        *keys,
-        F.array(F.get("a", F.lit(0)), F.get("b", F.lit(0))).alias("counts"),
-        F.concat(cut("a", F.lit(2), F.col("f")), cut("b", F.lit(2), F.col("f"))).alias("sums"),
-        F.concat(
-            cut("a", F.col("f") + 2, F.col("f") * F.col("f")),
-            cut("b", F.col("f") + 2, F.col("f") * F.col("f")),
-        ).alias("squares"),
-    )
+def class_moments(features: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, sums, counts, folds) of moment vectors by class and fold."""
+    return gathered_sums(features.withColumn("m", moment_vector(F.col("x"))), keys, "m")
 
 
 MODEL_TYPE = (
-    "struct<center:array<double>,scale:array<double>,means:array<double>,"
-    "precision:array<double>,weights:array<double>,bias:array<double>>"
+    "array<struct<center:array<double>,scale:array<double>,means:array<double>,"
+    "precision:array<double>,weights:array<double>,bias:array<double>>>"
 )
 
 
-def fit_classifier(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Shrinkage discriminant per row of class moments; needs ``shrinkage``."""
+def fit_classifier(moments: DataFrame, keys: Sequence[str], holdout: bool) -> DataFrame:
+    """Shrinkage discriminant per row of class moments and fold; needs ``shrinkage``.
+
+    ``holdout`` says that a fold's sums are its own trials, to be left out of its
+    training; otherwise they are its training trials already.
+    """
 
     @F.pandas_udf(MODEL_TYPE)
-    def run(counts: pd.Series, sums: pd.Series, squares: pd.Series, shrinkage: pd.Series) -> pd.DataFrame:
-        return kernels.discriminant_batch(
-            pd.DataFrame({"counts": counts, "sums": sums, "squares": squares, "shrinkage": shrinkage})
-        )
+    def run(sums: pd.Series, counts: pd.Series, shrinkage: pd.Series) -> pd.Series:
+        return kernels.discriminant_batch(sums, counts, holdout, shrinkage)
 
-    return moments.select(
-        *keys, run(F.col("counts"), F.col("sums"), F.col("squares"), F.col("shrinkage")).alias("m")
-    ).select(*keys, "m.*")
+    fitted = moments.select(
+        *keys,
+        "folds",
+        F.posexplode(run(F.col("sums"), F.col("counts"), F.col("shrinkage"))).alias("at", "m"),
+    )
+    return fitted.select(*keys, F.get("folds", F.col("at")).alias("fold"), "m.*")
 
 
 def discriminant_scores(x: Column, weights: Column, bias: Column) -> tuple[Column, Column]:
@@ -507,30 +490,29 @@ def predictions(summaries: DataFrame, candidates: Sequence[Candidate]) -> DataFr
     candidates = list(candidates)
     covs = _prepared(summaries, candidates, _splits(candidates))
     feature_rows: list[DataFrame] = []
-    moment_rows: list[DataFrame] = []
+    model_rows: list[DataFrame] = []
     keep = [*FEATURE_KEY, "fold", "trial_id", "class", "x"]
+
+    def models_of(features: DataFrame, holdout: bool) -> DataFrame:
+        moments = _with_candidates(class_moments(features, FEATURE_KEY), candidates)
+        return fit_classifier(moments, [*FEATURE_KEY, "pipeline_id"], holdout)
+
     if any(not c.spatial for c in candidates):
         x = log_variances(F.col("cov"), F.col("channels"), F.col("width"))
         plain = covs.withColumn("x", x).withColumn("csp_components", F.lit(0)).select(*keep)
         feature_rows.append(plain)
-        moment_rows.append(class_moments(plain, [*FEATURE_KEY, "fold"], holdout=True))
+        model_rows.append(models_of(plain, holdout=True))
     components = sorted({c.csp_components for c in candidates if c.spatial})
     if components:
-        filters = materialise(
-            fit_spatial_filters(covs, components).withColumnRenamed("fold", "held"), "spatial-filters"
-        )
+        filters = materialise(fit_spatial_filters(covs, components), "spatial-filters")
         spatial = spatial_features(covs, filters, ["subject_id", "band", "split"])
         train = spatial.where(F.col("fold") != F.col("held")).drop("fold")
-        moment_rows.append(
-            class_moments(train.withColumnRenamed("held", "fold"), [*FEATURE_KEY, "fold"], holdout=False)
-        )
+        model_rows.append(models_of(train.withColumnRenamed("held", "fold"), holdout=False))
         feature_rows.append(spatial.where(F.col("fold") == F.col("held")).select(*keep))
-    features, moments = feature_rows[0], moment_rows[0]
-    for f, m in zip(feature_rows[1:], moment_rows[1:], strict=True):
-        features, moments = features.unionByName(f), moments.unionByName(m)
-    models = fit_classifier(
-        _with_candidates(moments, candidates), [*FEATURE_KEY, "fold", "pipeline_id"]
-    ).select(*FEATURE_KEY, "fold", "pipeline_id", "weights", "bias")
+    features, models = feature_rows[0], model_rows[0]
+    for f, m in zip(feature_rows[1:], model_rows[1:], strict=True):
+        features, models = features.unionByName(f), models.unionByName(m)
+    models = models.select(*FEATURE_KEY, "fold", "pipeline_id", "weights", "bias")
     return features.join(models, [*FEATURE_KEY, "fold"]).select(
         "subject_id",
         "pipeline_id",
@@ -553,30 +535,30 @@ def fit_models(summaries: DataFrame, candidates: Sequence[Candidate]) -> DataFra
     candidates = [replace(c, cv_folds=2, random_seed=0) for c in candidates]
     bands = _bands(candidates)
     covs = _prepared(summaries, candidates, [])
-    keys = [*FEATURE_KEY, "fold"]
-    none = F.lit(None).cast("array<double>")
     parts: list[DataFrame] = []
+
+    def models_of(features: DataFrame) -> DataFrame:
+        moments = _with_candidates(class_moments(features, FEATURE_KEY), candidates)
+        return fit_classifier(moments, [*FEATURE_KEY, "pipeline_id"], holdout=False)
+
     if any(not c.spatial for c in candidates):
         x = log_variances(F.col("cov"), F.col("channels"), F.col("width"))
         plain = covs.withColumn("x", x).withColumn("csp_components", F.lit(0))
-        parts.append(class_moments(plain, keys, holdout=False).withColumn("filters", none))
+        parts.append(models_of(plain).withColumn("filters", F.lit(None).cast("array<double>")))
     components = sorted({c.csp_components for c in candidates if c.spatial})
     if components:
-        filters = materialise(fit_spatial_filters(covs, components, holdout=False), "spatial-filters")
-        spatial = spatial_features(covs, filters.drop("fold"), ["subject_id", "band", "split"])
-        parts.append(class_moments(spatial, keys, holdout=False).join(filters, keys))
-    moments = parts[0]
+        filters = materialise(fit_spatial_filters(covs, components).drop("held"), "spatial-filters")
+        spatial = spatial_features(covs, filters, ["subject_id", "band", "split"])
+        parts.append(models_of(spatial).join(filters, FEATURE_KEY))
+    fitted = parts[0]
     for p in parts[1:]:
-        moments = moments.unionByName(p)
+        fitted = fitted.unionByName(p)
     shape = summaries.groupBy("subject_id").agg(
         F.min("label").alias("class_0"),
         F.max("label").alias("class_1"),
         F.max("sfreq").alias("sfreq"),
         F.max("channels").alias("channels"),
     )
-    fitted = fit_classifier(
-        _with_candidates(moments, candidates), [*keys, "pipeline_id", "filters"]
-    )
     edge = F.element_at(
         F.array(*[F.struct(F.lit(lo).alias("low"), F.lit(hi).alias("high")) for lo, hi in bands]),
         F.col("band") + 1,

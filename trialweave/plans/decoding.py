@@ -160,15 +160,15 @@ def fold_features(spark, sf):
 def ag22_standardised(spark, sf):
     """Held-out features scaled by the training side of their fold."""
     rows = fold_features(spark, sf)
-    vectors = rows.select("subject_id", "channel", "fold", F.array(F.lit(1.0), F.col("x"), F.col("x") * F.col("x")).alias("m"))
-    train = decode.training_side(
-        decode.element_sums(vectors, ["subject_id", "channel", "fold"], "m"), ["subject_id", "channel", "fold"]
+    own = rows.groupBy("subject_id", "channel", "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")
     )
-    stats = train.groupBy("subject_id", "channel", "fold").agg(
-        *[F.max(F.when(F.col("pos") == i, F.col("total"))).alias(f"s{i}") for i in range(3)]
+    total = own.groupBy("subject_id", "channel").agg(*[F.sum(c).alias(f"t{c}") for c in "nsq"])
+    stats = own.join(total, ["subject_id", "channel"]).select(
+        "subject_id", "channel", "fold", *[(F.col(f"t{c}") - F.col(c)).alias(f"r{c}") for c in "nsq"]
     )
-    mean = F.col("s1") / F.col("s0")
-    deviation = F.sqrt(F.greatest(F.col("s2") / F.col("s0") - mean * mean, F.lit(0.0)))
+    mean = F.col("rs") / F.col("rn")
+    deviation = F.sqrt(F.greatest(F.col("rq") / F.col("rn") - mean * mean, F.lit(0.0)))
     scale = F.when(deviation <= decode.FLOOR, 1.0).otherwise(deviation)
     return rows.join(stats, ["subject_id", "channel", "fold"]).select(
         "trial_id", "channel", "fold", F.round((F.col("x") - mean) / scale, 6).alias("z")
@@ -195,24 +195,28 @@ def ag23_classifier_statistics(spark, sf):
         rows.groupBy("subject_id", "trial_id", "label")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "x"))), lambda p: p["x"]).alias("x"))
     )
-    classed = vectors.withColumn("class", (F.col("label") == "b").cast("int"))
-    moments = decode.class_moments(classed, ["subject_id"], holdout=False)
+    classed = vectors.withColumn("class", (F.col("label") == "b").cast("int")).withColumn("fold", F.lit(-1))
+    moments = decode.class_moments(classed, ["subject_id"])
+    # Per class: one count, F sums, F x F products.
+    size = F.floor(F.size("sums") / 2).cast("int")
     f = F.col("f")
-    facts = moments.withColumn("f", F.floor(F.size("sums") / 2).cast("int")).withColumn(
-        "n", F.get("counts", F.lit(0)) + F.get("counts", F.lit(1))
+    facts = (
+        moments.withColumn("size", size)
+        .withColumn("f", F.floor(F.sqrt(F.col("size").cast("double") - 1)).cast("int"))
+        .withColumn("n", F.get("sums", F.lit(0)) + F.get("sums", F.col("size")))
     )
     cells = facts.select(
         "*", F.explode(F.sequence(F.lit(0), f - 1)).alias("i")
     ).select("*", F.explode(F.sequence(F.lit(0), f - 1)).alias("j"))
 
     def total(k, at):
-        return F.get("sums", F.lit(k) * f + at)
+        return F.get("sums", F.lit(k) * F.col("size") + 1 + at)
 
     def count(k):
-        return F.get("counts", F.lit(k))
+        return F.get("sums", F.lit(k) * F.col("size"))
 
     def square(k, a, b):
-        return F.get("squares", F.lit(k) * f * f + a * f + b)
+        return F.get("sums", F.lit(k) * F.col("size") + 1 + f + a * f + b)
 
     def center(at):
         return (total(0, at) + total(1, at)) / F.col("n")

@@ -237,10 +237,8 @@ def format_inventory(inventory: DataFrame) -> DataFrame:
         )
         for fid, files, _, _, folders, generic in FORMATS
     ]
-    matches = inventory.select(
-        "relative_path",
-        "is_dir",
-        F.inline(F.filter(F.array(*tests), lambda t: t.isNotNull())),
+    matches = inventory.select("relative_path", "is_dir", F.inline(F.array(*tests))).where(
+        F.col("format_id").isNotNull()
     )
     links = companion_links(
         inventory.where(~F.col("is_dir")),
