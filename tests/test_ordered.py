@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trialweave.operators.ordered import (
     POSITION,
     block_slice,
+    hash_slice,
     ordered_position,
     ordered_scan,
     previous,
@@ -29,9 +30,9 @@ def rows(seed, n=400, hot=0.4):
     return [seen.setdefault((k, t), (k, t, v, s)) for k, t, v, s in out if (k, t) not in seen]
 
 
-@pytest.mark.parametrize("partitions", [1, 4, 17])
-@pytest.mark.parametrize("width", [1, 50, 10_000])
-def test_scan_equals_window(spark, partitions, width):
+@pytest.mark.parametrize("partitions,width", [(1, 50), (4, 1), (17, 10_000), (4, 300)])
+@pytest.mark.parametrize("heavy_rows", [0, 60, 10**9])
+def test_scan_equals_window(spark, partitions, width, heavy_rows):
     df = spark.createDataFrame(rows(width), "k long, t long, v long, s string").repartition(partitions)
     got = ordered_scan(
         df,
@@ -39,6 +40,7 @@ def test_scan_equals_window(spark, partitions, width):
         ["t"],
         block_slice("t", width),
         {"p": POSITION, "total": running_sum("v"), "top": running_max("v"), "prev": previous("s")},
+        heavy_rows,
     )
     w = Window.partitionBy("k").orderBy("t")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -52,6 +54,13 @@ def test_scan_equals_window(spark, partitions, width):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_hash_slices_keep_the_order(spark):
+    df = spark.range(500).select(F.lit("k").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("h"), F.lit(500).alias("n"))
+    got = ordered_position(df, ["k"], ["h"], hash_slice("h", F.col("n"), rows=20), "p", heavy_rows=10)
+    want = {r.h: i + 1 for i, r in enumerate(df.orderBy("h").collect())}
+    assert {r.h: r.p for r in got.collect()} == want
+
+
 def test_scan_without_keys(spark):
     df = spark.range(1000).withColumn("t", F.col("id") * 3)
     got = ordered_position(df, [], ["t"], block_slice("t", 100), "p")

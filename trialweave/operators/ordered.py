@@ -1,12 +1,13 @@
-"""Ordered scans inside a key that never bring the whole key to one task.
+"""Ordered scans inside a key that never bring a heavy key to one task.
 
 A plain ``Window.partitionBy(key).orderBy(t)`` sorts all rows of one key in one
-task.  When a key holds a large part of the table that task is the job.  Here the
-caller names a *slice*: a non-decreasing function of the ordering column (a day of
-a timestamp, a block of a sequence number, a prefix of a hash).  Rows are sorted
-inside (key, slice); one summary row per (key, slice) carries the running state
-from slice to slice; the two are joined on (key, slice).  The result equals the
-plain window for any slice function; the slice only decides the task size.
+task.  When a key holds a large part of the table that task is the job.  Keys are
+counted first (map-side combined, key columns only).  Where no key is heavy the plain
+window stands.  Otherwise heavy keys are cut into slices: a non-decreasing function of
+the ordering column named by the caller (a day of a timestamp, a block of a sequence
+number, a part of a hash's range).  Rows are sorted inside (key, slice), and one
+summary row per heavy (key, slice) carries the running state from slice to slice.  The
+result equals the plain window for any slice function.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialweave.session import materialise
+
 SLICE = "__slice"
 
 
@@ -43,20 +46,57 @@ def previous(column: str) -> Running:
     return Running("previous", column)
 
 
+HEAVY_ROWS = 1_000_000
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     slice_by: Column,
     outputs: dict[str, Running],
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Add running values over ``order`` (ascending, unique within ``keys``).
 
     ``keys`` must not be null.  ``keys`` may be empty: the scan then runs over the
-    whole table, still split by slice.  The input is evaluated twice, once for its rows
-    and once, combined map-side, for the summary; write an expensive one down first.
+    whole table and is always sliced.  The input is evaluated up to four times; write
+    an expensive one down first.
     """
-    sliced = df.withColumn(SLICE, slice_by)
+    keys = list(keys)
+    if not keys:
+        sliced = df.withColumn(SLICE, slice_by)
+        return _sliced_scan(df.columns, sliced, sliced, keys, order, outputs)
+    heavy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy_rows)
+    if heavy.isEmpty():
+        return _plain_scan(df, keys, order, outputs)
+    heavy = materialise(heavy.select(*keys, F.lit(True).alias("__heavy")), "heavy-keys")
+    # Light keys keep a null slice: one window each, and no summary row.
+    marked = df.join(heavy, keys, "left").withColumn(SLICE, F.when(F.col("__heavy"), slice_by))
+    summarised = df.join(heavy, keys, "left_semi").withColumn(SLICE, slice_by)
+    return _sliced_scan(df.columns, marked, summarised, keys, order, outputs)
+
+
+def _plain_scan(df: DataFrame, keys: list[str], order: Sequence[str], outputs: dict[str, Running]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    make = {
+        "position": lambda c: F.row_number().over(w).cast("long"),
+        "sum": lambda c: F.sum(c).over(upto),
+        "max": lambda c: F.max(c).over(upto),
+        "previous": lambda c: F.lag(c).over(w),
+    }
+    return df.select("*", *[make[o.kind](o.column).alias(name) for name, o in outputs.items()])
+
+
+def _sliced_scan(
+    columns: Sequence[str],
+    rows: DataFrame,
+    summarised: DataFrame,
+    keys: list[str],
+    order: Sequence[str],
+    outputs: dict[str, Running],
+) -> DataFrame:
     local = Window.partitionBy(*keys, SLICE).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     across = Window.partitionBy(*keys).orderBy(SLICE)
@@ -70,8 +110,8 @@ def ordered_scan(
         h, t, c = f"__h_{name}", f"__t_{name}", f"__c_{name}"
         if out.kind == "position":
             totals.append(F.count(F.lit(1)).alias(t))
-            carried.append(F.coalesce(F.sum(t).over(before), F.lit(0)).alias(c))
-            final.append((F.col("__rn") + F.col(c)).cast("long").alias(name))
+            carried.append(F.sum(t).over(before).alias(c))
+            final.append((F.col("__rn") + F.coalesce(c, F.lit(0))).cast("long").alias(name))
         elif out.kind == "sum":
             here.append(F.sum(out.column).over(upto).alias(h))
             totals.append(F.sum(out.column).alias(t))
@@ -99,9 +139,12 @@ def ordered_scan(
         else:
             raise ValueError(f"unknown running kind: {out.kind}")
 
-    rows = sliced.select("*", *here)
-    state = sliced.groupBy(*keys, SLICE).agg(*totals).select(*keys, SLICE, *carried)
-    return rows.join(state, [*keys, SLICE]).select(*df.columns, *final)
+    state = summarised.groupBy(*keys, SLICE).agg(*totals).select(*keys, SLICE, *carried)
+    return (
+        rows.select("*", *here)
+        .join(state, [*keys, SLICE], "left")
+        .select(*columns, *final)
+    )
 
 
 def ordered_position(
@@ -110,9 +153,10 @@ def ordered_position(
     order: Sequence[str],
     slice_by: Column,
     name: str = "position",
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """``row_number`` within ``keys`` from 1, split by slice."""
-    return ordered_scan(df, keys, order, slice_by, {name: POSITION})
+    """``row_number`` within ``keys`` from 1."""
+    return ordered_scan(df, keys, order, slice_by, {name: POSITION}, heavy_rows)
 
 
 def hash_slice(hash_column: str, size: Column, rows: int = 100_000) -> Column:
