@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions import parameters
 from trialweave.operators import decode, search, signal
+from trialweave.plans import decoding_sql
 from trialweave.plans.registry import query, table
 from trialweave.session import materialise, shared_dir
 from trialweave.sources.sinks import write_once
@@ -266,17 +267,20 @@ def ag24_metrics(spark, sf):
     )
 
 
-@query("gj1_bandpass")
+@query(
+    "gj1_bandpass",
+    f"""
+    WITH {TRIAL_SQL}, {decoding_sql.bands_cte([(8.0, 30.0)])},
+    y AS (SELECT trial_id, c.c AS channel_idx, list_transform(mat, lambda w: list_dot_product(w, CASE c.c WHEN 0 THEN x0 ELSE x1 END)) AS v FROM ch, fm, (VALUES (0), (1)) c(c))
+    SELECT trial_id AS trial_idx, channel_idx, unnest(range(32))::INTEGER AS sample, round(unnest(v), 9) + 0.0 AS value FROM y
+    """,
+)
 def gj1_bandpass(spark, sf):
     rows = signal.epochs_of_trials(trials(spark, sf).withColumnRenamed("trial_id", "trial_idx"))
     out = decode.bandpass(rows, 8.0, 30.0)
-    return out.select("trial_idx", "channel_idx", F.posexplode("filtered").alias("sample", "value"))
-
-
-@query("gj2_spatial_filters")
-def gj2_spatial_filters(spark, sf):
-    rows = decode.accepted(decode.trial_summaries(trials(spark, sf), BANDS), CANDIDATES)
-    return decode.fit_spatial_filters(decode.band_rows(decode.with_folds(rows, [(3, 7)])), [2])
+    return out.select("trial_idx", "channel_idx", F.posexplode("filtered").alias("sample", "value")).withColumn(
+        "value", F.round("value", 9) + 0.0
+    )
 
 
 @query(
@@ -311,30 +315,117 @@ def gj3_linear_scores(spark, sf):
     )
 
 
-@query("gj4_evaluate_candidate")
+# Pairs of trial and held-out fold, over all trials or over one session's.
+PAIRS_SQL = """
+    te AS (SELECT trial_id, h.h AS held, fold <> h.h AS is_train FROM fd, (VALUES (0), (1), (2)) h(h))
+"""
+METRICS = ("accuracy", "balanced_accuracy", "kappa")
+
+
+def sweep_sql(bands, families: str) -> str:
+    """Metrics of every candidate per fold and pooled (fold -1)."""
+    return f"""
+    WITH {FOLD_SQL}, {decoding_sql.bands_cte(bands)}, {PAIRS_SQL}, {decoding_sql.predictions_ctes("ch", "te")},
+    bo AS (SELECT subject_id, family || '-' || band AS pipeline_id, f.f::INTEGER AS fold, label, said FROM pr, LATERAL (SELECT held AS f UNION ALL SELECT -1) f WHERE family IN ({families}))
+    {decoding_sql.metrics_sql("bo", "subject_id, pipeline_id, fold")}
+    """
+
+
+def rounded(metrics):
+    return metrics.drop("cohen_kappa").withColumns({c: F.round(c, 9) for c in METRICS})
+
+
+@query(
+    "gj2_spatial_filters",
+    f"""
+    WITH {FOLD_SQL}, {decoding_sql.bands_cte(sorted(set(BANDS)))}, {PAIRS_SQL}, {decoding_sql.predictions_ctes("ch", "te")}
+    SELECT subject_id, band, held::INTEGER AS held, 0 AS component, round(u0 * u0 / un, 6) + 0.0 AS w00, round(u0 * u1 / un, 6) + 0.0 AS w01, round(u1 * u1 / un, 6) + 0.0 AS w11 FROM en
+    UNION ALL SELECT subject_id, band, held::INTEGER, 1, round(v0 * v0 / vn, 6) + 0.0, round(v0 * v1 / vn, 6) + 0.0, round(v1 * v1 / vn, 6) + 0.0 FROM en
+    """,
+)
+def gj2_spatial_filters(spark, sf):
+    """Filters of every fold; products of weights, as a filter's sign is arbitrary."""
+    rows = decode.accepted(decode.trial_summaries(trials(spark, sf), BANDS), CANDIDATES)
+    fitted = decode.fit_spatial_filters(decode.band_rows(decode.with_folds(rows, [(3, 7)])), [2])
+    names = F.array(*[F.lit(f"{int(lo)}-{int(hi)}") for lo, hi in sorted(set(BANDS))])
+    w = fitted.select(
+        "subject_id", F.get(names, F.col("band")).alias("band"), "held", "filters", F.explode(F.array(F.lit(0), F.lit(1))).alias("component")
+    )
+    x, y = F.get("filters", F.col("component") * 2), F.get("filters", F.col("component") * 2 + 1)
+    return w.select(
+        "subject_id", "band", "held", "component",
+        *[(F.round(v, 6) + 0.0).alias(n) for n, v in (("w00", x * x), ("w01", x * y), ("w11", y * y))],
+    )
+
+
+@query("gj4_evaluate_candidate", sweep_sql([(8.0, 30.0)], "'csp_lda'"))
 def gj4_evaluate_candidate(spark, sf):
     one = [c for c in CANDIDATES if c.pipeline_id == "csp_lda-8-30"]
-    return decode.evaluate(decode.summarise(trials(spark, sf), one), one)
+    return rounded(decode.evaluate(decode.summarise(trials(spark, sf), one), one))
 
 
-@query("gj5_candidate_sweep")
+@query("gj5_candidate_sweep", sweep_sql(sorted(set(BANDS)), "'bandpower_lda', 'csp_lda'"))
 def gj5_candidate_sweep(spark, sf):
-    return decode.evaluate(decode.summarise(trials(spark, sf), CANDIDATES), CANDIDATES)
+    return rounded(decode.evaluate(decode.summarise(trials(spark, sf), CANDIDATES), CANDIDATES))
 
 
-@query("gj6_fit_models")
+@query(
+    "gj6_fit_models",
+    f"""
+    WITH {TRIAL_SQL}, {decoding_sql.bands_cte(sorted(set(BANDS)))}, al AS (SELECT trial_id, 0 AS held, true AS is_train FROM t), {decoding_sql.predictions_ctes("ch", "al")}
+    SELECT s.subject_id, s.family || '-' || s.band AS pipeline_id, x.cls AS class, round(g0, 6) AS center_0, round(g1, 6) AS center_1, round(d0, 6) AS scale_0, round(d1, 6) AS scale_1,
+      round(w0 / d0, 5) + 0.0 AS weight_0, round(w1 / d1, 5) + 0.0 AS weight_1, round(b - w0 / d0 * g0 - w1 / d1 * g1, 5) + 0.0 AS bias
+    FROM st s JOIN ws x ON s.subject_id = x.subject_id AND s.band = x.band AND s.family = x.family AND s.held = x.held
+    """,
+)
 def gj6_fit_models(spark, sf):
-    return decode.fit_models(decode.summarise(trials(spark, sf), CANDIDATES), CANDIDATES)
+    """Frozen models on all trials, one row per class."""
+    models = decode.fit_models(decode.summarise(trials(spark, sf), CANDIDATES), CANDIDATES)
+    each = models.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    k = F.col("k")
+    return each.select(
+        "subject_id",
+        "pipeline_id",
+        F.when(k == 0, F.col("class_0")).otherwise(F.col("class_1")).alias("class"),
+        *[F.round(F.get(n, F.lit(i)), 6).alias(f"{n}_{i}") for n in ("center", "scale") for i in (0, 1)],
+        *[(F.round(F.get("weights", k * 2 + i), 5) + 0.0).alias(f"weight_{i}") for i in (0, 1)],
+        (F.round(F.get("bias", k), 5) + 0.0).alias("bias"),
+    )
+
+
+FROZEN_PAIRS_SQL = "fz AS (SELECT trial_id, 0 AS held, trial_id % 2 = 0 AS is_train FROM t)"
+FROZEN_SQL = f"{FROZEN_PAIRS_SQL}, {decoding_sql.predictions_ctes('ch', 'fz', 'z_')}, fb AS (SELECT subject_id, family || '-' || band AS pipeline_id, label, said FROM z_pr)"
 
 
-@query("gj7_apply_frozen")
+@query(
+    "gj7_apply_frozen",
+    f"""
+    WITH {TRIAL_SQL}, {decoding_sql.bands_cte(sorted(set(BANDS)))}, {FROZEN_SQL}
+    {decoding_sql.metrics_sql("fb", "subject_id, pipeline_id")}
+    """,
+)
 def gj7_apply_frozen(spark, sf):
     summaries = decode.summarise(trials(spark, sf), CANDIDATES)
     models = materialise(decode.fit_models(summaries.where("session_id = 0"), CANDIDATES), "models")
-    return decode.evaluate_frozen(models, summaries.where("session_id = 1"), BANDS)
+    return rounded(decode.evaluate_frozen(models, summaries.where("session_id = 1"), BANDS)).drop("model_sha256")
+
+
+ORDER_SQL = "[" + ", ".join(f"'{c.pipeline_id}'" for c in CANDIDATES) + "]"
 
 
-@query("gj11_confirmation")
+@query(
+    "gj11_confirmation",
+    f"""
+    WITH {TRIAL_SQL}, {decoding_sql.bands_cte(sorted(set(BANDS)))}, sr AS (SELECT * FROM ch WHERE trial_id % 2 = 0),
+    fd AS (SELECT trial_id, ntile(3) OVER (PARTITION BY subject_id, label ORDER BY sha256('7:' || trial_id)) - 1 AS fold FROM sr), {PAIRS_SQL},
+    {decoding_sql.predictions_ctes("sr", "te")}, {FROZEN_SQL},
+    so AS (SELECT subject_id, family || '-' || band AS pipeline_id, label, said FROM pr),
+    sm AS ({decoding_sql.metrics_sql("so", "subject_id, pipeline_id")}), fs AS ({decoding_sql.metrics_sql("fb", "subject_id, pipeline_id")}),
+    be AS (SELECT subject_id, arg_max(pipeline_id, (balanced_accuracy, -list_position({ORDER_SQL}, pipeline_id))) AS pipeline_id, max(balanced_accuracy) AS search_score FROM sm GROUP BY 1)
+    SELECT 'lock-' || subject_id AS lock_id, subject_id, pipeline_id, search_score, balanced_accuracy AS confirmation_score, round(balanced_accuracy - search_score, 6) + 0.0 AS confirmation_minus_search, 'completed_one_shot' AS status
+    FROM be JOIN fs USING (subject_id, pipeline_id)
+    """,
+)
 def gj11_confirmation(spark, sf):
     """Search on one session, lock the best, fit it, then score it once on the other.
 
@@ -342,7 +433,7 @@ def gj11_confirmation(spark, sf):
     """
     rows = trials(spark, sf)
     search_rows = decode.summarise(rows.where("session_id = 0"), CANDIDATES)
-    searched = decode.evaluate(search_rows, CANDIDATES).where("fold = -1")
+    searched = rounded(decode.evaluate(search_rows, CANDIDATES).where("fold = -1"))
     order = F.array_position(F.array(*[F.lit(c.pipeline_id) for c in CANDIDATES]), F.col("pipeline_id"))
     best = search.arg_max(
         searched.withColumn("at", order), ["subject_id"], "pipeline_id", "balanced_accuracy", "at"
@@ -368,7 +459,14 @@ def gj11_confirmation(spark, sf):
     held_out = decode.summarise(rows.where("session_id = 1"), CANDIDATES)
     scored = decode.evaluate_frozen(models, held_out, BANDS)
     evaluated = scored.select("subject_id", "pipeline_id", F.col("balanced_accuracy").alias("score"))
-    return search.confirm(locks, evaluated, earlier)
+    found = search.confirm(locks, evaluated, earlier)
+    return found.withColumns(
+        {
+            "search_score": F.round("search_score", 9),
+            "confirmation_score": F.round("confirmation_score", 9),
+            "confirmation_minus_search": F.round("confirmation_minus_search", 6) + 0.0,
+        }
+    )
 
 
 GUIDED_SQL = f"""
