@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from trialweave.functions import hashing, parameters, text
 from trialweave.plans.registry import query, table
 
-# SQL text of the same entity table, for the comparison statements.
+
 def entities_sql(expr: str) -> str:
+    """SQL of the same entity table.  HTML lets an ampersand's entity lack its end."""
     for entity, char in text.COMMON_ENTITIES.items():
-        quoted = char.replace("'", "''")
-        expr = f"replace({expr}, '{entity}', '{quoted}')"
-    return expr
+        if entity != "&amp;":
+            quoted = char.replace("'", "''")
+            expr = f"replace({expr}, '{entity}', '{quoted}')"
+    return f"regexp_replace({expr}, '&amp;?', '&', 'g')"
+
 
 
 CLEAN_SQL = entities_sql("regexp_replace(html, '<[^>]+>', ' ', 'g')")
