@@ -125,7 +125,7 @@ def gj8_search_trace(spark, sf):
 
 
 @query(
-    "gj9_pipeline_lock",
+    "gj9_search_lock",
     f"""
     WITH {TRACE_SQL}, d AS (SELECT * FROM trace WHERE verdict = 'admitted'),
     l AS (SELECT subject, count(DISTINCT configuration) AS n, max(score) AS best, max(CASE WHEN pos % 3 <> 0 THEN score END) AS sel, arg_max(pos, CASE WHEN pos % 3 <> 0 THEN score END) AS ex, count(*) AS c FROM d GROUP BY 1)
@@ -133,7 +133,7 @@ def gj8_search_trace(spark, sf):
       CASE WHEN n < 2 THEN 'too_few_candidates' WHEN sel IS NULL THEN 'selection_not_in_trace' ELSE 'locked_awaiting_confirmation' END AS status FROM l
     """,
 )
-def gj9_pipeline_lock(spark, sf):
+def gj9_search_lock(spark, sf):
     admitted = (
         trace(spark, sf)
         .where("verdict = 'admitted'")
