@@ -6,14 +6,10 @@ partitions, shuffles and sums everything around them.
 
 from __future__ import annotations
 
-import sys
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FLOOR = 1e-12
 

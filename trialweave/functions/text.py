@@ -3,16 +3,11 @@
 from __future__ import annotations
 
 import html
-import sys
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Kernels travel by value, so executors need no installed copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # Entities replaced without leaving the JVM; "&amp;" goes last so that
 # an escaped entity is decoded once only.
 COMMON_ENTITIES = {

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import json
-import sys
 from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,9 +14,6 @@ from pyspark.sql import types as T
 from trialweave.functions.parameters import BANDS, FAMILIES
 from trialweave.operators.checks import Rule, violations
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def has_text(c: Column) -> Column:
     return F.coalesce(F.trim(c) != "", F.lit(False))
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "trialweave", cores: str = "*") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -22,6 +24,26 @@ def local_session(app: str = "trialweave", cores: str = "*") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context.
+
+    The Arrow kernels are imported there.  Clusters that have the package installed or
+    get it by ``--py-files`` lose nothing by it.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_trialweave_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "trialweave.zip"
+    with zipfile.ZipFile(archive, "w") as held:
+        for source in sorted(package.rglob("*.py")):
+            held.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._trialweave_shipped = True
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:

@@ -4,21 +4,16 @@ from __future__ import annotations
 
 import io
 import re
-import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialweave.operators.ordered import ordered_position, top_rows
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 # --- sidecars -------------------------------------------------------------------
 
 

@@ -16,6 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# The state worker starts without shipped files, so the processor travels by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EVENT_SCHEMA = "run long, sequence long, event_type string, used double, requested double"
