@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,14 +51,48 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the checkpoint folder every executor can reach.
 
-    The cluster names that folder in ``spark.checkpoint.dir``.  Only where it is
-    unset (tests, local runs) a temporary folder takes its place.
+    The cluster names that folder in ``spark.checkpoint.dir``.  Where it is unset a local
+    session (tests, benchmarks) takes one temporary folder for its life; any other master
+    is refused, because executors would each write to a disk of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/trialweave/{purpose}-{uuid.uuid4().hex}"
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context = spark.sparkContext
+        root = getattr(context, "_trialweave_scratch", None)
+        if root is None:
+            root = context._trialweave_scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    path = f"{root.rstrip('/')}/trialweave/{purpose}-{uuid.uuid4().hex}"
+    for held in _SCOPES:
+        held.append(path)
+    return path
+
+
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def job_folders(spark: SparkSession) -> Iterator[list[str]]:
+    """Remove every step written inside the block when the block ends.
+
+    Results are lazy and read those steps: write or show them inside the block.
+    """
+    held: list[str] = []
+    _SCOPES.append(held)
+    try:
+        yield held
+    finally:
+        _SCOPES[:] = [other for other in _SCOPES if other is not held]
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in held:
+            where = hadoop.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
