@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import chat, mixing, urls
+from trialweave.llm import chat, mixing, simhash, urls
 from trialweave.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,3 +200,11 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select(
         "page_id", "host", "path", "rule", "verdict"
     )
+
+
+@query("op6_simhash_components")
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-word shingles, XXH64 seed 42, links at four or fewer differing bits."""
+    return simhash.near_duplicates(
+        table(spark, sf_dir, "documents"), shingle=4, radius=4, segments=3, seed=42
+    ).select("doc_id", "fingerprint", "component_id")
