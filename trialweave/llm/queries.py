@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import chat, mixing, simhash, urls
+from trialweave.llm import chat, mixing, simhash, substrings, urls
 from trialweave.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,3 +208,9 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(
         table(spark, sf_dir, "documents"), shingle=4, radius=4, segments=3, seed=42
     ).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op9_suffix_array_dedup")
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes every byte of a 400-byte string that starts anywhere else too."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), depth=400)
