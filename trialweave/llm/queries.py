@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import chat, mixing, simhash, substrings, urls
+from trialweave.llm import (
+    chat,
+    decontaminate,
+    mixing,
+    quality,
+    simhash,
+    substrings,
+    tokens,
+    urls,
+)
 from trialweave.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +42,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Where the public vocabularies lie; another place may be named in the environment.
+VOCABULARIES = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -214,3 +228,30 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes every byte of a 400-byte string that starts anywhere else too."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), depth=400)
+
+
+@query("op2_simhash_decontamination")
+def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a window that is 0.8 or more like a benchmark item, by 5-word shingles."""
+    return decontaminate.contaminations(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8, shingle=5
+    )
+
+
+@query("op3_token_lengths")
+def op3_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every context limit's totals, for all documents, each language and each source."""
+    lengths = tokens.encoded_lengths(
+        table(spark, sf_dir, "documents"),
+        f"{VOCABULARIES}/byte_bpe_multi_50k.tiktoken",
+        keep=("lang", "source"),
+    )
+    return tokens.context_table(tokens.length_histogram(lengths, by=("lang", "source")))
+
+
+@query("op5_preference_quality")
+def op5_preference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores learnt from preference pairs of the rows that are not held out."""
+    return quality.score_quality(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
