@@ -13,7 +13,9 @@ from trialweave.llm import (
     chat,
     decontaminate,
     mixing,
+    outliers,
     quality,
+    shards,
     simhash,
     substrings,
     tokens,
@@ -255,3 +257,23 @@ def op5_preference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     )
+
+
+@query("op4_kd_tree_shards")
+def op4_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty shards of near equal bytes, cut by language, source and length."""
+    return shards.shard_documents(table(spark, sf_dir, "documents"), shards=40).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op7_robust_outliers")
+def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules, then robust distance per language and source."""
+    return outliers.judge_quality(table(spark, sf_dir, "documents"))
