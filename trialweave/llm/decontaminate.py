@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trialweave.llm.common import hash_cell
-from trialweave.session import materialise
 
 #: Benchmark items one pass over the documents carries; more items take more passes.
 ITEMS_PER_PASS = 20_000
@@ -159,33 +159,27 @@ def contaminations(
     The items are a query set: ``items_per_pass`` of them are sent to the workers at a time,
     and each further such block is another pass over the documents.
     """
-    spark = documents.sparkSession
-    kept = items.select("item_id", "text").filter("text is not null")
-    passes = max(1, -(-kept.count() // items_per_pass))
     whole = documents.select("doc_id", "text")
-    doc_kind = documents.schema["doc_id"].dataType
-    item_kind = items.schema["item_id"].dataType
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
     schema = (
-        f"doc_id {doc_kind.simpleString()}, item_id {item_kind.simpleString()}, "
+        f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, "
+        f"item_id {items.schema['item_id'].dataType.simpleString()}, "
         "similarity double, first_word bigint"
     )
     out = None
-    for number in range(passes):
-        block = kept.filter(hash_cell(passes, "item_id", "text") == number).collect()
-        held = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block])
+    for held in _blocks(items, items_per_pass):
 
-        def run(batches, held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(held.value, shingle, radius, seed)
             for batch in batches:
-                ids, texts = batch.column(0), batch.column(1)
                 rows = [
                     (k, *hit)
-                    for k in range(len(texts))
-                    for hit in index.matches(texts[k].as_py(), least)
+                    for k, text in enumerate(batch.column(1).to_pylist())
+                    for hit in index.matches(text, least)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(pa.array([r[0] for r in rows], pa.int64())),
+                        batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
                         pa.array([r[1] for r in rows], item_type),
                         pa.array([r[2] for r in rows], pa.float64()),
                         pa.array([r[3] for r in rows], pa.int64()),
@@ -193,15 +187,41 @@ def contaminations(
                     names=["doc_id", "item_id", "similarity", "first_word"],
                 )
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        item_type = to_arrow_type(item_kind)
         found = whole.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def without_contaminated(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents without any match, with all their columns."""
-    found = materialise(contaminations(documents, items, **options), "contaminated")
-    return documents.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+def _blocks(items: DataFrame, most: int) -> Iterator[Broadcast]:
+    """The items with a text in blocks of about ``most``, each sent to the workers."""
+    kept = items.select("item_id", "text").filter("text is not null")
+    passes = max(1, -(-kept.count() // most))
+    for number in range(passes):
+        block = kept.filter(hash_cell(passes, "item_id", "text") == number).collect()
+        yield items.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block])
+
+
+def without_contaminated(
+    documents: DataFrame,
+    items: DataFrame,
+    least: float = 0.8,
+    shingle: int = 5,
+    radius: int = 20,
+    seed: int = 42,
+    items_per_pass: int = ITEMS_PER_PASS,
+) -> DataFrame:
+    """The documents without any match, with all their columns; see ``contaminations``.
+
+    Rows are filtered where they are read: nothing is joined or shuffled.
+    """
+    place = documents.columns.index("text")
+    for held in _blocks(items, items_per_pass):
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(held.value, shingle, radius, seed)
+            for batch in batches:
+                texts = batch.column(place).to_pylist()
+                yield batch.filter(pa.array([not index.matches(t, least) for t in texts], pa.bool_()))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents

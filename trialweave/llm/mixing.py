@@ -174,7 +174,9 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
     )
-    held = documents.join(taken, "doc_id")
+    held = documents.join(
+        taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))
+    )
     return held.withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))
     ).select(*documents.columns)

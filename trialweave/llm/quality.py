@@ -228,6 +228,17 @@ def score_quality(documents: DataFrame, labels: DataFrame, most_rows: int = MOST
 
 
 def of_good_quality(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents predicted good, with all their columns."""
-    kept = score_quality(documents, labels, **options).filter("predicted = 1")
-    return documents.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
+    """The documents predicted good, with all their columns; see ``score_quality``.
+
+    Rows are filtered where they are read: nothing is joined or shuffled.
+    """
+    ranking = train(documents, labels, **options)
+    place = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            found = np.array([text_features(t) for t in texts]).reshape(-1, FEATURES)
+            yield batch.filter(pa.array(ranking.scores(found) >= 0.5))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -202,25 +202,27 @@ def _find_cuts(spark, rows: DataFrame, nodes: list[Node], count: int, slack: flo
             .withColumn("key", _chosen(count))
             .filter("key between low and high")
             .groupBy("node", "short", F.expr("(key - low) div width").alias("bin"))
-            .agg(F.sum("size").alias("held"))
+            .agg(
+                F.sum("size").alias("held"),
+                F.min("key").alias("least"),
+                F.max("key").alias("most"),
+            )
             .withColumn("upto", F.sum("held").over(by_bin))
         )
         # The first bin that reaches the goal.
         hits = (
             bins.filter("upto >= short")
             .groupBy("node")
-            .agg(F.min(F.struct("bin", "held", "upto")).alias("hit"))
+            .agg(F.min(F.struct("bin", "held", "upto", "least", "most")).alias("hit"))
             .select("node", "hit.*")
             .collect()
         )
         for r in hits:
             node, width = open_nodes[r["node"]], widths[r["node"]]
-            start = node.low + r["bin"] * width
             before = node.below + r["upto"] - r["held"]
-            if r["held"] <= slack or width == 1:
+            if r["held"] <= slack or r["least"] == r["most"]:
                 nearer_low = node.goal - before < before + r["held"] - node.goal
-                node.cut = start if nearer_low else start + width
+                node.cut = r["least"] if nearer_low else r["most"] + 1
                 del open_nodes[node.number]
-            else:
-                node.below = before
-                node.low, node.high = start, min(node.high, start + width - 1)
+            else:  # the keys really there, so that sparse values take few passes
+                node.below, node.low, node.high = before, r["least"], r["most"]

@@ -40,155 +40,221 @@ def shingle_hashes(text: str | None, size: int, seed: int) -> np.ndarray:
     )
 
 
-def majority_bits(hashes: np.ndarray) -> int:
-    """The fingerprint: bit i is 1 if it is set in over half the hashes."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 60_000):  # sums fit 16 bits
-        bits = np.unpackbits(
-            hashes[at : at + 60_000].astype("<u8").view(np.uint8).reshape(-1, 8),
-            axis=1,
-            bitorder="little",
-        )
-        ones += np.add.reduce(bits, axis=0, dtype=np.uint16)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+def majority_bits(hashes: np.ndarray, words: int = 1) -> list[int]:
+    """The fingerprint, as unsigned words of 64 bits: a bit is 1 if set in over half the hashes.
+
+    Words after the first take their bits from hashes derived of the given ones.
+    """
+    out = []
+    for k in range(words):
+        mixed = hashes if k == 0 else _derived(hashes, k)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(mixed), 60_000):  # sums fit 16 bits
+            bits = np.unpackbits(
+                mixed[at : at + 60_000].astype("<u8").view(np.uint8).reshape(-1, 8),
+                axis=1,
+                bitorder="little",
+            )
+            ones += np.add.reduce(bits, axis=0, dtype=np.uint16)
+        out.append(int(np.packbits(2 * ones > len(mixed), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def _derived(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other 64 bits per hash, by the splitmix rule."""
+    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 def fingerprints(
-    documents: DataFrame, shingle: int = 4, seed: int = 42, key: str = "doc_id"
+    documents: DataFrame, shingle: int = 4, seed: int = 42, words: int = 1
 ) -> DataFrame:
-    """key and the signed 64-bit fingerprint of the whole text of each row."""
+    """doc_id and the fingerprint of the whole text, in signed 64-bit words w0, w1, ..."""
+    names = [f"w{k}" for k in range(words)]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            found = [
-                majority_bits(shingle_hashes(t.as_py(), shingle, seed)) for t in batch.column(1)
-            ]
-            prints = np.array(found, np.uint64).view(np.int64)
+            found = np.array(
+                [
+                    majority_bits(shingle_hashes(t.as_py(), shingle, seed), words)
+                    for t in batch.column(1)
+                ],
+                np.uint64,
+            ).reshape(-1, words)
+            columns = [pa.array(c, pa.int64()) for c in found.view(np.int64).T.copy()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints, pa.int64())], names=[key, "fingerprint"]
+                [batch.column(0), *columns], names=["doc_id", *names]
             )
 
-    kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, "text").mapInArrow(
-        batches, f"`{key}` {kind}, fingerprint bigint"
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text").mapInArrow(
+        batches, ", ".join([f"doc_id {kind}", *[f"{n} bigint" for n in names]])
     )
 
 
-def _segments(count: int) -> list[tuple[int, int]]:
-    """(shift, width) of near equal segments of 64 bits."""
-    edges = [round(64 * k / count) for k in range(count + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def _segments(words: int, count: int) -> list[tuple[int, int, int]]:
+    """(word, shift, width): near equal segments, none across two words."""
+    each = [count // words + (k < count % words) for k in range(words)]
+    out = []
+    for word, n in enumerate(each):
+        edges = [round(64 * k / n) for k in range(n + 1)]
+        out += [(word, low, high - low) for low, high in zip(edges, edges[1:], strict=False)]
+    return out
 
 
-def _balls(radius: int, segments: Sequence[tuple[int, int]]) -> list[int]:
+def _balls(radius: int, segments: int) -> list[int]:
     """Ball radius to enumerate in each segment so that no pair within radius is missed.
 
     If every segment differed by more than its ball, the distances would add up to over
     ``radius``: the first r mod m + 1 segments take r // m, the others one less.
     """
-    m = len(segments)
-    return [radius // m if k <= radius % m else radius // m - 1 for k in range(m)]
+    return [
+        radius // segments if k <= radius % segments else radius // segments - 1
+        for k in range(segments)
+    ]
 
 
-def _masks(width: int, ball: int) -> list[int]:
-    return [
+def _probes(own: Column, width: int, ball: int) -> list[Column]:
+    """Buckets that a segment value looks up.
+
+    One differing bit is set on one side only, so it is enough that this side looks up the
+    value without it.  Larger balls are enumerated in full.
+    """
+    if ball < 0:
+        return []
+    if ball == 1:
+        cleared = [
+            F.when(F.getbit(own, F.lit(b)) == 1, own - F.lit(1 << b)) for b in range(width)
+        ]
+        return [own, *cleared]
+    masks = [
         sum(1 << b for b in places)
         for d in range(ball + 1)
         for places in combinations(range(width), d)
     ]
+    return [own.bitwiseXOR(F.lit(m).cast("long")) if m else own for m in masks]
 
 
-def _segment(value: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-
+def _index_rows(
+    prints: DataFrame, words: int, cut: Sequence[tuple], balls: Sequence[int], probes: bool
+) -> DataFrame:
+    """Rows (bucket, node, w0): the table, or the probes of every ball.
 
-def _index_rows(prints: DataFrame, segments: int, radius: int, probes: bool) -> DataFrame:
-    """Rows (segment, bucket, fingerprint): the table, or the probes of every ball."""
-    cut = _segments(segments)
+    The segment's number is in the bucket's upper bits.
+    """
     rows = []
-    for k, ((shift, width), ball) in enumerate(zip(cut, _balls(radius, cut), strict=True)):
-        masks = _masks(width, ball) if probes and ball >= 0 else ([] if probes else [0])
-        own = _segment(F.col("fingerprint"), shift, width)
-        for mask in masks:
-            bucket = own.bitwiseXOR(F.lit(mask).cast("long")) if mask else own
-            rows.append(F.struct(F.lit(k).alias("segment"), bucket.alias("bucket")))
-    return prints.select(F.explode(F.array(*rows)).alias("at"), "fingerprint").select(
-        "at.*", "fingerprint"
-    )
+    for k, ((word, shift, width), ball) in enumerate(zip(cut, balls, strict=True)):
+        mask = F.lit((1 << width) - 1).cast("long")
+        own = F.shiftrightunsigned(F.col(f"w{word}"), shift).bitwiseAND(mask)
+        values = _probes(own, width, ball) if probes else [own]
+        rows += [v + F.lit(k << 40) for v in values]
+    found = F.filter(F.array(*rows), lambda b: b.isNotNull())
+    return prints.select(F.explode(found).alias("bucket"), "node", "w0")
+
 
+def _distance(left: str, right: str, words: int) -> Column:
+    total = F.lit(0)
+    for k in range(words):
+        total = total + F.bit_count(F.col(f"{left}w{k}").bitwiseXOR(F.col(f"{right}w{k}")))
+    return total
 
-def near_links(prints: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
-    """Links (a, b), a < b, that join all distinct fingerprints within ``radius`` bits.
 
-    ``prints`` has distinct values in ``fingerprint``.  Multi-index hashing: every
-    fingerprint is filed by each of its segments, and looks up the small Hamming balls
-    around its own segments; a hit is kept after the distance of all 64 bits.  ``segments``
-    trades probes for bucket size and never changes which fingerprints are joined: three
-    segments (45 probes, 21 bits) suit up to about 10^8 fingerprints, two (562 probes,
-    32 bits) more.
+def near_links(
+    prints: DataFrame,
+    radius: int = 4,
+    segments: int = 3,
+    words: int = 1,
+    ball: int | None = None,
+    first_radius: int | None = None,
+) -> DataFrame:
+    """Links (a, b), a < b, that join the nodes of fingerprints within ``radius`` bits.
+
+    ``prints`` has node and the words w0, w1, ... of distinct fingerprints.  Multi-index
+    hashing: every fingerprint is filed by each of its segments, and looks up the small
+    Hamming balls around its own segments; a hit is kept after the distance of all bits.
+    ``segments`` trades probes for bucket size and never changes which nodes are joined:
+    three segments of one word suit up to about 10^8 fingerprints, two (562 probes, 32 bits)
+    more.  By default the balls are those that guarantee the radius.  ``ball`` sets one
+    radius for all segments instead; pairs within segments * (ball + 1) - 1 bits are then
+    sure to be found and farther ones with high probability.  With several words the first
+    must agree to ``first_radius`` bits before the others are fetched.
 
     A bucket of more than ``FULL_BUCKET`` fingerprints holds many near copies of each other;
     its pairs are not emitted one by one.  Its members are cut into blocks, each pair of
     blocks is compared in one bounded task, and that task emits a spanning forest.  Links
     in small buckets are all emitted; in full ones connectivity is kept.
     """
-    filed = _index_rows(prints, segments, radius, probes=False)
-    looked = _index_rows(prints, segments, radius, probes=True)
+    cut = _segments(words, segments)
+    balls = _balls(radius, segments) if ball is None else [ball] * segments
+    if any(width > 40 for _, _, width in cut):
+        raise ValueError("a segment has at most 40 bits: take more segments")
+    filed = _index_rows(prints, words, cut, balls, probes=False)
+    looked = _index_rows(prints, words, cut, balls, probes=True)
     full = materialise(
-        filed.groupBy("segment", "bucket")
+        filed.groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("held"))
         .filter(F.col("held") > FULL_BUCKET),
         "full-buckets",
     )
-    key = ["segment", "bucket"]
-    a, b = F.col("p.fingerprint"), F.col("t.fingerprint")
+    a, b = F.col("p.node"), F.col("t.node")
+    most = radius if first_radius is None else first_radius
+    close = F.bit_count(F.col("p.w0").bitwiseXOR(F.col("t.w0"))) <= most
     small = (
-        looked.join(full, key, "left_anti").alias("p")
-        .join(
-            filed.withColumnRenamed("segment", "s").withColumnRenamed("bucket", "k").alias("t"),
-            (F.col("p.segment") == F.col("s"))
-            & (F.col("p.bucket") == F.col("k"))
-            & (F.bit_count(a.bitwiseXOR(b)) <= radius)
-            & (a < b),
-        )
-        .select(a.alias("a"), b.alias("b"))
+        looked.join(full, "bucket", "left_anti").alias("p")
+        .join(filed.alias("t"), (F.col("p.bucket") == F.col("t.bucket")) & close & (a != b))
+        .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+        .distinct()
     )
-    return small.unionByName(_full_links(looked, full, radius)).distinct()
+    if words > 1:
+        for side in "ab":
+            own = prints.select(
+                F.col("node").alias(side), *[F.col(f"w{k}").alias(f"{side}w{k}")
+                                             for k in range(words)]
+            )
+            small = small.join(own, side)
+        small = small.filter(_distance("a", "b", words) <= radius).select("a", "b")
+    return small.unionByName(_full_links(looked, full, prints, radius, words)).distinct()
 
 
-def _full_links(looked: DataFrame, full: DataFrame, radius: int) -> DataFrame:
+def _full_links(
+    looked: DataFrame, full: DataFrame, prints: DataFrame, radius: int, words: int
+) -> DataFrame:
     """Spanning links of full buckets, by pairs of blocks of their members."""
-    # A bucket's probes include its own members, by the empty mask, unless its ball is -1.
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    members = looked.join(full, ["segment", "bucket"]).withColumn("blocks", blocks)
-    members = members.withColumn("mine", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")))
+    blocks = F.ceil(F.col("held") / BLOCK).cast("long")
+    members = looked.join(full, "bucket").withColumn("blocks", blocks)
+    members = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     others = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1),
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda o: F.struct(
             F.least(o, F.col("mine")).alias("low"), F.greatest(o, F.col("mine")).alias("high")
         ),
     )
-    units = members.select("segment", "bucket", F.explode(others).alias("u"), "fingerprint").select(
-        "segment", "bucket", "u.low", "u.high", "fingerprint"
+    names = [f"w{k}" for k in range(words)]
+    units = (
+        members.select("bucket", "node", F.explode(others).alias("u"))
+        .select("bucket", "u.low", "u.high", "node")
+        .join(prints.select("node", *names), "node")
     )
 
     def forest(rows):
         import pandas as pd
 
-        values = np.unique(rows["fingerprint"].to_numpy(np.int64))
-        left, out = values, []
+        rows = rows.drop_duplicates("node").sort_values("node")
+        nodes, left = rows["node"].to_numpy(), np.arange(len(rows))
+        bits = rows[names].to_numpy(np.int64).view(np.uint64)
+        out = []
         while len(left):  # breadth first over what is not reached yet
             front, left = left[:1], left[1:]
             while len(front) and len(left):
                 one, front = front[0], front[1:]
-                near = np.bitwise_count((left ^ one).view(np.uint64)) <= radius
-                out += [(min(one, x), max(one, x)) for x in left[near].tolist()]
+                near = np.bitwise_count(bits[left] ^ bits[one]).sum(axis=1) <= radius
+                out += [sorted((nodes[one], nodes[x])) for x in left[near]]
                 front, left = np.concatenate([front, left[near]]), left[~near]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return units.groupBy("segment", "bucket", "low", "high").applyInPandas(
-        forest, "a bigint, b bigint"
-    )
+    return units.groupBy("bucket", "low", "high").applyInPandas(forest, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -247,7 +313,8 @@ def near_duplicates(
     so a component of nulls alone has a null id.  An empty table gives no rows.
     """
     held = materialise(
-        fingerprints(documents, shingle, seed), "fingerprints"
+        fingerprints(documents, shingle, seed).withColumnRenamed("w0", "fingerprint"),
+        "fingerprints",
     )
     total = held.count()
     prints = materialise(
@@ -256,11 +323,11 @@ def near_duplicates(
         ),
         "prints",
     )
-    linked = components(near_links(prints.select("fingerprint"), radius, segments))
+    nodes = prints.select(F.col("fingerprint").alias("node"), F.col("fingerprint").alias("w0"))
+    linked = components(near_links(nodes, radius, segments))
     rooted = prints.join(
         linked.withColumnRenamed("node", "fingerprint"), "fingerprint", "left"
     ).withColumn("root", F.coalesce("root", "fingerprint"))
-    # Only linked fingerprints share a root; the rest are their own component.
     roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     table = materialise(
         rooted.join(roots, "root").select("fingerprint", "component_id", "copies"), "components"
@@ -271,14 +338,45 @@ def near_duplicates(
     )
 
 
-def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all its columns.
+def one_of_each(
+    documents: DataFrame,
+    shingle: int = 5,
+    words: int = 4,
+    radius: int = 40,
+    first_radius: int = 20,
+    segments: int = 12,
+    seed: int = 42,
+) -> DataFrame:
+    """One document of each group of near copies, with all its columns.
+
+    The document with the smallest doc_id stays.  Fingerprints have 64 * ``words`` bits.
+    Texts whose ``shingle``-word shingles have similarity 0.8 differ in 15 % of the bits,
+    ``radius`` of 256, so the distance of all bits decides at that similarity.  Twelve
+    segments of 21 bits with balls of one bit find every pair within 23 bits (similarity
+    0.88) and 87 % of the pairs at 0.8, most of which a group links in several ways.
 
-    Rows that repeat the smallest doc_id leave one row.
+    Rows that repeat a doc_id and equal texts leave one row; rows with a null doc_id stay.
+    Null and empty texts are copies of each other.  An empty table gives no rows.
     """
-    kept = near_duplicates(documents, **options).filter(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ).select("doc_id").distinct()
-    held = documents.join(kept.withColumnRenamed("doc_id", "_kept"),
-                          F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return held.dropDuplicates(["doc_id"])
+    names = [f"w{k}" for k in range(words)]
+    known = documents.filter("doc_id is not null")
+    held = materialise(fingerprints(known, shingle, seed, words), "fingerprints")
+    # One node per fingerprint: the smallest of its documents.
+    prints = materialise(
+        held.groupBy(*names).agg(F.min("doc_id").cast("long").alias("node")), "prints"
+    )
+    distinct = prints.dropDuplicates(["node"])
+    linked = components(
+        near_links(distinct, radius, segments, words, ball=1, first_radius=first_radius)
+    )
+    # A node that is no root has a smaller near copy; a row that is no node has an equal one.
+    kept = prints.select("node").distinct().join(
+        linked.filter("node <> root"), "node", "left_anti"
+    )
+    one = (
+        known.withColumn("_node", F.col("doc_id").cast("long"))
+        .join(kept.withColumnRenamed("node", "_node"), "_node", "left_semi")
+        .drop("_node")
+        .dropDuplicates(["doc_id"])
+    )
+    return one.unionByName(documents.filter("doc_id is null"))

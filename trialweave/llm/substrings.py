@@ -19,7 +19,7 @@ GRAM = 64
 PACK_BITS = 20
 #: Bytes of one suffix array, and contexts of one anchor in one shard.
 SHARD_BYTES = 1 << 21
-SHARD_CONTEXTS = 2000
+SHARD_CONTEXTS = 500
 
 
 def _byte_table() -> np.ndarray:
