@@ -69,9 +69,9 @@ def join_frequent(
     other key is small enough to be shuffled.  ``rows`` is read twice: pass a stored table.
     """
     frequent = F.col(count) * 1000 > F.lit(total)
-    few = table.filter(frequent).select(key, F.col(value).alias("_few"))
+    few = table.filter(frequent).select(key, F.col(value).alias("_few"), F.lit(1).alias("_hit"))
     many = table.filter(~frequent).select(key, value)
     marked = rows.join(F.broadcast(few), key, "left")
-    hot = marked.filter(F.col("_few").isNotNull()).withColumnRenamed("_few", value)
-    rest = marked.filter(F.col("_few").isNull()).drop("_few").join(many, key)
+    hot = marked.filter("_hit is not null").withColumnRenamed("_few", value)
+    rest = marked.filter("_hit is null").drop("_few", "_hit").join(many, key)
     return hot.select(*rows.columns, value).unionByName(rest.select(*rows.columns, value))
