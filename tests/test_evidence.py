@@ -74,7 +74,9 @@ def chained(spark, deltas, run="r"):
     rows, previous = [], None
     for i, d in enumerate(deltas):
         kind = "ledger_opened" if i == 0 else "usage_recorded"
-        own = hashlib.sha256("|".join([run, str(i), kind, previous or "null", str(d)]).encode()).hexdigest()
+        fields = [run, str(i), kind, previous, str(d)]
+        text = "|".join("~" if f is None else f"{len(f)}:{f}" for f in fields)
+        own = hashlib.sha256(text.encode()).hexdigest()
         rows.append((run, i, kind, previous, d, own))
         previous = own
     return rows
@@ -238,6 +240,30 @@ def test_stream_equals_batch_with_early_arrivals(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("heavy_rows", [10, 1_000_000])
+def test_fractional_totals_do_not_depend_on_slices(spark, heavy_rows):
+    amounts = [round(0.1 + (i * 7919 % 1000) / 997, 6) for i in range(3000)]
+    recorded, total = [], 0.0
+    for a in amounts:
+        total += a
+        recorded.append(total)
+    recorded[1500] += 1e-6
+    rows = [("r", i, a, t) for i, (a, t) in enumerate(zip(amounts, recorded, strict=True))]
+    df = spark.createDataFrame(rows, "run string, sequence long, used double, recorded double").repartition(5)
+    totals = logs.running_totals(
+        df, "run", ["sequence"], block_slice("sequence", 37), ["used"], heavy_rows
+    ).withColumn("limit", F.lit(None).cast("double"))
+    got = {r.sequence: r.total_used for r in totals.collect()}
+    from decimal import Decimal
+
+    exact = Decimal(0)
+    for i, a in enumerate(amounts):
+        exact += Decimal(str(a))
+        assert got[i] == float(exact)
+    faults = logs.total_faults(totals, "run", "sequence", {"total_used": "recorded"}, {"total_used": "limit"})
+    assert [(r.sequence, r.rule_id) for r in faults.collect()] == [(1500, "total_used_recorded")]
+
+
 def test_partition_counts_do_not_matter(spark):
     rows = [(k, i, f"c{i % 3}", float((i * 7) % 11)) for k in range(3) for i in range(50)]
     base = spark.createDataFrame(rows, "k long, cycle long, c string, score double")

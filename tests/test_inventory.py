@@ -190,3 +190,10 @@ def test_conformance(spark):
         (1, "value.n", "not_integer"), (2, "value.n", "not_integer"), (3, "value", "missing_n"), (4, "value", "unknown_z"),
         (5, "value.l[1].x", "not_number"), (5, "value.l[2]", "not_object"), (6, "value", "not_object"),
     ]
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 200])
+def test_mode_is_the_same_for_any_partitioning(spark, partitions):
+    rows = spark.createDataFrame([(1, 4, 7), (1, 6, 7), (1, 5, 9)], "k long, v long, pos long")
+    got = inventory.first_seen_mode(rows.repartition(partitions), "v", "pos", ["k"])
+    assert [tuple(r) for r in got.collect()] == [(1, 6)]

@@ -124,3 +124,18 @@ def test_concatenation_refuses_mixed_shapes(spark):
     assert sorted((r.subject_id, r.session_id, r.trial_idx) for r in joined.collect()) == [
         ("s", "a", 0), ("s", "b", 1), ("t", "a", 0), ("t", "b", 1),
     ]
+
+
+def test_constant_channel_at_a_high_level_is_flat(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(30):
+        for c in range(4):
+            x = np.full(SAMPLES, 1234567.891) if c == 2 else 1e6 + rng.normal(size=SAMPLES)
+            rows.append(("s", "a", i, c, NAMES[c], "1", SFREQ, x.tolist()))
+    epochs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = {r.channel_idx: r["std"] for r in signal.channel_deviation(signal.trial_moments(epochs)).collect()}
+    cubes = np.array([r[7] for r in rows]).reshape(30, 4, SAMPLES)
+    want = cubes.std(axis=(0, 2))
+    assert got[2] < 1e-6
+    assert [got[c] for c in (0, 1, 3)] == pytest.approx([want[c] for c in (0, 1, 3)], rel=1e-6)

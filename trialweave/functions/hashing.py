@@ -1,7 +1,8 @@
 """Content hashes over rows: canonical text, short ids, order-free set digests.
 
 Hash input is text built from explicitly formatted columns, so another engine can
-form the same bytes.  A null is written as a marker, never dropped.
+form the same bytes.  A value is written after its length and a null as a mark of its own,
+so different rows never share a text, whatever characters they hold.
 """
 
 from __future__ import annotations
@@ -11,20 +12,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: stands for null inside hashed text.
-NULL_MARK = "null"
-# Digests are summed in five pieces of six hex digits, so a sum of up to
-# 2^39 items fits a long.
-PIECES = 5
+# Fixed value: stands for null; a value starts with its length instead.
+NULL_MARK = "~"
+# All 64 hex digits of an item hash are summed in pieces of six, the last of
+# four, so a sum of up to 2^39 items fits a long.
+PIECES = 11
 WIDTH = 6
 
 
-def canonical_text(columns: Sequence[Column], separator: str = "|") -> Column:
+def canonical_text(columns: Sequence[Column]) -> Column:
+    """``length:value`` of each column, joined; a null is the mark alone."""
+    texts = [c.cast("string") for c in columns]
     return F.concat_ws(
-        separator, *[F.coalesce(c.cast("string"), F.lit(NULL_MARK)) for c in columns]
+        "|",
+        *[
+            F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit(NULL_MARK))
+            for t in texts
+        ],
     )
 
 
+def canonical_sql(*values: str) -> str:
+    """The same text as an SQL expression."""
+    parts = [
+        f"coalesce(length(({v})::VARCHAR) || ':' || ({v})::VARCHAR, '{NULL_MARK}')" for v in values
+    ]
+    return f"concat_ws('|', {', '.join(parts)})"
+
+
 def content_hash(columns: Sequence[Column]) -> Column:
     return F.sha2(canonical_text(columns), 256)
 
@@ -46,7 +61,7 @@ def external_blocker_id(description: Column) -> Column:
 def set_digest(df: DataFrame, keys: Sequence[str], item_hash: str, name: str) -> DataFrame:
     """Order-free digest of each key's items, with nothing collected.
 
-    Every item digest is cut into 24-bit pieces, pieces are summed, and the sums with
+    Every item digest is cut, to its last digit, into 24-bit pieces, pieces are summed, and the sums with
     the item count are hashed.  Sums combine map-side, so a key with any number of
     items costs one row per task in the shuffle.
     """

@@ -107,12 +107,12 @@ def volume(runs: DataFrame, subject: str, session: str, trials: str, size: str)
 
 
 def first_seen_mode(rows: DataFrame, value: str, position: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Most frequent value; among equals the one seen first."""
+    """Most frequent value; among equals the one seen first, among those the greatest."""
     tally = rows.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("__n"), F.min(position).alias("__first")
     )
     return tally.groupBy(*keys).agg(
-        F.max_by(value, F.struct(F.col("__n"), -F.col("__first"))).alias("nominal")
+        F.max_by(value, F.struct(F.col("__n"), -F.col("__first"), F.col(value))).alias("nominal")
     )
 
 

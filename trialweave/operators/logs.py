@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.hashing import content_hash
 from trialweave.operators.checks import violations
-from trialweave.operators.ordered import POSITION, ordered_scan, previous, running_sum
+from trialweave.operators.ordered import HEAVY_ROWS, POSITION, ordered_scan, previous, running_sum
 
 # Budget counters and the tolerance of totals and limits.
 COUNTERS = (
@@ -58,22 +58,45 @@ def chain_faults(
 
 
 def running_totals(
-    events: DataFrame, run: str, order: Sequence[str], slice_by: Column, deltas: Sequence[str]
+    events: DataFrame,
+    run: str,
+    order: Sequence[str],
+    slice_by: Column,
+    deltas: Sequence[str],
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """Cumulative ``total_<field>`` of each delta column, slice by slice."""
-    return ordered_scan(
-        events, [run], order, slice_by, {f"total_{d}": running_sum(d) for d in deltas}
+    """Cumulative ``total_<field>`` of each delta column, and ``event_place`` from 1.
+
+    Fractional amounts are added as decimals with twelve places, so the total does not
+    depend on the order or the slicing of the additions.
+    """
+    kinds = dict(events.dtypes)
+    fractional = [d for d in deltas if kinds[d] in ("double", "float")]
+    exact = events.withColumns({f"__{d}": F.col(d).cast("decimal(38,12)") for d in fractional})
+    outputs = {
+        f"total_{d}": running_sum(f"__{d}" if d in fractional else d) for d in deltas
+    }
+    totals = ordered_scan(
+        exact, [run], order, slice_by, {"event_place": POSITION, **outputs}, heavy_rows
     )
+    return totals.withColumns(
+        {f"total_{d}": F.col(f"total_{d}").cast("double") for d in fractional}
+    ).drop(*[f"__{d}" for d in fractional])
 
 
 def total_faults(totals: DataFrame, run: str, sequence: str, recorded: dict[str, str], limits: dict[str, str]) -> DataFrame:
     """Recorded totals that differ from the replay, and totals beyond their limits.
 
     ``recorded`` and ``limits`` map a computed total column to the recorded total and
-    to the limit column of the same row; a null limit does not bind.
+    to the limit column of the same row; a null limit does not bind.  A recorder that adds
+    doubles one by one may be off by half a unit in the last place per event; that much is
+    allowed besides the tolerance.
     """
+    def allowed(total: str) -> Column:
+        return F.lit(TOLERANCE) + F.col("event_place") * F.lit(2.0**-53) * F.abs(F.col(total))
+
     rules = [
-        (f"{total}_recorded", F.abs(F.coalesce(F.col(seen), F.lit(0.0)) - F.col(total)) <= TOLERANCE)
+        (f"{total}_recorded", F.abs(F.coalesce(F.col(seen), F.lit(0.0)) - F.col(total)) <= allowed(total))
         for total, seen in recorded.items()
     ]
     rules += [

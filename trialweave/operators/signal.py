@@ -118,16 +118,20 @@ def sample_moments(epochs: DataFrame) -> DataFrame:
 
 
 def channel_deviation(moments: DataFrame) -> DataFrame:
-    """Population deviation per channel from per-row moments (no second data pass)."""
-    n, s = F.sum("n"), F.sum(F.col("n") * F.col("mean"))
-    merged = moments.groupBy(*SESSION, "channel_idx").agg(
-        n.alias("n"),
-        s.alias("s"),
-        F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("ss"),
+    """Population deviation per channel from per-row moments.
+
+    The spread of the row means is taken around the channel's mean in a second pass over
+    the moment rows; a difference of squares would drown it where the level is high.
+    """
+    by = [*SESSION, "channel_idx"]
+    grand = moments.groupBy(*by).agg(
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("__grand")
+    )
+    between = F.col("n") * F.pow(F.col("mean") - F.col("__grand"), 2)
+    merged = moments.join(grand, by).groupBy(*by).agg(
+        F.sum(F.col("m2") + between).alias("ss"), F.sum("n").alias("n")
     )
-    grand = F.col("s") / F.col("n")
-    var = F.greatest(F.col("ss") / F.col("n") - grand * grand, F.lit(0.0))
-    return merged.select(*SESSION, "channel_idx", F.sqrt(var).alias("std"))
+    return merged.select(*by, F.sqrt(F.col("ss") / F.col("n")).alias("std"))
 
 
 def channel_flags(deviation: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def ag3_field_agreement(spark, sf):
 
 
 SIGNATURE_SQL = f"""
-    c AS (SELECT l_orderkey AS file, sha256(concat_ws('|', l_linenumber, l_returnflag, l_linestatus)) AS h FROM lineitem),
+    c AS (SELECT l_orderkey AS file, sha256({hashing.canonical_sql('l_linenumber', 'l_returnflag', 'l_linestatus')}) AS h FROM lineitem),
     s AS (SELECT file, count(*) AS n, {hashing.set_digest_sql('h')} AS signature FROM c GROUP BY 1)
 """
 
@@ -140,7 +140,7 @@ def ag7_volume(spark, sf):
     "ag8_nominal_trials",
     """
     WITH t AS (SELECT l_suppkey AS subject, l_linenumber AS trials, count(*) AS n, min(l_orderkey) AS f FROM lineitem GROUP BY 1, 2)
-    SELECT subject, arg_max(trials, (n, -f)) AS nominal FROM t GROUP BY 1
+    SELECT subject, arg_max(trials, (n, -f, trials)) AS nominal FROM t GROUP BY 1
     """,
 )
 def ag8_nominal_trials(spark, sf):
@@ -238,7 +238,7 @@ def ag30_token_cost(spark, sf):
 
 @query(
     "ag31_distinct_configurations",
-    "SELECT p_brand, count(*)::BIGINT AS tried, count(DISTINCT sha256(concat_ws('|', p_type, p_size)))::BIGINT AS distinct_configurations FROM part GROUP BY 1",
+    f"SELECT p_brand, count(*)::BIGINT AS tried, count(DISTINCT sha256({hashing.canonical_sql('p_type', 'p_size')}))::BIGINT AS distinct_configurations FROM part GROUP BY 1",
 )
 def ag31_distinct_configurations(spark, sf):
     digest = hashing.content_hash([F.col("p_type"), F.col("p_size")])
@@ -282,12 +282,12 @@ def ag33_candidate_universe(spark, sf):
 @query(
     "ag34_direction_hash",
     f"""
-    WITH h AS (SELECT doc_id % 10 AS review, sha256(concat_ws('|', lang, source, array_to_string(list_sort(list_distinct(string_split(split_part(text, chr(10), 1), ' '))), ' '))) AS h FROM documents)
+    WITH h AS (SELECT doc_id % 10 AS review, sha256({hashing.canonical_sql('lang', 'source', "array_to_string(list_sort(list_distinct(string_split(text, ' '))), ' ')")}) AS h FROM documents)
     SELECT review, count(*)::BIGINT AS item_count, {hashing.set_digest_sql('h')} AS semantic_sha256 FROM h GROUP BY 1
     """,
 )
 def ag34_direction_hash(spark, sf):
-    words = F.array_sort(F.array_distinct(F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " ")))
+    words = F.array_sort(F.array_distinct(F.split("text", " ")))
     item = hashing.content_hash([F.col("lang"), F.col("source"), F.array_join(words, " ")])
     rows = table(spark, sf, "documents").select((F.col("doc_id") % 10).alias("review"), item.alias("h"))
     return hashing.set_digest(rows, ["review"], "h", "semantic_sha256")

@@ -196,10 +196,10 @@ def line_files(spark, sf):
 @query(
     "sc7_companions",
     f"""
-    WITH {LINE_FILES_SQL}, h AS (SELECT p, regexp_replace(p, '\\.vhdr$', '') AS s FROM f WHERE p LIKE '%.vhdr'), w AS (SELECT p, s || e AS c FROM h, (VALUES ('.vmrk'), ('.eeg')) x(e)),
+    WITH {LINE_FILES_SQL}, g AS MATERIALIZED (SELECT DISTINCT p FROM f), h AS (SELECT p, regexp_replace(p, '\\.vhdr$', '') AS s FROM f WHERE p LIKE '%.vhdr'), w AS (SELECT p, s || e AS c FROM h, (VALUES ('.vmrk'), ('.eeg')) x(e)),
     d AS (SELECT p, s || e AS c FROM (SELECT p, regexp_replace(p, '\\.set$', '') AS s FROM f WHERE p LIKE '%.set'), (VALUES ('.fdt')) x(e) UNION ALL SELECT * FROM w)
-    SELECT p AS relative_path, c AS companion, 'missing' AS kind FROM w WHERE c NOT IN (SELECT p FROM f)
-    UNION ALL SELECT p, c, 'dependency' FROM d WHERE c IN (SELECT p FROM f)
+    SELECT w.p AS relative_path, w.c AS companion, 'missing' AS kind FROM w LEFT JOIN g ON g.p = w.c WHERE g.p IS NULL
+    UNION ALL SELECT d.p, d.c, 'dependency' FROM d JOIN g ON g.p = d.c
     """,
 )
 def sc7_companions(spark, sf):

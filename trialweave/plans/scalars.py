@@ -190,9 +190,9 @@ def sf7_bound_parameters(spark, sf):
 
 @query(
     "sf8_canonical_hash",
-    """
+    f"""
     SELECT p_partkey, 'component-' || substr(h, 1, 16) AS component_id, h AS content_sha256 FROM (
-      SELECT p_partkey, sha256(concat_ws('|', p_name, p_brand, p_type, coalesce(CASE WHEN p_size > 25 THEN p_size END::VARCHAR, 'null'))) AS h FROM part)
+      SELECT p_partkey, sha256({hashing.canonical_sql('p_name', 'p_brand', 'p_type', 'CASE WHEN p_size > 25 THEN p_size END')}) AS h FROM part)
     """,
 )
 def sf8_canonical_hash(spark, sf):
@@ -206,6 +206,36 @@ def sf8_canonical_hash(spark, sf):
     )
 
 
+@query(
+    "sf8_injective_hash",
+    f"""
+    WITH r AS (SELECT doc_id, lang || '|' || source AS a, 'x' AS b, NULL AS c FROM documents
+      UNION ALL SELECT doc_id, lang, source || '|x', 'null' FROM documents UNION ALL SELECT doc_id, lang, source || '|x', NULL FROM documents)
+    SELECT doc_id, count(DISTINCT sha256({hashing.canonical_sql('a', 'b', 'c')}))::BIGINT AS distinct_hashes, min(sha256({hashing.canonical_sql('a', 'b', 'c')})) AS first_hash FROM r GROUP BY 1
+    """,
+)
+def sf8_injective_hash(spark, sf):
+    """Rows that hold the separator, the text null and nulls keep different hashes."""
+    docs, split = table(spark, sf, "documents"), F.concat("source", F.lit("|x"))
+    none = F.lit(None).cast("string")
+    joined = F.concat("lang", F.lit("|"), "source")
+    forms = F.array(
+        *[
+            F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
+            for a, b, c in (
+                (joined, F.lit("x"), none),
+                (F.col("lang"), split, F.lit("null")),
+                (F.col("lang"), split, none),
+            )
+        ]
+    )
+    rows = docs.select("doc_id", F.explode(forms).alias("r")).select("doc_id", "r.*")
+    digest = hashing.content_hash([F.col("a"), F.col("b"), F.col("c")])
+    return rows.groupBy("doc_id").agg(
+        F.countDistinct(digest).alias("distinct_hashes"), F.min(digest).alias("first_hash")
+    )
+
+
 @query(
     "sf9_decision_ids",
     r"""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from trialweave.functions.hashing import canonical_sql
 from trialweave.operators import logs, search
 from trialweave.operators.ordered import block_slice, day_slice
 from trialweave.plans.registry import query, table
@@ -148,7 +150,7 @@ def gj9_search_lock(spark, sf):
 
 # A log per customer: orders by date and key, chained by hash.  Some rows are spoilt.
 LOG_SQL = """
-    o AS (SELECT o_custkey AS run, o_orderkey, o_orderdate, round(o_totalprice)::BIGINT AS delta, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS sequence FROM orders),
+    o AS (SELECT o_custkey AS run, o_orderkey, o_orderdate, round(o_totalprice)::BIGINT AS delta, o_totalprice AS cost, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS sequence FROM orders),
     h AS (SELECT *, sha256(run || ':' || sequence) AS good FROM o),
     p AS (SELECT *, lag(good) OVER (PARTITION BY run ORDER BY sequence) AS prev FROM h)
 """
@@ -162,6 +164,7 @@ def customer_log(spark, sf):
         "o_orderkey",
         "o_orderdate",
         F.round("o_totalprice").cast("long").alias("delta"),
+        F.col("o_totalprice").alias("cost"),
     )
     month = F.trunc("o_orderdate", "month")
     placed = ordered_scan(orders, ["run"], ["o_orderdate", "o_orderkey"], month, {"p": POSITION})
@@ -174,8 +177,8 @@ def customer_log(spark, sf):
     f"""
     WITH {LOG_SQL}, e AS (SELECT run, sequence, CASE WHEN sequence = 0 AND run % 50 = 0 THEN 'usage' WHEN sequence = 0 THEN 'ledger_opened' ELSE 'usage' END AS event_type,
       CASE WHEN o_orderkey % 97 = 0 AND sequence > 0 THEN 'broken' ELSE prev END AS previous, good, CASE WHEN o_orderkey % 89 = 0 THEN delta + 1 ELSE delta END AS delta, delta AS d0 FROM p),
-    x AS (SELECT run, sequence, event_type, previous, CASE WHEN d0 = delta THEN sha256(concat_ws('|', run, sequence, event_type, coalesce(previous, 'null'), delta)) ELSE sha256(concat_ws('|', run, sequence, event_type, coalesce(previous, 'null'), d0)) END AS own,
-      sha256(concat_ws('|', run, sequence, event_type, coalesce(previous, 'null'), delta)) AS re FROM e),
+    x AS (SELECT run, sequence, event_type, previous, CASE WHEN d0 = delta THEN sha256({canonical_sql('run', 'sequence', 'event_type', 'previous', 'delta')}) ELSE sha256({canonical_sql('run', 'sequence', 'event_type', 'previous', 'd0')}) END AS own,
+      sha256({canonical_sql('run', 'sequence', 'event_type', 'previous', 'delta')}) AS re FROM e),
     c AS (SELECT *, lag(own) OVER (PARTITION BY run ORDER BY sequence) AS before FROM x)
     SELECT run, sequence, 'own_hash_recomputes' AS rule_id FROM c WHERE own <> re
     UNION ALL SELECT run, sequence, 'previous_hash_matches' FROM c WHERE previous IS DISTINCT FROM before
@@ -202,7 +205,7 @@ def wn4_chain_faults(spark, sf):
 
 
 TOTAL_SQL = f"""
-    {LOG_SQL}, t AS (SELECT run, sequence, o_orderkey, delta, c_mktsegment AS seg, sum(delta) OVER (PARTITION BY run ORDER BY sequence)::BIGINT AS total FROM p JOIN customer ON c_custkey = run)
+    {LOG_SQL}, t AS (SELECT run, sequence, o_orderkey, c_mktsegment AS seg, sum(cost::DECIMAL(38, 12)) OVER (PARTITION BY run ORDER BY sequence) AS total FROM p JOIN customer ON c_custkey = run)
 """
 
 
@@ -211,7 +214,7 @@ def log_totals(spark, sf):
     log = customer_log(spark, sf).join(
         table(spark, sf, "customer").select(F.col("c_custkey").alias("run"), "c_mktsegment"), "run"
     )
-    totals = logs.running_totals(log, "run", ["sequence"], block_slice("sequence", 1000), ["delta"])
+    totals = logs.running_totals(log, "run", ["sequence"], block_slice("sequence", 1000), ["cost"])
     limit = F.when(F.col("c_mktsegment") == "BUILDING", 1_000_000).when(F.col("c_mktsegment") == "MACHINERY", 3_000_000)
     return totals.withColumn("limit", limit)
 
@@ -220,15 +223,16 @@ def log_totals(spark, sf):
     "wn5_running_totals",
     f"""
     WITH {TOTAL_SQL}
-    SELECT run, sequence, 'total_delta_recorded' AS rule_id FROM t WHERE o_orderkey % 71 = 0
-    UNION ALL SELECT run, sequence, 'total_delta_within_limit' FROM t WHERE (seg = 'BUILDING' AND total > 1000000) OR (seg = 'MACHINERY' AND total > 3000000)
+    SELECT run, sequence, 'total_cost_recorded' AS rule_id FROM t WHERE o_orderkey % 71 = 0
+    UNION ALL SELECT run, sequence, 'total_cost_within_limit' FROM t WHERE (seg = 'BUILDING' AND total > 1000000) OR (seg = 'MACHINERY' AND total > 3000000)
     """,
 )
 def wn5_running_totals(spark, sf):
-    totals = log_totals(spark, sf).withColumn(
-        "recorded", F.col("total_delta") + F.when(F.col("o_orderkey") % 71 == 0, 0.5).otherwise(0.0)
-    )
-    return logs.total_faults(totals, "run", "sequence", {"total_delta": "recorded"}, {"total_delta": "limit"})
+    """Fractional amounts; the recorder adds doubles one by one, with planted slips."""
+    by_double = Window.partitionBy("run").orderBy("sequence")
+    slip = F.when(F.col("o_orderkey") % 71 == 0, 0.5).otherwise(0.0)
+    totals = log_totals(spark, sf).withColumn("recorded", F.sum("cost").over(by_double) + slip)
+    return logs.total_faults(totals, "run", "sequence", {"total_cost": "recorded"}, {"total_cost": "limit"})
 
 
 VERDICT_SQL = f"""
