@@ -134,7 +134,7 @@ def test_constant_channel_at_a_high_level_is_flat(spark):
             x = np.full(SAMPLES, 1234567.891) if c == 2 else 1e6 + rng.normal(size=SAMPLES)
             rows.append(("s", "a", i, c, NAMES[c], "1", SFREQ, x.tolist()))
     epochs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = {r.channel_idx: r["std"] for r in signal.channel_deviation(signal.trial_moments(epochs)).collect()}
+    got = {r.channel_idx: r["std"] for r in signal.channel_deviation(signal.sample_moments(epochs)).collect()}
     cubes = np.array([r[7] for r in rows]).reshape(30, 4, SAMPLES)
     want = cubes.std(axis=(0, 2))
     assert got[2] < 1e-6
