@@ -218,26 +218,51 @@ def test_trace_refuses_equal_configurations(spark):
 
 def test_stream_equals_batch_with_early_arrivals(spark, tmp_path):
     rng = np.random.default_rng(8)
+    names = ("paid_cost", "api_total_tokens", "provider_retries")
     ops = []
     for run in range(5):
         for seq in range(40 if run else 200):
-            ask = rng.random() < 0.3
-            amount = float(rng.integers(1, 30))
-            ops.append({"run": run, "sequence": seq, "event_type": "precheck" if ask else "usage", "used": 0.0 if ask else amount, "requested": amount if ask else 0.0})
+            ask = bool(rng.random() < 0.3)
+            amounts = {n: float(rng.integers(0, 30)) / 8 for n in names}
+            ops.append({
+                "run": run, "sequence": seq, "event_type": "precheck" if ask else "usage",
+                "used": {} if ask else amounts, "requested": amounts if ask else {},
+                "limits": {"paid_cost": 40.0 + run, "provider_retries": 90.0} if seq == 0 else None,
+                "event_sha256": f"{run}-{seq}",
+            })
     order = rng.permutation(len(ops))
     log = tmp_path / "log"
     log.mkdir()
+    repeated = []
     for n, part in enumerate(np.array_split(order, 12)):
         lines = [json.dumps(ops[i]) for i in part]
-        if n:
-            lines.append(json.dumps(ops[order[0]]))  # a replayed line changes nothing
+        if n:  # a second line of a sequence seen before, with another amount
+            again = dict(ops[order[n]], used={"paid_cost": 1e6}, event_sha256="zz")
+            repeated.append((again["run"], again["sequence"]))
+            lines.append(json.dumps(again))
         (log / f"part-{n:02d}.json").write_text("\n".join(lines))
     base = shared_dir(spark, "stream-test")
-    got = budget_stream.account_files(spark, str(log), f"{base}/out", f"{base}/progress", 500.0, files_per_batch=2)
-    df = spark.createDataFrame(ops, budget_stream.EVENT_SCHEMA)
-    totals = logs.running_totals(df, "run", ["sequence"], block_slice("sequence", 16), ["used"]).withColumn("limit", F.lit(500.0))
-    want = logs.precheck(totals, "total_used", "requested", "limit").select("run", "sequence", F.col("total_used").alias("total"), "verdict")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    got = budget_stream.account_files(spark, str(log), f"{base}/out", f"{base}/progress", files_per_batch=2).collect()
+    assert sorted((r.run, r.sequence) for r in got if r.verdict == "sequence_repeated") == sorted(repeated)
+    want = {}
+    for run in range(5):
+        totals, limits = dict.fromkeys(names, 0.0), {"paid_cost": 40.0 + run, "provider_retries": 90.0}
+        for op in (o for o in ops if o["run"] == run):
+            for n, v in op["used"].items():
+                totals[n] += v
+            over = [n for n in ("api_total_tokens", "paid_cost", "provider_retries")
+                    if totals[n] + op["requested"].get(n, 0.0) > limits.get(n, 1e99)]
+            if op["event_type"] == "precheck":
+                verdict = "precheck_rejected" if over else "precheck_passed"
+            else:
+                verdict = "post_account_exceeded" if over else "usage_recorded"
+            want[run, op["sequence"]] = (verdict, over, [totals[n] for n in names], op["event_sha256"])
+    place = [logs.COUNTERS.index(n) for n in names]
+    seen = {
+        (r.run, r.sequence): (r.verdict, r.exceeded, [r.totals[p] for p in place], r.last_event_sha256)
+        for r in got if r.verdict != "sequence_repeated"
+    }
+    assert seen == want
 
 
 @pytest.mark.parametrize("heavy_rows", [10, 1_000_000])

@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from trialweave.functions import text
-from trialweave.operators.ordered import block_slice, day_slice
+from trialweave.operators.logs import COUNTERS
+from trialweave.operators.ordered import block_slice, day_slice, ordered_position
 from trialweave.plans.registry import query, table
-from trialweave.plans.windows import VERDICT_SQL, budget_operations
 from trialweave.session import materialise, shared_dir
 from trialweave.sources import files, literature, sinks
 from trialweave.streaming import budget_stream
@@ -421,14 +421,90 @@ def sk6_failure_rows(spark, sf):
     return sinks.failure_rows(attempts)
 
 
-@query("st1_budget_stream", f"WITH {VERDICT_SQL}")
+STREAM_SQL = """
+    o AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS sequence, o_orderkey % 3 = 0 AS asks,
+      round(o_totalprice)::BIGINT AS cost, o_orderkey % 100 AS tokens, o_orderkey % 4 AS retries, sha256(o_orderkey::VARCHAR) AS sha FROM orders),
+    w AS (SELECT *, coalesce(sum(CASE WHEN asks THEN 0 ELSE cost END) OVER s, 0)::BIGINT AS c, coalesce(sum(CASE WHEN asks THEN 0 ELSE tokens END) OVER s, 0)::BIGINT AS t,
+      coalesce(sum(CASE WHEN asks THEN 0 ELSE retries END) OVER s, 0)::BIGINT AS r FROM o WINDOW s AS (PARTITION BY run ORDER BY sequence)),
+    x AS (SELECT *, CASE WHEN c + CASE WHEN asks THEN cost ELSE 0 END > 1000000 + 1000 * (run % 7) THEN 'paid_cost;' ELSE '' END AS over_cost,
+      CASE WHEN t + CASE WHEN asks THEN tokens ELSE 0 END > 300 THEN 'api_total_tokens;' ELSE '' END AS over_tokens,
+      CASE WHEN r + CASE WHEN asks THEN retries ELSE 0 END > 12 THEN 'provider_retries;' ELSE '' END AS over_retries FROM w),
+    v AS (SELECT run, sequence, c AS paid_cost, t AS api_total_tokens, r AS provider_retries, over_tokens || over_cost || over_retries AS exceeded, sha AS last_event_sha256, asks FROM x)
+"""
+
+
+def budget_log(spark, sf):
+    """The customers' orders as budget events with three counters and limits per run."""
+    orders = table(spark, sf, "orders")
+    placed = ordered_position(
+        orders.withColumnRenamed("o_custkey", "run"), ["run"], ["o_orderdate", "o_orderkey"],
+        F.trunc("o_orderdate", "month"), "place",
+    )
+    key, asks = F.col("o_orderkey"), F.col("o_orderkey") % 3 == 0
+    amounts = F.create_map(
+        F.lit("paid_cost"), F.round("o_totalprice"),
+        F.lit("api_total_tokens"), (key % 100).cast("double"),
+        F.lit("provider_retries"), (key % 4).cast("double"),
+    )
+    limits = F.create_map(
+        F.lit("paid_cost"), (1_000_000 + 1000 * (F.col("run") % 7)).cast("double"),
+        F.lit("api_total_tokens"), F.lit(300.0),
+        F.lit("provider_retries"), F.lit(12.0),
+    )
+    return placed.select(
+        "run",
+        (F.col("place") - 1).alias("sequence"),
+        F.when(asks, "precheck").otherwise("usage").alias("event_type"),
+        F.when(~asks, amounts).alias("used"),
+        F.when(asks, amounts).alias("requested"),
+        F.when(F.col("place") == 1, limits).alias("limits"),
+        F.sha2(key.cast("string"), 256).alias("event_sha256"),
+    )
+
+
+def accounted(spark, log):
+    base = shared_dir(spark, "stream")
+    log.repartition(16, F.xxhash64("run", "sequence")).write.json(f"{base}/log")
+    return budget_stream.account_files(
+        spark, f"{base}/log", f"{base}/verdicts", f"{base}/progress", files_per_batch=8
+    )
+
+
+@query(
+    "st1_budget_stream",
+    f"""
+    WITH {STREAM_SQL}
+    SELECT run, sequence, CASE WHEN asks AND exceeded <> '' THEN 'precheck_rejected' WHEN asks THEN 'precheck_passed' WHEN exceeded <> '' THEN 'post_account_exceeded' ELSE 'usage_recorded' END AS verdict,
+      exceeded, paid_cost, api_total_tokens, provider_retries, last_event_sha256 FROM v
+    """,
+)
 def st1_budget_stream(spark, sf):
     """The customers' budget log as a stream of files in arbitrary row order."""
-    base = shared_dir(spark, "stream")
-    budget_operations(spark, sf).select(
-        "run", "sequence", "event_type", F.col("used").cast("double"), F.col("requested").cast("double")
-    ).repartition(16, F.xxhash64("run", "sequence")).write.json(f"{base}/log")
-    done = budget_stream.account_files(
-        spark, f"{base}/log", f"{base}/verdicts", f"{base}/progress", 1_000_000.0, files_per_batch=8
+    total = {c: F.get("totals", F.lit(COUNTERS.index(c))).cast("long").alias(c)
+             for c in ("paid_cost", "api_total_tokens", "provider_retries")}
+    names = F.transform("exceeded", lambda c: F.concat(c, F.lit(";")))
+    return accounted(spark, budget_log(spark, sf)).select(
+        "run", "sequence", "verdict", F.array_join(names, "").alias("exceeded"),
+        *total.values(), "last_event_sha256",
     )
-    return done.select("run", "sequence", F.col("total").cast("long").alias("total"), "verdict")
+
+
+@query(
+    "st1_faults",
+    """
+    WITH o AS (SELECT o_custkey AS run, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS sequence FROM orders)
+    SELECT run, sequence, 'sequence_repeated' AS verdict FROM o WHERE o_orderkey % 53 = 0
+    """,
+)
+def st1_faults(spark, sf):
+    """Some events are logged twice with other amounts; each second line is a fault."""
+    log = budget_log(spark, sf)
+    orders = table(spark, sf, "orders").where("o_orderkey % 53 = 0")
+    marked = orders.select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("event_sha256"))
+    again = log.join(marked, "event_sha256").select(*log.columns)
+    spoilt = again.withColumns({
+        "used": F.create_map(F.lit("paid_cost"), F.lit(7.0)),
+        "event_sha256": F.concat(F.lit("x"), "event_sha256"),
+    })
+    found = accounted(spark, log.unionByName(spoilt))
+    return found.where("verdict = 'sequence_repeated'").select("run", "sequence", "verdict")

@@ -1,8 +1,9 @@
 """Incremental budget accounting over a stream of log files.
 
-Per run the state holds the next sequence and the running total; rows that arrive
-ahead of their turn wait in a keyed map state, on disk, until the gap closes.  The
-batch twin is the running-total scan of the same log; both give the same verdicts.
+Per run the state holds the next sequence, the total and limit of each counter and the hash
+of the last event.  Rows that arrive ahead of their turn wait in a keyed map state, on disk,
+and are fetched one by one when their turn comes.  The batch twin is the running-total scan
+of the same log; both give the same verdicts.
 """
 
 from __future__ import annotations
@@ -13,77 +14,113 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from trialweave.operators.logs import COUNTERS, TOLERANCE
+
 # The state worker starts without shipped files, so the processor travels by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-EVENT_SCHEMA = "run long, sequence long, event_type string, used double, requested double"
-OUTPUT_SCHEMA = "run long, sequence long, total double, verdict string"
-TOLERANCE = 1e-12
+#: Amounts and limits by counter name; the first event of a run carries its limits.
+EVENT_SCHEMA = (
+    "run long, sequence long, event_type string, used map<string, double>, "
+    "requested map<string, double>, limits map<string, double>, event_sha256 string"
+)
+OUTPUT_SCHEMA = (
+    "run long, sequence long, verdict string, exceeded array<string>, totals array<double>, "
+    "last_event_sha256 string"
+)
+ROW = "event_type string, used array<double>, requested array<double>, limits array<double>, sha string"
 
 
 class BudgetAccount(StatefulProcessor):
-    """Totals of one run; the limit is the same for all runs of a stream."""
+    """Totals of one run, all counters at once, against the limits of its first event."""
 
-    def __init__(self, limit: float) -> None:
-        self.limit = limit
+    def __init__(self, counters: tuple[str, ...], tolerance: float) -> None:
+        self.counters, self.tolerance = counters, tolerance
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.account = handle.getValueState("account", "next_sequence long, total double, waiting long")
-        self.early = handle.getMapState(
-            "early", "sequence long", "event_type string, used double, requested double"
+        self.account = handle.getValueState(
+            "account", "next_sequence long, totals array<double>, limits array<double>, sha string, waiting long"
         )
+        self.early = handle.getMapState("early", "sequence long", ROW)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ahead, total, waiting = self.account.get() if self.account.exists() else (0, 0.0, 0)
-        batch = pd.concat(list(rows), ignore_index=True)
-        if waiting:
-            held = [(s[0], *v) for s, v in self.early.iterator()]
-            batch = pd.concat(
-                [batch, pd.DataFrame(held, columns=["sequence", "event_type", "used", "requested"])],
-                ignore_index=True,
-            )
-            self.early.clear()
-        # A sequence seen before is a replayed line: it was accounted already.
-        batch = batch[batch["sequence"] >= ahead].drop_duplicates("sequence").sort_values("sequence")
-        order = batch["sequence"].to_numpy()
-        gaps = np.flatnonzero(order != ahead + np.arange(len(order)))
-        ready = int(gaps[0]) if len(gaps) else len(order)
-        for row in batch.iloc[ready:].itertuples(index=False):
-            self.early.updateValue((int(row.sequence),), (row.event_type, float(row.used), float(row.requested)))
-        now = batch.iloc[:ready]
-        totals = total + now["used"].to_numpy(dtype=float).cumsum()
-        self.account.update(
-            (int(ahead + ready), float(totals[-1]) if ready else float(total), int(len(order) - ready))
-        )
-        if ready:
-            asks = (now["event_type"] == "precheck").to_numpy()
-            refused = totals + now["requested"].to_numpy(dtype=float) > self.limit + TOLERANCE
-            over = totals > self.limit + TOLERANCE
-            verdict = np.where(
-                asks,
-                np.where(refused, "precheck_rejected", "precheck_passed"),
-                np.where(over, "post_account_exceeded", "usage_recorded"),
-            )
-            yield pd.DataFrame(
-                {
-                    "run": np.int64(key[0]),
-                    "sequence": now["sequence"].to_numpy(dtype="int64"),
-                    "total": totals,
-                    "verdict": verdict,
-                }
-            )
+        size = len(self.counters)
+        ahead, totals, limits, sha, waiting = 0, np.zeros(size), np.full(size, np.inf), None, 0
+        if self.account.exists():
+            ahead, totals, limits, sha, waiting = self.account.get()
+            totals, limits = np.array(totals, float), np.array(limits, float)
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["sequence", "sha"], kind="stable")
+        out = []
+        for row in batch.itertuples(index=False):
+            at = int(row.sequence)
+            values = (row.event_type, row.used, row.requested, row.limits, row.sha)
+            if at < ahead or (at > ahead and waiting and self.early.containsKey((at,))):
+                out.append((at, "sequence_repeated", [], None, sha))
+                continue
+            if at > ahead:
+                kind, *arrays, own = values
+                self.early.updateValue(
+                    (at,), (kind, *[np.asarray(x, float).tolist() for x in arrays], own)
+                )
+                waiting += 1
+                continue
+            while values is not None:
+                kind, used, requested, given, sha = values
+                if ahead == 0:
+                    limits = np.array(given, float)
+                totals = totals + np.array(used, float)
+                out.append((ahead, *self._judge(kind, totals, np.array(requested, float), limits), sha))
+                ahead, values = ahead + 1, None
+                if waiting and self.early.containsKey((ahead,)):
+                    values = self.early.getValue((ahead,))
+                    self.early.removeKey((ahead,))
+                    waiting -= 1
+        self.account.update((ahead, totals.tolist(), limits.tolist(), sha, waiting))
+        if out:
+            done = pd.DataFrame(out, columns=["sequence", "verdict", "exceeded", "totals", "last_event_sha256"])
+            done.insert(0, "run", np.int64(key[0]))
+            yield done
+
+    def _judge(self, kind, totals, requested, limits) -> tuple:
+        asks = kind == "precheck"
+        over = totals + (requested if asks else 0.0) > limits + self.tolerance
+        names = [c for c, bad in zip(self.counters, over, strict=True) if bad]
+        if asks:
+            verdict = "precheck_rejected" if names else "precheck_passed"
+        else:
+            verdict = "post_account_exceeded" if names else "usage_recorded"
+        return verdict, names, totals.tolist()
 
     def close(self) -> None:
         pass
 
 
-def budget_verdicts(events: DataFrame, limit: float) -> DataFrame:
-    """Stateful transformation of a streaming (or batch) event table."""
-    return events.groupBy("run").transformWithStateInPandas(
-        statefulProcessor=BudgetAccount(limit),
+def _by_counter(amounts: str, missing: float) -> Column:
+    return F.array(*[F.coalesce(F.col(amounts)[c], F.lit(missing)) for c in COUNTERS])
+
+
+def budget_verdicts(events: DataFrame) -> DataFrame:
+    """Stateful transformation of a streaming (or batch) event table.
+
+    One row per event, with the counters beyond their limits and the totals in the order of
+    ``COUNTERS``.  A sequence number seen before is a broken log: its row comes out as
+    ``sequence_repeated`` and moves no total.
+    """
+    rows = events.select(
+        "run",
+        "sequence",
+        "event_type",
+        _by_counter("used", 0.0).alias("used"),
+        _by_counter("requested", 0.0).alias("requested"),
+        _by_counter("limits", float("inf")).alias("limits"),
+        F.col("event_sha256").alias("sha"),
+    )
+    return rows.groupBy("run").transformWithStateInPandas(
+        statefulProcessor=BudgetAccount(COUNTERS, TOLERANCE),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",
         timeMode="None",
@@ -94,7 +131,7 @@ ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 def account_files(
-    spark: SparkSession, source: str, target: str, checkpoint: str, limit: float, files_per_batch: int = 64
+    spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 64
 ) -> DataFrame:
     """Run the accounting over all log files present, in bounded micro-batches.
 
@@ -105,7 +142,7 @@ def account_files(
         spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(source)
     )
     run = (
-        budget_verdicts(events, limit)
+        budget_verdicts(events)
         .writeStream.format("parquet")
         .option("path", target)
         .option("checkpointLocation", checkpoint)
