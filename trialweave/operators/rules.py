@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -216,6 +217,67 @@ def quality_policy_violations(policies: DataFrame, rules: DataFrame) -> DataFram
     return heads.unionByName(single).unionByName(empty).unionByName(repeated)
 
 
+@dataclass(frozen=True)
+class QualityRule:
+    """When ``field`` meets ``operator`` and ``value``, ``action`` is taken."""
+
+    rule_id: str
+    field: str
+    operator: str
+    value: object
+    action: str
+    reason_code: str
+
+    def met(self) -> Column:
+        """A missing field meets ``is_unknown`` only."""
+        column = F.col(self.field)
+        tests = {
+            "eq": lambda: column == F.lit(self.value),
+            "gt": lambda: column > F.lit(self.value),
+            "gte": lambda: column >= F.lit(self.value),
+            "lt": lambda: column < F.lit(self.value),
+            "lte": lambda: column <= F.lit(self.value),
+            "in": lambda: column.isin(*self.value),
+            "is_unknown": column.isNull,
+        }
+        return F.coalesce(tests[self.operator](), F.lit(False))
+
+
+def apply_quality_policy(
+    rows: DataFrame, entity: Sequence[str], policy: Sequence[QualityRule], exclusions_allowed: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Rows kept with their ``quality_flags``, and the audit of every rule that was met.
+
+    Rows are kept and flagged unless a rule excludes them and exclusions are allowed; the
+    audit (entity..., rule_id, reason_code, action) names each excluded row and each
+    ``fail_stage`` too, which ``checks.require_empty`` may turn into a refusal.  One narrow
+    pass gives each side.
+    """
+    met = F.filter(
+        F.array(
+            *[
+                F.when(
+                    r.met(),
+                    F.struct(
+                        F.lit(r.rule_id).alias("rule_id"),
+                        F.lit(r.reason_code).alias("reason_code"),
+                        F.lit(r.action).alias("action"),
+                    ),
+                )
+                for r in policy
+            ]
+        ),
+        lambda m: m.isNotNull(),
+    )
+    marked = rows.withColumn("__met", met)
+    out = F.exists("__met", lambda m: m["action"] == "logical_exclude") & F.lit(exclusions_allowed)
+    kept = marked.where(~out).withColumn(
+        "quality_flags", F.transform("__met", lambda m: m["rule_id"])
+    )
+    audit = marked.select(*entity, F.explode("__met").alias("m")).select(*entity, "m.*")
+    return kept.drop("__met"), audit
+
+
 def evaluation_rules() -> list[Rule]:
     """Metric, aggregation and interval rules of one protocol row."""
     secondary = F.col("secondary_metrics")

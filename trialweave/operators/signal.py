@@ -71,9 +71,12 @@ def trials_of_epochs(epochs: DataFrame) -> DataFrame:
 def concatenate_sessions(trials: DataFrame, slice_by: Column) -> tuple[DataFrame, DataFrame]:
     """Sessions of each subject end to end with new trial numbers, and the faults.
 
-    Faults name subjects whose sessions differ in channels, samples or rate.
+    Faults (subject_id, field) name subjects whose sessions differ in channels, samples or
+    rate; their trials are not joined.
     """
-    keyed = trials.withColumn("__within", slice_by)
+    faults = disagreements(trials, ["subject_id"], ["sfreq", "channels", "samples"])
+    fitting = trials.join(faults.select("subject_id").distinct(), "subject_id", "left_anti")
+    keyed = fitting.withColumn("__within", slice_by)
     scanned = ordered.ordered_position(
         keyed,
         ["subject_id"],
@@ -82,7 +85,7 @@ def concatenate_sessions(trials: DataFrame, slice_by: Column) -> tuple[DataFrame
         "__place",
     )
     joined = scanned.withColumn("trial_idx", F.col("__place") - 1).drop("__place", "__within")
-    return joined, disagreements(trials, ["subject_id"], ["sfreq", "channels", "samples"])
+    return joined, faults
 
 
 # --- quality --------------------------------------------------------------------

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trialweave.functions import parameters
+from trialweave.functions import kernels, parameters
 from trialweave.operators import decode, search, signal
 from trialweave.plans import decoding_sql
 from trialweave.plans.registry import query, table
@@ -517,3 +517,66 @@ def gj10_guided_order(spark, sf):
     return prefs.join(grid, ["subject_id", "family", "low", "high"]).select(
         "subject_id", "place", "pipeline_id", F.round("effect_ratio", 6).alias("effect_ratio")
     )
+
+
+# Trial summaries from events: users are subjects, and some break a rule of the executor.
+SUMMARY_SQL = """
+    t AS (SELECT user_id AS subject_id, CASE WHEN user_id % 11 = 3 OR event_id % 2 = 0 THEN 'a' ELSE 'b' END AS label, user_id % 23 <> 7 OR event_id % 5 <> 0 AS finite,
+      CASE WHEN user_id % 13 = 4 AND event_id % 2 = 0 THEN 128.0 WHEN user_id % 17 = 5 THEN 20.0 ELSE 250.0 END AS sfreq, CASE WHEN user_id % 19 = 6 THEN 2 ELSE 8 END AS channels,
+      CASE WHEN user_id % 7 = 2 THEN 10 ELSE 300 END AS width FROM events),
+    l AS (SELECT subject_id, label, count(*) AS n FROM t GROUP BY 1, 2),
+    c AS (SELECT subject_id, count(*) AS labels, min(n) AS fewest FROM l GROUP BY 1),
+    f AS (SELECT subject_id, bool_and(finite) AS finite, min(sfreq) AS s0, max(sfreq) AS s1, min(channels) AS c0, max(channels) AS c1, min(width) AS w0, max(width) AS w1 FROM t GROUP BY 1)
+"""
+
+
+def event_summaries(spark, sf):
+    user, event = F.col("user_id"), F.col("event_id")
+    finite = (user % 23 != 7) | (event % 5 != 0)
+    return table(spark, sf, "events").select(
+        user.alias("subject_id"),
+        F.when((user % 11 == 3) | (event % 2 == 0), "a").otherwise("b").alias("label"),
+        F.when(finite, F.array(F.lit(1.0))).alias("covs"),
+        F.when((user % 13 == 4) & (event % 2 == 0), 128.0).when(user % 17 == 5, 20.0).otherwise(250.0).alias("sfreq"),
+        F.when(user % 19 == 6, 2).otherwise(8).alias("channels"),
+        F.when(user % 7 == 2, 10).otherwise(300).alias("width"),
+    )
+
+
+@query(
+    "gj4_refusals",
+    f"""
+    WITH {SUMMARY_SQL}
+    SELECT subject_id, 'two_labels' AS rule_id FROM c WHERE labels <> 2
+    UNION ALL SELECT subject_id, 'label_has_a_trial_per_fold' FROM c WHERE fewest < {max(c.cv_folds for c in CANDIDATES)}
+    UNION ALL SELECT subject_id, 'samples_finite' FROM f WHERE NOT finite
+    UNION ALL SELECT subject_id, 'one_signal_shape' FROM f WHERE s0 <> s1 OR c0 <> c1 OR w0 <> w1
+    UNION ALL SELECT subject_id, 'band_below_nyquist' FROM f WHERE NOT s0 / 2 > {max(c.high for c in CANDIDATES)}
+    UNION ALL SELECT subject_id, 'samples_cover_padding' FROM f WHERE NOT w0 > {kernels.PAD}
+    UNION ALL SELECT subject_id, 'components_within_channels' FROM f WHERE c0 < {max(c.csp_components for c in CANDIDATES)}
+    """,
+)
+def gj4_refusals(spark, sf):
+    """Subjects no candidate is run for, with every reason."""
+    return decode.decoding_faults(event_summaries(spark, sf), CANDIDATES)
+
+
+@query(
+    "gj7_refusals",
+    f"""
+    WITH {SUMMARY_SQL}, m AS (SELECT *, subject_id % 5 <> 0 AS known FROM f)
+    SELECT subject_id, 'model_of_this_subject' AS rule_id FROM m WHERE NOT known
+    UNION ALL SELECT subject_id, 'rate_matches_model' FROM m WHERE NOT known OR s0 <> 250 OR s1 <> 250
+    UNION ALL SELECT subject_id, 'channels_match_model' FROM m WHERE NOT known OR c0 <> 8 OR c1 <> 8
+    UNION ALL SELECT subject_id, 'samples_finite' FROM m WHERE NOT finite
+    """,
+)
+def gj7_refusals(spark, sf):
+    """Evaluation rows a frozen model is not applied to."""
+    rows = event_summaries(spark, sf)
+    models = (
+        rows.where("subject_id % 5 <> 0")
+        .select("subject_id", F.lit(250.0).alias("sfreq"), F.lit(8).alias("channels"))
+        .distinct()
+    )
+    return decode.frozen_faults(models, rows)

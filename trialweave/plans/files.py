@@ -241,7 +241,7 @@ def responses(spark, sf, item, head, tail):
     SELECT doc_id // 20 AS block, (doc_id % 20)::INTEGER AS pos, CASE WHEN n_chars % 3 = 0 THEN 'http://x/' || doc_id ELSE '10.1/' || upper(source) || doc_id END AS source_id,
       CASE WHEN n_chars % 3 = 0 THEN NULL ELSE '10.1/' || upper(source) || doc_id END AS doi, 'Title & ' || doc_id AS title, CASE WHEN n_chars % 5 = 0 THEN NULL ELSE 2000 + (n_chars % 20)::INTEGER END AS year,
       'Ada ' || lang || ';' || source AS authors, CASE WHEN n_chars % 7 = 0 THEN true END AS is_retracted,
-      CASE WHEN n_chars % 3 = 0 THEN 'crossref:http://x/' || doc_id ELSE lower('10.1/' || source || doc_id) END AS stable_id
+      CASE WHEN n_chars % 3 = 0 THEN 'crossref:http://x/' || doc_id ELSE lower('10.1/' || source || doc_id) END AS stable_id, 'Press of ' || lang AS publisher
     FROM documents WHERE n_chars % 11 <> 0
     """,
 )
@@ -258,13 +258,39 @@ def sc9_crossref_papers(spark, sf):
             F.struct(F.lit(None).cast("string").alias("given"), F.lit("").alias("family")),
         ).alias("author"),
         F.when(n % 7 == 0, F.struct(F.lit("y").alias("is-retracted-by"))).alias("relation"),
+        F.concat(F.lit("Press of "), "lang").alias("publisher"),
     )
     papers = literature.crossref_papers(responses(spark, sf, item, '{"message": {"items": [', ']}}'))
     return papers.select(
-        "block", "pos", "source_id", "doi", "title", "year", F.array_join("authors", ";").alias("authors"), "is_retracted", "stable_id"
+        "block", "pos", "source_id", "doi", "title", "year", F.array_join("authors", ";").alias("authors"), "is_retracted", "stable_id",
+        F.get_json_object("metadata_json", "$.publisher").alias("publisher"),
     )
 
 
+def broken_responses(spark, sf):
+    """Responses of which some are cut short and some carry no item list."""
+    item = F.struct(F.array(F.col("source")).alias("title"))
+    block = F.col("block")
+    raw = (
+        F.when(block % 5 == 1, F.substring("raw", 1, 30))
+        .when(block % 5 == 2, F.lit('{"message": {"items": null}, "status": "failed"}'))
+        .when(block % 5 == 3, F.lit('{"message": {"items": []}}'))
+        .otherwise(F.col("raw"))
+    )
+    return responses(spark, sf, item, '{"message": {"items": [', ']}}').withColumn("raw", raw)
+
+
+@query(
+    "sc9_response_faults",
+    """
+    WITH b AS (SELECT DISTINCT doc_id // 20 AS block FROM documents)
+    SELECT block, CASE block % 5 WHEN 1 THEN 'response_is_json' ELSE 'response_lists_items' END AS rule_id FROM b WHERE block % 5 IN (1, 2)
+    """,
+)
+def sc9_response_faults(spark, sf):
+    return literature.response_faults(broken_responses(spark, sf), literature.CROSSREF_ITEMS)
+
+
 @query(
     "sc10_openalex_papers",
     r"""

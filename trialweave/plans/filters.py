@@ -639,6 +639,36 @@ def pf18_quality_policy_rules(spark, sf):
     return rules.quality_policy_violations(policies, policy_rules)
 
 
+QUALITY_POLICY = (
+    rules.QualityRule("long_run", "l_quantity", "gt", 45, "logical_exclude", "too_many_trials"),
+    rules.QualityRule("no_price", "price", "is_unknown", None, "retain_and_flag", "metadata_missing"),
+    rules.QualityRule("cheap", "price", "lt", 2000.0, "retain_and_flag", "low_amplitude"),
+    rules.QualityRule("returned", "l_returnflag", "in", ("R", "A"), "retain_and_flag", "resent"),
+    rules.QualityRule("taxed", "l_tax", "gte", 0.08, "fail_stage", "limit_reached"),
+)
+
+
+@query(
+    "pf18_quality_policy_applied",
+    """
+    WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity > 45 AS long_run, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_extendedprice END AS price, l_returnflag IN ('R', 'A') AS returned, l_tax >= 0.08 AS taxed FROM lineitem),
+    m AS (SELECT *, price IS NULL AS no_price, coalesce(price < 2000, false) AS cheap FROM p),
+    a AS (SELECT l_orderkey, l_linenumber, long_run, unnest(['long_run', 'no_price', 'cheap', 'returned', 'taxed']) AS rule_id, unnest([long_run, no_price, cheap, returned, taxed]) AS met FROM m)
+    SELECT 'kept' AS side, l_orderkey, l_linenumber, concat_ws(';', CASE WHEN no_price THEN 'no_price' END, CASE WHEN cheap THEN 'cheap' END, CASE WHEN returned THEN 'returned' END, CASE WHEN taxed THEN 'taxed' END) AS detail FROM m WHERE NOT long_run
+    UNION ALL SELECT 'audit', l_orderkey, l_linenumber, rule_id FROM a WHERE met
+    """,
+)
+def pf18_quality_policy_applied(spark, sf):
+    """A policy run over rows: what is kept with its flags, and the audit."""
+    price = F.when(F.col("l_linenumber") % 5 != 0, F.col("l_extendedprice"))
+    rows = table(spark, sf, "lineitem").withColumn("price", price)
+    key = ["l_orderkey", "l_linenumber"]
+    kept, audit = rules.apply_quality_policy(rows, key, QUALITY_POLICY, exclusions_allowed=True)
+    return kept.select(
+        F.lit("kept").alias("side"), *key, F.array_join("quality_flags", ";").alias("detail")
+    ).unionByName(audit.select(F.lit("audit").alias("side"), *key, F.col("rule_id").alias("detail")))
+
+
 @query(
     "pf19_redaction",
     """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.functions import parameters
@@ -579,6 +582,64 @@ def so1_concatenate_sessions(spark, sf):
     return joined.select("session_id", "trial_id", "trial_idx")
 
 
+def mixed_sessions(spark, sf):
+    """Orders as trials, customers as subjects; some subjects change rate or montage."""
+    key, subject = F.col("o_orderkey"), F.col("o_custkey")
+    late = key % 2 == 1
+    return table(spark, sf, "orders").select(
+        subject.alias("subject_id"),
+        F.year("o_orderdate").alias("session_id"),
+        key.alias("trial_id"),
+        F.when((subject % 7 == 2) & late, 128.0).otherwise(64.0).alias("sfreq"),
+        F.when((subject % 11 == 3) & late, 7).otherwise(8).alias("channels"),
+        F.lit(256).alias("samples"),
+    )
+
+
+MIXED_SQL = """
+    t AS (SELECT o_custkey AS subject_id, year(o_orderdate) AS session_id, o_orderkey AS trial_id, CASE WHEN o_custkey % 7 = 2 AND o_orderkey % 2 = 1 THEN 128 ELSE 64 END AS sfreq,
+      CASE WHEN o_custkey % 11 = 3 AND o_orderkey % 2 = 1 THEN 7 ELSE 8 END AS channels FROM orders),
+    f AS (SELECT subject_id, unnest(['sfreq', 'channels']) AS field, unnest([count(DISTINCT sfreq), count(DISTINCT channels)]) AS n FROM t GROUP BY 1)
+"""
+
+
+@query("so1_faults", f"WITH {MIXED_SQL} SELECT subject_id, field FROM f WHERE n > 1")
+def so1_faults(spark, sf):
+    from trialweave.operators.signal import concatenate_sessions
+
+    return concatenate_sessions(mixed_sessions(spark, sf), block_slice("trial_id"))[1]
+
+
+@query(
+    "so1_refused_subjects_stay_apart",
+    f"""
+    WITH {MIXED_SQL} SELECT subject_id, session_id, trial_id, row_number() OVER (PARTITION BY subject_id ORDER BY session_id, trial_id) - 1 AS trial_idx
+    FROM t WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.subject_id = t.subject_id AND n > 1)
+    """,
+)
+def so1_refused_subjects_stay_apart(spark, sf):
+    from trialweave.operators.signal import concatenate_sessions
+
+    joined = concatenate_sessions(mixed_sessions(spark, sf), block_slice("trial_id"))[0]
+    return joined.select("subject_id", "session_id", "trial_id", "trial_idx")
+
+
+@query(
+    "so2_guards",
+    """
+    WITH n AS (SELECT count_if(source = 'src1') AS a, count_if(source = 'src2') AS b FROM documents)
+    SELECT 'src2' AS target_run, 'target_is_empty' AS rule_id FROM n WHERE b > 0
+    UNION ALL SELECT 'src1', 'source_and_target_differ' UNION ALL SELECT 'src1', 'target_is_empty' FROM n WHERE a > 0
+    UNION ALL SELECT 'copy', 'source_has_rows'
+    """,
+)
+def so2_guards(spark, sf):
+    """Clones that are refused: into a run with rows, into itself, out of no rows."""
+    runs = table(spark, sf, "documents").withColumnRenamed("source", "search_run_id")
+    tried = [("src1", "src2"), ("src1", "src1"), ("nobody", "copy"), ("src1", "fresh")]
+    return reduce(DataFrame.unionByName, [evidence.clone_run(runs, a, b)[1] for a, b in tried])
+
+
 @query(
     "so2_clone_search",
     f"SELECT 'run-2' AS search_run_id, query_id, source, stable_id, rank FROM ({RESULTS_SQL})",

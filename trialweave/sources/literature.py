@@ -1,4 +1,9 @@
-"""Scholarly response files to paper rows."""
+"""Scholarly response files to paper rows.
+
+A response is parsed once as a variant, so ``metadata_json`` holds every field of an item,
+also those no column reads.  Responses that give no item list are rows of
+``response_faults``, never lost unseen.
+"""
 
 from __future__ import annotations
 
@@ -6,32 +11,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.functions import text
+from trialweave.operators.checks import violations
 
-CROSSREF_SCHEMA = """
-    message struct<items: array<struct<
+CROSSREF_ITEM = """
         title: array<string>, DOI: string, URL: string, type: string, abstract: string,
         published: struct<`date-parts`: array<array<int>>>,
         author: array<struct<given: string, family: string>>,
         `container-title`: array<string>,
-        relation: map<string, string>>>>
+        relation: map<string, string>
 """
 
-OPENALEX_SCHEMA = """
-    results array<struct<
+OPENALEX_ITEM = """
         id: string, display_name: string, title: string, doi: string, type: string,
         publication_year: int, cited_by_count: bigint, is_retracted: boolean,
         abstract_inverted_index: map<string, array<int>>,
         authorships: array<struct<author: struct<display_name: string>>>,
-        primary_location: struct<landing_page_url: string, source: struct<display_name: string>>>>
+        primary_location: struct<landing_page_url: string, source: struct<display_name: string>>
 """
 
+CROSSREF_ITEMS, OPENALEX_ITEMS = "$.message.items", "$.results"
+
+
+def _items(responses: DataFrame, raw: str, path: str, schema: str) -> DataFrame:
+    """One row per item: the other columns, pos, the text of the item, its fields i."""
+    rest = [c for c in responses.columns if c != raw]
+    listed = F.try_variant_get(F.try_parse_json(raw), path, "array<variant>")
+    return (
+        responses.select(*rest, F.posexplode(listed).alias("pos", "item"))
+        .withColumn("item", F.to_json("item"))
+        .withColumn("i", F.from_json("item", f"struct<{schema.strip()}>"))
+    )
+
+
+def response_faults(responses: DataFrame, path: str, raw: str = "raw") -> DataFrame:
+    """The other columns and rule_id of responses that are no JSON or list no items."""
+    parsed = F.try_parse_json(raw)
+    return violations(
+        responses,
+        [c for c in responses.columns if c != raw],
+        [
+            ("response_is_json", parsed.isNotNull()),
+            (
+                "response_lists_items",
+                parsed.isNull() | F.try_variant_get(parsed, path, "array<variant>").isNotNull(),
+            ),
+        ],
+    )
+
 
 def crossref_papers(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """Paper rows of responses in the ``message.items`` shape; untitled items drop out."""
     rest = [c for c in responses.columns if c != raw]
-    items = responses.select(
-        *rest, F.posexplode(F.from_json(raw, CROSSREF_SCHEMA)["message"]["items"]).alias("pos", "i")
-    )
+    items = _items(responses, raw, CROSSREF_ITEMS, CROSSREF_ITEM)
     doi = F.when(F.col("i.DOI") != "", F.col("i.DOI"))
     nobody = F.array().cast("array<struct<given:string,family:string>>")
     people = F.transform(
@@ -55,7 +86,7 @@ def crossref_papers(responses: DataFrame, raw: str = "raw") -> DataFrame:
         F.col("i.type").alias("work_type"),
         F.lit(None).cast("bigint").alias("citation_count"),
         F.when(F.map_contains_key("i.relation", F.lit("is-retracted-by")), F.lit(True)).alias("is_retracted"),
-        F.to_json("i").alias("metadata_json"),
+        F.col("item").alias("metadata_json"),
     )
     return _identified(papers)
 
@@ -63,9 +94,7 @@ def crossref_papers(responses: DataFrame, raw: str = "raw") -> DataFrame:
 def openalex_papers(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """Paper rows of responses in the ``results`` shape; untitled items drop out."""
     rest = [c for c in responses.columns if c != raw]
-    items = responses.select(
-        *rest, F.posexplode(F.from_json(raw, OPENALEX_SCHEMA)["results"]).alias("pos", "i")
-    )
+    items = _items(responses, raw, OPENALEX_ITEMS, OPENALEX_ITEM)
     names = F.filter(
         F.transform(
             F.coalesce("i.authorships", F.array().cast("array<struct<author:struct<display_name:string>>>")),
@@ -88,7 +117,7 @@ def openalex_papers(responses: DataFrame, raw: str = "raw") -> DataFrame:
         F.col("i.type").alias("work_type"),
         F.col("i.cited_by_count").alias("citation_count"),
         F.col("i.is_retracted").alias("is_retracted"),
-        F.to_json("i").alias("metadata_json"),
+        F.col("item").alias("metadata_json"),
     )
     return _identified(papers)
 
