@@ -57,6 +57,34 @@ def chain_faults(
     )
 
 
+def binding_faults(
+    events: DataFrame, authorities: DataFrame, run: str, sequence: str
+) -> DataFrame:
+    """(run, sequence, rule_id): events that do not belong to the log they are in.
+
+    ``events`` has the log's ``run``, the event's own ``event_run`` and, on the opening event
+    (sequence 0), ``authority_sha256`` and a map ``limits``.  ``authorities`` has one row per
+    run with the digest and the limits the log must open with.
+    """
+    def entries(limits: Column) -> Column:
+        return F.array_sort(F.map_entries(F.coalesce(limits, F.create_map().cast("map<string,double>"))))
+
+    bound = authorities.select(
+        run, F.col("authority_sha256").alias("__sha"), F.col("limits").alias("__limits")
+    )
+    own = violations(events, [run, sequence], [("event_names_its_run", F.col("event_run") == F.col(run))])
+    opened = events.where(F.col(sequence) == 0).join(bound, run, "left")
+    opening = violations(
+        opened,
+        [run, sequence],
+        [
+            ("authority_matches", F.col("authority_sha256") == F.col("__sha")),
+            ("limits_match", F.col("__sha").isNotNull() & (entries(F.col("limits")) == entries(F.col("__limits")))),
+        ],
+    )
+    return own.unionByName(opening)
+
+
 def running_totals(
     events: DataFrame,
     run: str,

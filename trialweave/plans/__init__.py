@@ -9,6 +9,7 @@ from trialweave.plans import (  # noqa: F401
     joins,
     scalars,
     signals,
+    statistics,
     windows,
 )
 from trialweave.plans.registry import ORACLES, QUERIES

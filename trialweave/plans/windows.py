@@ -204,6 +204,38 @@ def wn4_chain_faults(spark, sf):
     return logs.chain_faults(log, "run", "sequence", block_slice("sequence", 1000), hashed)
 
 
+@query(
+    "wn4_opening_binding",
+    f"""
+    WITH {LOG_SQL}
+    SELECT run, sequence, 'event_names_its_run' AS rule_id FROM p WHERE o_orderkey % 83 = 0
+    UNION ALL SELECT run, 0, 'authority_matches' FROM p WHERE sequence = 0 AND (run % 9 = 4 OR run % 31 = 7)
+    UNION ALL SELECT run, 0, 'limits_match' FROM p WHERE sequence = 0 AND (run % 10 = 3 OR run % 31 = 7)
+    """,
+)
+def wn4_opening_binding(spark, sf):
+    """Logs opened under another authority or other limits, and events of another run."""
+    run, first = F.col("run"), F.col("sequence") == 0
+
+    def limits(cost):
+        return F.create_map(F.lit("paid_cost"), cost, F.lit("api_total_tokens"), F.lit(9.0))
+
+    events = customer_log(spark, sf).select(
+        "run",
+        "sequence",
+        F.when(F.col("o_orderkey") % 83 == 0, run + 1).otherwise(run).alias("event_run"),
+        F.when(first, F.sha2(F.when(run % 9 == 4, "other").otherwise(run.cast("string")), 256)).alias("authority_sha256"),
+        F.when(first, limits(F.when(run % 10 == 3, 6.0).otherwise(5.0))).alias("limits"),
+    )
+    authorities = (
+        table(spark, sf, "customer")
+        .select(F.col("c_custkey").alias("run"))
+        .where(run % 31 != 7)
+        .select("run", F.sha2(run.cast("string"), 256).alias("authority_sha256"), limits(F.lit(5.0)).alias("limits"))
+    )
+    return logs.binding_faults(events, authorities, "run", "sequence")
+
+
 TOTAL_SQL = f"""
     {LOG_SQL}, t AS (SELECT run, sequence, o_orderkey, c_mktsegment AS seg, sum(cost::DECIMAL(38, 12)) OVER (PARTITION BY run ORDER BY sequence) AS total FROM p JOIN customer ON c_custkey = run)
 """
