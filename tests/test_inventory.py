@@ -168,6 +168,13 @@ def test_require_empty(spark):
     checks.require_empty(spark.range(0), "nothing")
 
 
+def test_redaction_of_broken_json_shows_nothing(spark):
+    broken = '{"token": {"a": "s3cret'
+    df = spark.createDataFrame([(broken,), ('{"n": 1}',)], "p string")
+    got = [r[0] for r in df.select(rules.redact_json(F.col("p"))).collect()]
+    assert got == ['"<redacted>"', '{"n": 1}']
+
+
 def test_redaction(spark):
     rows = ['{"a": {"API-KEY": "k", "n": [1, {"secret": 5}]}}', '{"password": {"x": [1]}, "ok": "é"}', '{"apikey": "a\\"b", "access_token": null}']
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, p string")

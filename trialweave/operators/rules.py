@@ -460,7 +460,8 @@ def redact_json(payload: Column) -> Column:
     """Mask credential values at any depth of JSON text.
 
     Scalar values are masked by one pattern in the JVM.  Rows whose credential key
-    holds an object or array go through the JSON parser in an Arrow batch.
+    holds an object or array go through the JSON parser in an Arrow batch; where their text
+    is no JSON it is masked whole.
     """
     names = "|".join(k.replace("_", "[-_]") for k in CREDENTIAL_KEYS)
     key = rf'(?i)("(?:{names})"\s*:\s*)'
@@ -484,7 +485,10 @@ def _redact_text(text: str) -> str:
             }
         return [walk(x) for x in v] if isinstance(v, list) else v
 
-    return json.dumps(walk(json.loads(text)), ensure_ascii=False)
+    try:
+        return json.dumps(walk(json.loads(text)), ensure_ascii=False)
+    except ValueError:  # broken JSON that names a credential: nothing of it is shown
+        return json.dumps(MASK)
 
 
 # --- leaf catalogue -------------------------------------------------------------

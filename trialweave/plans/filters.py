@@ -248,11 +248,11 @@ def common_window(runs, keys, given):
     return runs.select(*keys, F.lit(0.0).alias("window_start"), stop.alias("window_stop"), basis.alias("basis"))
 
 
-# Papers from the documents: first line is the title, the source the search.
+# Papers from the documents: the text is the title, the source the search.
 WORK_TYPE_SQL = "CASE WHEN source = 'src4' THEN 'component' WHEN source = 'src7' THEN 'posted-content' WHEN lang = 'en' THEN 'journal-article' WHEN lang = 'de' THEN NULL ELSE 'dataset' END"
 PAPERS_SQL = f"""
     SELECT d.doc_id, source AS search, {WORK_TYPE_SQL} AS work_type, text, n_chars,
-      CASE WHEN n_chars % 11 = 0 THEN 'Erratum to ' ELSE '' END || split_part(text, chr(10), 1) AS title, {TITLE_SQL} AS tkey,
+      CASE WHEN n_chars % 11 = 0 THEN 'Erratum to ' ELSE '' END || text AS title, {TITLE_SQL} AS tkey,
       coalesce(toxic = 1, false) AS is_retracted
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 """
@@ -279,7 +279,7 @@ def papers(spark, sf):
         "doc_id",
         source.alias("search"),
         work_type.alias("work_type"),
-        F.concat(lead, F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"),
+        F.concat(lead, "text").alias("title"),
         F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("is_retracted"),
         F.col("text").alias("abstract"),
         "n_chars",

@@ -724,13 +724,13 @@ def ag28_exclusion_histogram(spark, sf):
 @query(
     "sk3_paper_upsert",
     f"""
-    WITH v AS (SELECT {"lower(split_part(text, ' ', 1))"} AS stable_id, doc_id, source, lang AS doi, n_chars AS citation_count FROM documents)
+    WITH v AS (SELECT substr(sha256(text), 1, 2) AS stable_id, doc_id, source, lang AS doi, n_chars AS citation_count FROM documents)
     SELECT stable_id, arg_min(source, doc_id) AS source, arg_min(doc_id, doc_id) AS source_id, arg_min(doi, doc_id) AS doi, arg_max(citation_count, doc_id) AS citation_count, max(doc_id) AS updated FROM v GROUP BY 1
     """,
 )
 def sk3_paper_upsert(spark, sf):
     versions = table(spark, sf, "documents").select(
-        F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("stable_id"),
+        F.substring(F.sha2("text", 256), 1, 2).alias("stable_id"),
         "source",
         F.col("doc_id").alias("source_id"),
         F.col("lang").alias("doi"),

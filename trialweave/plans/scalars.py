@@ -22,7 +22,7 @@ CLEAN_SQL = entities_sql("regexp_replace(html, '<[^>]+>', ' ', 'g')")
 SPACES = r"[\s\x{0B}\x{85}\p{Z}]+"
 TITLE_SQL = (
     "trim(regexp_replace(lower(regexp_replace("
-    + entities_sql("split_part(text, chr(10), 1)")
+    + entities_sql("text")
     + ", '<[^>]+>', ' ', 'g')), '[^a-z0-9]+', ' ', 'g'))"
 )
 
@@ -42,9 +42,8 @@ def sf1_clean_markup(spark, sf):
 
 @query("sf2_normalized_title", f"SELECT doc_id, {TITLE_SQL} AS title_key FROM documents")
 def sf2_normalized_title(spark, sf):
-    title = F.split_part("text", F.lit("\n"), F.lit(1))
     return table(spark, sf, "documents").select(
-        "doc_id", text.normalized_title(title).alias("title_key")
+        "doc_id", text.normalized_title(F.col("text")).alias("title_key")
     )
 
 
