@@ -169,7 +169,7 @@ def test_require_empty(spark):
 
 
 def test_redaction_of_broken_json_shows_nothing(spark):
-    broken = '{"token": {"a": "s3cret'
+    broken = '{"secret": {"a": "s3cret'
     df = spark.createDataFrame([(broken,), ('{"n": 1}',)], "p string")
     got = [r[0] for r in df.select(rules.redact_json(F.col("p"))).collect()]
     assert got == ['"<redacted>"', '{"n": 1}']
