@@ -173,7 +173,8 @@ def train(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -
     """A ranking from labelled rows that are not held out.
 
     ``most_rows`` bounds the sample; it is drawn by hash, so reruns agree.  Labels other
-    than 0 and 1, and ids with several labels that differ, are left out.
+    than 0 and 1, and ids with several labels that differ, are left out.  The sample's ids,
+    at most ``most_rows``, are broadcast, so no text is shuffled to find it.
     """
     known = (
         labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -186,7 +187,8 @@ def train(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -
     )
     rows = (
         feature_rows(
-            documents.select("doc_id", "text").join(known, "doc_id"), ["doc_id", "good"]
+            documents.select("doc_id", "text").join(F.broadcast(known), "doc_id"),
+            ["doc_id", "good"],
         )
         .orderBy(F.xxhash64("doc_id"), "doc_id", "features")
         .limit(most_rows)
