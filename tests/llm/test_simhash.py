@@ -114,3 +114,24 @@ def test_one_of_each_keeps_clean_documents(make_documents, odd_rows):
 def test_empty_table(make_documents):
     assert simhash.near_duplicates(make_documents([])).count() == 0
     assert simhash.one_of_each(make_documents([])).count() == 0
+
+
+def test_large_group_is_joined_by_few_links(make_documents):
+    words = prose("large group", 400).split()
+    rows = []
+    for k in range(150):
+        edited = list(words)
+        for j in range(3):
+            edited[(k * 31 + j * 97) % 400] = f"edit{k}x{j}"
+        rows.append((k, " ".join(edited), "en", "s"))
+    names = ["w0", "w1", "w2", "w3"]
+    prints = simhash.fingerprints(make_documents(rows), 5, 42, 4).withColumnRenamed("doc_id", "node")
+    assert prints.dropDuplicates(names).count() == 150
+    stars = simhash.star_links(prints, 40, 12, 4, ball=1, first_radius=20)
+    roots = {r["node"]: r["root"] for r in simhash.drawn_together(stars).collect()}
+    kept = prints.sparkSession.createDataFrame(
+        [(k, roots.get(k, k)) for k in range(150)], "node bigint, root bigint"
+    )
+    rest = simhash.near_links(prints.join(kept, "node"), 40, 12, 4, ball=1, first_radius=14)
+    assert rest.count() < 150 * 20 and 100 < stars.count() < 150 * 60
+    assert simhash.one_of_each(make_documents(rows)).count() == 1
