@@ -135,3 +135,38 @@ def test_large_group_is_joined_by_few_links(make_documents):
     rest = simhash.near_links(prints.join(kept, "node"), 40, 12, 4, ball=1, first_radius=14)
     assert rest.count() < 150 * 20 and 100 < stars.count() < 150 * 60
     assert simhash.one_of_each(make_documents(rows)).count() == 1
+
+
+def plain_shingles(text, size=5):
+    words = text.lower().split()
+    return Counter(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
+
+
+def plain_similarity(one, two):
+    return sum((one & two).values()) / sum((one | two).values())
+
+
+def test_pairs_at_the_limit_are_decided_by_exact_similarity(make_documents):
+    rows, want = [], set()
+    similar = Counter()
+    for k in range(120):  # isolated pairs of similarity 0.70 to 0.90
+        words = prose(f"pair{k}", 300).split()
+        edited = list(words)
+        for j in range(3 + k % 9):
+            edited[25 * j + 7] = f"edit{j}"
+        rows += [(2 * k, " ".join(words), "en", "s"), (2 * k + 1, " ".join(edited), "en", "s")]
+        near = plain_similarity(*(plain_shingles(r[1]) for r in rows[-2:]))
+        similar[near >= 0.8] += 1
+        want |= {2 * k} if near >= 0.8 else {2 * k, 2 * k + 1}
+    assert min(similar.values()) > 30
+    got = {r["doc_id"] for r in simhash.one_of_each(make_documents(rows)).collect()}
+    assert not want - got  # nothing below the limit is removed
+    assert len(got - want) <= 1  # 99.5 % of the pairs at the limit are found
+
+
+def test_equal_fingerprints_of_other_texts_stay(make_documents):
+    many = " ".join(["again"] * 60)
+    rows = [(k, f"{many} {prose(f'tail{k}', 40)}", "en", "s") for k in range(3)]
+    prints = simhash.fingerprints(make_documents(rows), 5, 42, 4)
+    assert prints.drop("doc_id").distinct().count() == 1
+    assert simhash.one_of_each(make_documents(rows)).count() == 3

@@ -94,6 +94,86 @@ def fingerprints(
     )
 
 
+def counted(hashes: np.ndarray) -> np.ndarray:
+    """Distinct sorted values that stand for the hashes with their counts.
+
+    The k-th occurrence of a hash is shifted by k steps, so set operations on these values
+    are operations on the hashes with counts.
+    """
+    held = np.sort(hashes)
+    place = np.arange(len(held))
+    new = np.append(True, held[1:] != held[:-1])[: len(held)]
+    again = place - np.maximum.accumulate(np.where(new, place, 0))
+    return np.sort(held + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _text_nodes(documents: DataFrame, shingle: int, seed: int, words: int) -> DataFrame:
+    """doc_id, _key, node and fingerprint of every text; node is a digest of its shingles."""
+    names = [f"w{k}" for k in range(words)]
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            found = []
+            for text in batch.column(2):
+                hashes = shingle_hashes(text.as_py(), shingle, seed)
+                node = xxhash.xxh64_intdigest(counted(hashes).tobytes(), seed)
+                found.append([node, *majority_bits(hashes, words)])
+            table = np.array(found, np.uint64).reshape(-1, words + 1)
+            columns = [pa.array(c, pa.int64()) for c in table.view(np.int64).T.copy()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *columns],
+                names=["doc_id", "_key", "node", *names],
+            )
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "_key", "text").mapInArrow(
+        batches,
+        ", ".join([f"doc_id {kind}", *[f"{n} bigint" for n in ["_key", "node", *names]]]),
+    )
+
+
+def _shingle_sets(
+    documents: DataFrame, prints: DataFrame, nodes: DataFrame, shingle: int, seed: int
+) -> DataFrame:
+    """(node, shingles) of the given nodes: the counted hashes of one text of each."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in rows:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets = [
+                    counted(shingle_hashes(t.as_py(), shingle, seed)) for t in batch.column(1)
+                ]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                values = pa.array(np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)],
+                    names=["node", "shingles"],
+                )
+
+    named = prints.join(nodes, "node", "left_semi").select("node", "first.doc_id", "first._key")
+    texts = documents.select("doc_id", "_key", "text").join(named, ["doc_id", "_key"])
+    sets = texts.select("node", "text").mapInArrow(batches, "node bigint, shingles array<bigint>")
+    return sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingles, with counts, have that similarity or more."""
+    for side in "ba":
+        own = sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}"))
+        pairs = pairs.join(own, side)
+    n, m = F.size("sa"), F.size("sb")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.filter(
+        (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+        & (both * (100 + percent) >= (n + m) * percent)
+    ).select("a", "b")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def _segments(words: int, count: int) -> list[tuple[int, int, int]]:
     """(word, shift, width): near equal segments, none across two words."""
     each = [count // words + (k < count % words) for k in range(words)]
@@ -239,7 +319,9 @@ def near_links(
     A bucket of more than ``FULL_BUCKET`` fingerprints holds many near copies of each other;
     its pairs are not emitted one by one.  Its members are cut into blocks, each pair of
     blocks is compared in one bounded task, and that task emits a spanning forest.  Links
-    in small buckets are all emitted; in full ones connectivity is kept.
+    in small buckets are all emitted; in full ones connectivity is kept.  With roots, the
+    links are candidates that are verified later, so all of them are emitted from full
+    buckets too, except between nodes of one root.
     """
     cut = _segments(words, segments)
     balls = _balls(radius, segments) if ball is None else [ball] * segments
@@ -276,6 +358,10 @@ def _full_links(
     """Spanning links of full buckets, by pairs of blocks of their members."""
     blocks = F.ceil(F.col("held") / BLOCK).cast("long")
     members = looked.join(full, "bucket").withColumn("blocks", blocks)
+    rooted = "root" in prints.columns
+    if rooted:  # nothing is sought where all members are joined already
+        apart = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+        members = members.join(apart.filter("x <> y"), "bucket", "left_semi")
     members = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     others = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
@@ -283,7 +369,7 @@ def _full_links(
             F.least(o, F.col("mine")).alias("low"), F.greatest(o, F.col("mine")).alias("high")
         ),
     )
-    names = [f"w{k}" for k in range(words)]
+    names = [f"w{k}" for k in range(words)] + ["root"] * rooted
     units = (
         members.select("bucket", "node", F.explode(others).alias("u"))
         .select("bucket", "u.low", "u.high", "node")
@@ -295,8 +381,15 @@ def _full_links(
 
         rows = rows.drop_duplicates("node").sort_values("node")
         nodes, left = rows["node"].to_numpy(), np.arange(len(rows))
-        bits = rows[names].to_numpy(np.int64).view(np.uint64)
+        bits = rows[names[:words]].to_numpy(np.int64).view(np.uint64)
         out = []
+        if rooted:
+            roots = rows["root"].to_numpy()
+            for k in range(len(nodes) - 1):
+                near = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(axis=1) <= radius
+                near &= roots[k + 1 :] != roots[k]
+                out += [(nodes[k], x) for x in nodes[k + 1 :][near]]
+            return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
         while len(left):  # breadth first over what is not reached yet
             front, left = left[:1], left[1:]
             while len(front) and len(left):
@@ -394,51 +487,62 @@ def one_of_each(
     documents: DataFrame,
     shingle: int = 5,
     words: int = 4,
-    radius: int = 40,
+    radius: int = 60,
     first_radius: int = 14,
-    segments: int = 12,
+    segments: int = 16,
     seed: int = 42,
+    percent: int = 80,
 ) -> DataFrame:
     """One document of each group of near copies, with all its columns.
 
-    The document with the smallest doc_id stays.  Fingerprints have 64 * ``words`` bits.
-    Texts whose ``shingle``-word shingles have similarity 0.8 differ in 15 % of the bits,
-    ``radius`` of 256, so the distance of all bits decides at that similarity.  Twelve
-    segments of 21 bits with balls of one bit find every pair within 23 bits (similarity
-    0.88) and 87 % of the pairs at 0.8, most of which a group links in several ways.  Large
-    groups are first drawn together by one link per probe; then only links between nodes
-    that are still apart are sought, among pairs whose first word differs by ``first_radius``
-    bits or fewer (95 % of the pairs at 0.8).  So links grow with the rows, not with the
-    square of a group.
+    Two texts are near copies if their ``shingle``-word shingles, with counts, have a
+    similarity (shared over all) of ``percent`` or more; groups are the components of these
+    links, and the document with the smallest doc_id stays.  Fingerprints of 64 * ``words``
+    bits only find candidates: each link is verified by the shingles themselves (as 64-bit
+    hashes).  At similarity 0.8 about 15 % of the bits differ, 39 of 256 with a standard
+    deviation of 6, so ``radius`` holds more than 99.9 % of those pairs; sixteen segments of
+    16 bits with balls of one bit meet 99.5 % of them, taking bits as independent.  Buckets
+    hold a 65,536th of the distinct texts.
+
+    Large groups are first drawn together by verified links, one candidate per probe; then
+    only candidates between nodes that are still apart are sought, among pairs whose first
+    word differs by ``first_radius`` bits or fewer.
 
     Rows that repeat a doc_id and equal texts leave one row; rows with a null doc_id stay.
     Null and empty texts are copies of each other.  An empty table gives no rows.
     """
     names = [f"w{k}" for k in range(words)]
-    known = documents.filter("doc_id is not null")
-    held = materialise(fingerprints(known, shingle, seed, words), "fingerprints")
-    # One node per fingerprint: the smallest of its documents.
+    known = documents.filter("doc_id is not null").withColumn("_key", F.xxhash64("text"))
+    held = materialise(_text_nodes(known, shingle, seed, words), "fingerprints")
+    # One node per list of shingles; its first document stands for it.
     prints = materialise(
-        held.groupBy(*names).agg(F.min("doc_id").cast("long").alias("node")), "prints"
+        held.groupBy("node", *names).agg(F.min(F.struct("doc_id", "_key")).alias("first")),
+        "prints",
     )
-    distinct = prints.dropDuplicates(["node"])
-    stars = materialise(
-        star_links(distinct, radius, segments, words, ball=1, first_radius=20), "stars"
+    nodes = prints.select("node", *names)
+    heads = materialise(
+        star_links(nodes, radius, segments, words, ball=1, first_radius=20), "heads"
     )
+    sets = materialise(_shingle_sets(known, prints, _ends(heads), shingle, seed), "sets")
+    stars = materialise(_similar(heads, sets, percent), "stars")
     apart = materialise(
-        distinct.join(drawn_together(stars), "node", "left").withColumn("root", F.coalesce("root", "node")),
+        nodes.join(drawn_together(stars), "node", "left").withColumn("root", F.coalesce("root", "node")),
         "apart",
     )
     rest = near_links(apart, radius, segments, words, ball=1, first_radius=first_radius)
-    linked = components(stars.unionByName(rest))
-    # A node that is no root has a smaller near copy; a row that is no node has an equal one.
-    kept = prints.select("node").distinct().join(
-        linked.filter("node <> root"), "node", "left_anti"
+    rest = materialise(rest.join(heads, ["a", "b"], "left_anti"), "rest")
+    new = _ends(rest).join(sets, "node", "left_anti")
+    more = materialise(_shingle_sets(known, prints, new, shingle, seed), "sets")
+    linked = components(stars.unionByName(_similar(rest, sets.unionByName(more), percent)))
+    stay = (
+        prints.join(linked, "node", "left")
+        .groupBy(F.coalesce("root", "node").alias("root"))
+        .agg(F.min("first").alias("first"))
+        .select("first.doc_id", "first._key")
     )
     one = (
-        known.withColumn("_node", F.col("doc_id").cast("long"))
-        .join(kept.withColumnRenamed("node", "_node"), "_node", "left_semi")
-        .drop("_node")
-        .dropDuplicates(["doc_id"])
+        known.join(stay, ["doc_id", "_key"], "left_semi")
+        .dropDuplicates(["doc_id", "_key"])
+        .select(*documents.columns)
     )
     return one.unionByName(documents.filter("doc_id is null"))
