@@ -1,3 +1,4 @@
+import inspect
 import random
 from collections import Counter
 
@@ -170,3 +171,20 @@ def test_equal_fingerprints_of_other_texts_stay(make_documents):
     prints = simhash.fingerprints(make_documents(rows), 5, 42, 4)
     assert prints.drop("doc_id").distinct().count() == 1
     assert simhash.one_of_each(make_documents(rows)).count() == 3
+
+
+def test_first_words_reject_no_pair_at_the_limit(spark):
+    drawn, rows = random.Random(9), []
+    for k in range(60):  # 39 bits differ, as at similarity 0.8: 12 to 20 in the first word
+        whole, first = drawn.getrandbits(256), 12 + k % 9
+        flips = drawn.sample(range(64), first) + drawn.sample(range(64, 240), 39 - first)
+        for node, value in ((2 * k, whole), (2 * k + 1, whole ^ sum(1 << b for b in flips))):
+            parts = np.array([value >> 64 * w & (1 << 64) - 1 for w in range(4)], np.uint64)
+            rows.append((node, node, *parts.view(np.int64).tolist()))
+    prints = spark.createDataFrame(
+        rows, "node bigint, root bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint"
+    )
+    usual = inspect.signature(simhash.one_of_each).parameters
+    radius, first = usual["radius"].default, usual["first_radius"].default
+    got = simhash.near_links(prints, radius, 16, 4, ball=1, first_radius=first).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(2 * k, 2 * k + 1) for k in range(60)}
