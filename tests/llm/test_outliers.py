@@ -103,3 +103,16 @@ def test_reruns_agree_and_empty(make_documents, corpus):
     )
     assert one == two
     assert outliers.judge_quality(make_documents([])).count() == 0
+
+
+def test_a_small_source_is_judged_by_its_own_estimate(make_documents):
+    rows = [(k, prose(f"calm{k}", 60 + k % 40), "en", "calm") for k in range(600)]
+    rows += [  # a source that always shouts, and one calm text in it
+        (1000 + k, " ".join(w.upper() + "!" for w in prose(f"loud{k}", 60 + k % 40).split()), "en", "loud")
+        for k in range(60)
+    ]
+    rows.append((2000, prose("quiet", 80), "en", "loud"))
+    by = {r["doc_id"]: r for r in outliers.judge_quality(make_documents(rows)).collect()}
+    assert all(by[k]["kept"] for k in range(600))
+    assert all(by[1000 + k]["kept"] for k in range(60))
+    assert not by[2000]["kept"]

@@ -225,7 +225,7 @@ def covariance_estimates(
 def judge_quality(
     documents: DataFrame,
     cutoff: float = 85.0,
-    least_group: int = 500,
+    least_group: int = 30,
     keep_share: float = 0.75,
     steps: int = 3,
 ) -> DataFrame:
@@ -234,8 +234,9 @@ def judge_quality(
     Needs doc_id, text, lang and source; other columns are ignored.  A document is kept if it
     passes the base rules and its vector of transformed statistics lies within ``cutoff``
     (squared robust Mahalanobis distance) of its language and source.  Estimates come from
-    the documents that pass the base rules; a language and source with fewer than
-    ``least_group`` of them is judged by its language, and a language with fewer by all.
+    the documents that pass the base rules.  Only where five dimensions cannot be estimated
+    does a wider group decide: a language and source with fewer than ``least_group`` such
+    documents is judged by its language, and a language with fewer by all.
 
     Null and empty texts fail the base rules; null languages and sources are groups of their
     own; repeated rows count and are judged each; an empty table gives no rows.
