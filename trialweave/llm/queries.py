@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from trialweave.llm import (
     chat,
     decontaminate,
+    divergence,
+    licenses,
     mixing,
     outliers,
     quality,
     shards,
     simhash,
+    spelling,
     substrings,
     tokens,
     urls,
@@ -277,3 +280,145 @@ def op4_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules, then robust distance per language and source."""
     return outliers.judge_quality(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    """The scan as SQL: every word of every text meets every equal template word."""
+    templates = licenses.PHRASES + licenses.NOTICES
+    compiled = licenses.compile_templates(templates)
+    heads, words = [], []
+    for k, t in enumerate(templates):
+        must = set(compiled.mandatory[k].tolist())
+        heads.append(
+            f"({k}, '{t.label}', {str(t.base).lower()}, {len(compiled.numbers[k])}, "
+            f"{compiled.needed[k]}, {len(must)})"
+        )
+        words += [
+            f"({k}, '{compiled.names[n]}', {place}, {int(place in must)})"
+            for place, n in enumerate(compiled.numbers[k])
+        ]
+    return rf"""
+    WITH heads(t, label, base, size, needed, musts) AS (VALUES {', '.join(heads)}),
+    template_words(t, word, place, must) AS (VALUES {', '.join(words)}),
+    docs AS (
+      SELECT row_number() OVER () AS rid, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+      FROM documents),
+    placed AS (SELECT rid, unnest(words) AS word, unnest(range(len(words))) AS spot FROM docs),
+    starts AS (
+      SELECT rid, t, spot - place AS start, count(*) AS right_words, sum(must) AS right_musts
+      FROM placed JOIN template_words USING (word) GROUP BY ALL),
+    found AS (
+      SELECT rid, start, label, base, right_words::DOUBLE / size::DOUBLE AS share
+      FROM starts JOIN heads USING (t) WHERE right_words >= needed AND right_musts = musts)
+    SELECT doc_id, CAST(len(any_value(words)) AS BIGINT) AS n_words,
+      CAST(count(*) FILTER (base) AS BIGINT) AS n_base,
+      min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+      coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+      coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (label IS NOT NULL), '')
+        AS labels,
+      coalesce(max(share), 0::DOUBLE) AS score
+    FROM docs LEFT JOIN found USING (rid) GROUP BY rid, doc_id
+    """
+
+
+@query("op11_license_scan", _license_sql())
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the four phrases and labels of customary notices, for every text."""
+    scanned = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda f: f["base"])
+    starts = F.transform(base, lambda f: f["start"])
+
+    def joined(found):
+        labels = F.transform(found, lambda f: f["label"])
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    score = F.array_max(F.transform("found", lambda f: f["share"]))
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.col("found")).alias("labels"),
+        F.coalesce(score, F.lit(0.0)).alias("score"),
+    )
+
+
+@query(
+    "op12_source_divergence",
+    r"""
+    WITH docs AS (
+      SELECT row_number() OVER () AS rid, coalesce(text, '') AS text,
+        coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+    words AS (
+      SELECT rid, lang, source, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+    kept AS (
+      SELECT lang, term, count(*) AS total FROM words
+      GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+    used AS (
+      SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term)
+      GROUP BY lang, source, term),
+    groups AS (SELECT DISTINCT lang, source FROM docs),
+    sizes AS (
+      SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY lang),
+    group_sizes AS (
+      SELECT g.lang, g.source, coalesce(any_value(v), 0) AS v,
+        coalesce(any_value(lang_n), 0) AS lang_n, coalesce(sum(n), 0) AS n
+      FROM groups g LEFT JOIN sizes USING (lang) LEFT JOIN used USING (lang, source)
+      GROUP BY g.lang, g.source),
+    cells AS (
+      SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS held,
+        1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 1)) // (g.n + g.v) AS p,
+        1 + (1000000000::HUGEINT * (k.total + 1)) // (g.lang_n + g.v) AS lang_p
+      FROM group_sizes g JOIN kept k USING (lang) LEFT JOIN used u USING (lang, source, term)),
+    pair_sums AS (
+      SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+      FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+      GROUP BY a.lang, a.source, b.source),
+    results AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+        CAST(coalesce(s.value, 0) AS BIGINT) AS value
+      FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pair_sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, CAST(((p - lang_p) * (p - lang_p)) // lang_p AS BIGINT)
+      FROM cells WHERE held > 0 AND p > lang_p),
+    ranked AS (
+      SELECT *, CAST(row_number() OVER (
+        PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+      FROM results)
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
+)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of each language against each other and against the language, by words."""
+    return divergence.audit_sources(
+        table(spark, sf_dir, "documents"), least_documents=3, most_terms=200
+    ).select("lang", "source", "part", "item", "value", "rank")
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of five letters found three times, with planted deletions, and their forms.
+
+    A null doc_id stands as an empty text in the planted deletions.
+    """
+    runs = spelling.text_runs(table(spark, sf_dir, "documents"), r"A-Za-z\u00C0-\u00FF", least=5)
+    run, size = F.col("run"), F.length("run")
+    owner = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    drawn = runs.select("run", F.crc32(F.concat(owner, F.lit(":"), run)).alias("h"))
+    at = (F.col("h") % size).cast("int")
+    shorter = F.concat(run.substr(F.lit(1), at), run.substr(at + 2, size))
+    words = (
+        drawn.select(F.when(F.col("h") % 97 == 0, shorter).otherwise(run).alias("word"))
+        .filter(F.length("word") >= 5)
+        .groupBy("word")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n >= 3")
+    )
+    return spelling.variant_groups(words, ratio=2)
