@@ -13,7 +13,7 @@ from trialweave.llm.words import LETTERS, Words, words_of
 from trialweave.session import materialise
 
 #: Text bytes whose pointers are sorted together, and pairs compared in one numpy step.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 PAIRS = 1 << 20
 #: Fixed value: shares of a group's words are counted in billionths.
 SHARES = 1_000_000_000
@@ -29,7 +29,7 @@ def sort_pointers(words: Words, group: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ``group`` must not decrease.  Equal words keep their order.
     """
     count = len(words.starts)
-    order = np.arange(count)
+    order = np.arange(count, dtype=np.int32)
     begins = np.zeros(count, bool)
     run, todo, depth = group, order.copy(), 0
     while len(todo):
@@ -40,7 +40,7 @@ def sort_pointers(words: Words, group: np.ndarray) -> tuple[np.ndarray, np.ndarr
         key = key[placed]
         begins[todo[0]] = True
         begins[todo[1:]] |= (own[1:] != own[:-1]) | (key[1:] != key[:-1])
-        run = np.cumsum(begins)
+        run = np.cumsum(begins, dtype=np.int32)
         depth += 1
         more = (words.lengths[order] >= 8 * depth) & (np.bincount(run)[run] > 1)
         todo = np.flatnonzero(more)

@@ -73,7 +73,7 @@ def words_of(column: pa.Array, letters: np.ndarray) -> Words:
     begins[edges] = inside[edges]
     ends[edges - 1] = inside[edges - 1]
     starts = np.flatnonzero(begins)
-    lengths = np.flatnonzero(ends) + 1 - starts
+    lengths = (np.flatnonzero(ends) + 1 - starts).astype(np.int32)
     first = np.searchsorted(starts, offsets)
-    rows = np.repeat(np.arange(len(column)), np.diff(first))
+    rows = np.repeat(np.arange(len(column), dtype=np.int32), np.diff(first))
     return Words(data, starts, lengths, rows, first)
