@@ -515,22 +515,61 @@ def st1_budget_stream(spark, sf):
     )
 
 
+@query(
+    "st1_fractional_limits",
+    """
+    WITH o AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS sequence, o_totalprice::DECIMAL(38, 12) AS cost FROM orders),
+    t AS (SELECT *, sum(cost) OVER (PARTITION BY run ORDER BY sequence) AS total FROM o),
+    l AS (SELECT run, max(total) FILTER (sequence <= 4) AS cap FROM t GROUP BY 1)
+    SELECT run, sequence, (total * 100)::BIGINT AS paid_cents, CASE WHEN total > cap THEN 'post_account_exceeded' ELSE 'usage_recorded' END AS verdict FROM t JOIN l USING (run)
+    """,
+)
+def st1_fractional_limits(spark, sf):
+    """Each run's limit is what its first five events cost to the cent: the fifth reaches
+    it and does not pass it, whatever the order of the files."""
+    log = budget_log(spark, sf)
+    cost = F.col("o_totalprice").cast("decimal(38,12)")
+    prices = table(spark, sf, "orders").select(
+        F.sha2(F.col("o_orderkey").cast("string"), 256).alias("event_sha256"), cost.alias("cost")
+    )
+    priced = log.join(prices, "event_sha256")
+    caps = priced.where("sequence <= 4").groupBy("run").agg(F.sum("cost").cast("double").alias("cap"))
+    events = priced.join(caps, "run").select(
+        "run", "sequence", F.lit("usage").alias("event_type"),
+        F.create_map(F.lit("paid_cost"), F.col("cost").cast("double")).alias("used"),
+        F.lit(None).cast("map<string,double>").alias("requested"),
+        F.when(F.col("sequence") == 0, F.create_map(F.lit("paid_cost"), F.col("cap"))).alias("limits"),
+        "event_sha256",
+    )
+    cents = F.round(F.get("totals", F.lit(COUNTERS.index("paid_cost"))) * 100).cast("long")
+    return accounted(spark, events).select("run", "sequence", cents.alias("paid_cents"), "verdict")
+
+
 @query(
     "st1_faults",
     """
-    WITH o AS (SELECT o_custkey AS run, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS sequence FROM orders)
+    WITH o AS (SELECT o_custkey AS run, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS sequence FROM orders),
+    g AS (SELECT run, min(sequence) AS gap FROM o WHERE o_orderkey % 61 = 0 AND o_orderkey % 53 <> 0 GROUP BY 1)
     SELECT run, sequence, 'sequence_repeated' AS verdict FROM o WHERE o_orderkey % 53 = 0
+    UNION ALL SELECT run, sequence, 'sequence_gap' FROM o JOIN g USING (run) WHERE sequence > gap AND (o_orderkey % 61 <> 0 OR o_orderkey % 53 = 0)
     """,
 )
 def st1_faults(spark, sf):
-    """Some events are logged twice with other amounts; each second line is a fault."""
+    """Two planted faults: some events are logged twice with other amounts, so each second
+    line is a fault, and some are lost, so all later events of their run wait for ever."""
     log = budget_log(spark, sf)
-    orders = table(spark, sf, "orders").where("o_orderkey % 53 = 0")
-    marked = orders.select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("event_sha256"))
-    again = log.join(marked, "event_sha256").select(*log.columns)
-    spoilt = again.withColumns({
+    twice, lost = F.col("o_orderkey") % 53 == 0, F.col("o_orderkey") % 61 == 0
+    orders = table(spark, sf, "orders").select(
+        F.sha2(F.col("o_orderkey").cast("string"), 256).alias("event_sha256"),
+        twice.alias("twice"), (lost & ~twice).alias("lost"),
+    )
+    marked = log.join(orders, "event_sha256")
+    kept = marked.where("not lost").select(*log.columns)
+    spoilt = marked.where("twice").select(*log.columns).withColumns({
         "used": F.create_map(F.lit("paid_cost"), F.lit(7.0)),
         "event_sha256": F.concat(F.lit("x"), "event_sha256"),
     })
-    found = accounted(spark, log.unionByName(spoilt))
-    return found.where("verdict = 'sequence_repeated'").select("run", "sequence", "verdict")
+    found = accounted(spark, kept.unionByName(spoilt))
+    return found.where("verdict in ('sequence_repeated', 'sequence_gap')").select(
+        "run", "sequence", "verdict"
+    )

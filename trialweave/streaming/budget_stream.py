@@ -2,14 +2,16 @@
 
 Per run the state holds the next sequence, the total and limit of each counter and the hash
 of the last event.  Rows that arrive ahead of their turn wait in a keyed map state, on disk,
-and are fetched one by one when their turn comes.  The batch twin is the running-total scan
-of the same log; both give the same verdicts.
+and are fetched one by one when their turn comes.  A timer per run reports rows that have
+waited too long behind a gap.  Totals are decimals, as in the batch twin (the running-total
+scan of the same log), so both give the same verdicts at any limit and in any order.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -32,54 +34,82 @@ OUTPUT_SCHEMA = (
     "run long, sequence long, verdict string, exceeded array<string>, totals array<double>, "
     "last_event_sha256 string"
 )
-ROW = "event_type string, used array<double>, requested array<double>, limits array<double>, sha string"
+#: Amounts travel as decimals with twelve places; a missing limit is a null.
+AMOUNTS = "array<decimal(38,12)>"
+ROW = f"event_type string, used {AMOUNTS}, requested {AMOUNTS}, limits {AMOUNTS}, sha string, told boolean"
+ACCOUNT = (
+    f"next_sequence long, totals {AMOUNTS}, limits {AMOUNTS}, sha string, waiting long, timer long"
+)
+GAP = "sequence_gap"
 
 
 class BudgetAccount(StatefulProcessor):
     """Totals of one run, all counters at once, against the limits of its first event."""
 
-    def __init__(self, counters: tuple[str, ...], tolerance: float) -> None:
-        self.counters, self.tolerance = counters, tolerance
+    def __init__(self, counters: tuple[str, ...], tolerance: float, patience_ms: int | None) -> None:
+        self.counters, self.tolerance = counters, Decimal(repr(tolerance))
+        self.patience_ms = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.account = handle.getValueState(
-            "account", "next_sequence long, totals array<double>, limits array<double>, sha string, waiting long"
-        )
+        self.handle = handle
+        self.account = handle.getValueState("account", ACCOUNT)
         self.early = handle.getMapState("early", "sequence long", ROW)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def _read(self) -> tuple:
         size = len(self.counters)
-        ahead, totals, limits, sha, waiting = 0, np.zeros(size), np.full(size, np.inf), None, 0
-        if self.account.exists():
-            ahead, totals, limits, sha, waiting = self.account.get()
-            totals, limits = np.array(totals, float), np.array(limits, float)
+        if not self.account.exists():
+            return 0, [Decimal(0)] * size, [None] * size, None, 0, 0
+        ahead, totals, limits, sha, waiting, timer = self.account.get()
+        return ahead, list(totals), list(limits), sha, waiting, timer
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ahead, totals, limits, sha, waiting, timer = self._read()
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["sequence", "sha"], kind="stable")
-        out = []
+        out, before = [], ahead
         for row in batch.itertuples(index=False):
             at = int(row.sequence)
-            values = (row.event_type, row.used, row.requested, row.limits, row.sha)
+            values = (row.event_type, list(row.used), list(row.requested), list(row.limits), row.sha)
             if at < ahead or (at > ahead and waiting and self.early.containsKey((at,))):
                 out.append((at, "sequence_repeated", [], None, sha))
                 continue
             if at > ahead:
-                kind, *arrays, own = values
-                self.early.updateValue(
-                    (at,), (kind, *[np.asarray(x, float).tolist() for x in arrays], own)
-                )
+                self.early.updateValue((at,), (*values, False))
                 waiting += 1
                 continue
             while values is not None:
                 kind, used, requested, given, sha = values
                 if ahead == 0:
-                    limits = np.array(given, float)
-                totals = totals + np.array(used, float)
-                out.append((ahead, *self._judge(kind, totals, np.array(requested, float), limits), sha))
+                    limits = given
+                totals = [a + b for a, b in zip(totals, used, strict=True)]
+                out.append((ahead, *self._judge(kind, totals, requested, limits), sha))
                 ahead, values = ahead + 1, None
                 if waiting and self.early.containsKey((ahead,)):
-                    values = self.early.getValue((ahead,))
+                    values = self.early.getValue((ahead,))[:5]
                     self.early.removeKey((ahead,))
                     waiting -= 1
-        self.account.update((ahead, totals.tolist(), limits.tolist(), sha, waiting))
+        if self.patience_ms is not None:
+            # A gap that closed takes its timer along; the next one starts its own.
+            if timer and (not waiting or ahead > before):
+                self.handle.deleteTimer(timer)
+                timer = 0
+            if waiting and not timer:
+                timer = int(timerValues.getCurrentProcessingTimeInMs()) + self.patience_ms
+                self.handle.registerTimer(timer)
+        self.account.update((ahead, totals, limits, sha, waiting, timer))
+        yield from self._frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """One fault row per event still waiting; it stays, in case the gap closes later."""
+        ahead, totals, limits, sha, waiting, _ = self._read()
+        out = []
+        for (at,), held in list(self.early.iterator()):
+            if not held[5]:
+                out.append((at, GAP, [], None, sha))
+                self.early.updateValue((at,), (*held[:5], True))
+        self.account.update((ahead, totals, limits, sha, waiting, 0))
+        yield from self._frame(key, sorted(out, key=lambda r: r[0]))
+
+    def _frame(self, key, out: list) -> Iterator[pd.DataFrame]:
         if out:
             done = pd.DataFrame(out, columns=["sequence", "verdict", "exceeded", "totals", "last_event_sha256"])
             done.insert(0, "run", np.int64(key[0]))
@@ -87,28 +117,34 @@ class BudgetAccount(StatefulProcessor):
 
     def _judge(self, kind, totals, requested, limits) -> tuple:
         asks = kind == "precheck"
-        over = totals + (requested if asks else 0.0) > limits + self.tolerance
-        names = [c for c, bad in zip(self.counters, over, strict=True) if bad]
+        names = [
+            c
+            for c, total, more, limit in zip(self.counters, totals, requested, limits, strict=True)
+            if limit is not None and total + (more if asks else 0) > limit + self.tolerance
+        ]
         if asks:
             verdict = "precheck_rejected" if names else "precheck_passed"
         else:
             verdict = "post_account_exceeded" if names else "usage_recorded"
-        return verdict, names, totals.tolist()
+        return verdict, names, [float(t) for t in totals]
 
     def close(self) -> None:
         pass
 
 
-def _by_counter(amounts: str, missing: float) -> Column:
-    return F.array(*[F.coalesce(F.col(amounts)[c], F.lit(missing)) for c in COUNTERS])
+def _by_counter(amounts: str, missing: float | None) -> Column:
+    cells = [F.coalesce(F.col(amounts)[c], F.lit(missing).cast("double")) for c in COUNTERS]
+    return F.array(*[c.cast("decimal(38,12)") for c in cells])
 
 
-def budget_verdicts(events: DataFrame) -> DataFrame:
+def budget_verdicts(events: DataFrame, patience_ms: int | None = None) -> DataFrame:
     """Stateful transformation of a streaming (or batch) event table.
 
     One row per event, with the counters beyond their limits and the totals in the order of
     ``COUNTERS``.  A sequence number seen before is a broken log: its row comes out as
-    ``sequence_repeated`` and moves no total.
+    ``sequence_repeated`` and moves no total.  With ``patience_ms`` (streams only) events
+    that have waited that long, by processing time, behind a missing one come out as
+    ``sequence_gap``, once each; should the gap close later, their verdicts follow.
     """
     rows = events.select(
         "run",
@@ -116,39 +152,79 @@ def budget_verdicts(events: DataFrame) -> DataFrame:
         "event_type",
         _by_counter("used", 0.0).alias("used"),
         _by_counter("requested", 0.0).alias("requested"),
-        _by_counter("limits", float("inf")).alias("limits"),
+        _by_counter("limits", None).alias("limits"),
         F.col("event_sha256").alias("sha"),
     )
     return rows.groupBy("run").transformWithStateInPandas(
-        statefulProcessor=BudgetAccount(COUNTERS, TOLERANCE),
+        statefulProcessor=BudgetAccount(COUNTERS, TOLERANCE, patience_ms),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",
-        timeMode="None",
+        timeMode="None" if patience_ms is None else "ProcessingTime",
     )
 
 
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def account_files(
-    spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 64
-) -> DataFrame:
-    """Run the accounting over all log files present, in bounded micro-batches.
+def waiting_events(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """A ``sequence_gap`` row for every event the state of a stopped stream still holds
+    and no timer has reported."""
+    held = (
+        spark.read.format("statestore").option("stateVarName", "early").load(checkpoint)
+        .select(
+            F.col("key.run").alias("run"),
+            F.col("user_map_key.sequence").alias("sequence"),
+            F.col("user_map_value.told").alias("told"),
+        )
+    )
+    account = (
+        spark.read.format("statestore").option("stateVarName", "account").load(checkpoint)
+        .select(F.col("key.run").alias("run"), F.col("value.sha").alias("last_event_sha256"))
+    )
+    return held.where("not told").join(account, "run").select(
+        "run", "sequence", F.lit(GAP).alias("verdict"),
+        F.array().cast("array<string>").alias("exceeded"),
+        F.lit(None).cast("array<double>").alias("totals"),
+        "last_event_sha256",
+    )
+
+
+def account_stream(
+    spark: SparkSession, source: str, target: str, checkpoint: str, patience_ms: int | None = None,
+    files_per_batch: int = 64, **trigger,
+):
+    """Start the accounting over the log files of a folder; returns the streaming query.
 
     Progress and state live in ``checkpoint``, so a restart goes on where it stopped.
+    ``trigger`` is passed on, such as ``processingTime="1 minute"`` or ``availableNow=True``.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
     events = (
         spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(source)
     )
-    run = (
-        budget_verdicts(events)
+    return (
+        budget_verdicts(events, patience_ms)
         .writeStream.format("parquet")
         .option("path", target)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
+
+
+def account_files(
+    spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 64
+) -> DataFrame:
+    """Run the accounting over all log files present, in bounded micro-batches.
+
+    A finite log has no later events, so what waits at its end is behind a gap that never
+    closes: those rows come from the state when the stream has ended.  A later run over
+    more files goes on from the checkpoint, and may still close the gap.
+    """
+    run = account_stream(
+        spark, source, target, checkpoint, files_per_batch=files_per_batch, availableNow=True
+    )
     run.awaitTermination()
-    return spark.read.schema(OUTPUT_SCHEMA).parquet(target)
+    verdicts = spark.read.schema(OUTPUT_SCHEMA).parquet(target)
+    return verdicts.unionByName(waiting_events(spark, checkpoint))
