@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trialweave.functions import text
 from trialweave.operators import ordered
 from trialweave.operators.checks import violations
+from trialweave.session import materialise
 
 # Work types and title words that are never evidence.
 INELIGIBLE_WORK_TYPES = (
@@ -53,25 +54,40 @@ def with_exclusion_reason(papers: DataFrame, search: Sequence[str], rank: str) -
     """
     reason = row_exclusion_reason(F.col("work_type"), F.col("title"), F.col("is_retracted"))
     key = text.normalized_title(F.col("title"))
+    marked = papers.withColumn("reason", reason).withColumn("title_key", key)
+    return _later_copies(marked.withColumn("__key", _key_hash(key)), search, rank).drop("__key")
+
+
+def _key_hash(key: Column) -> Column:
+    """128 bits that stand for a title's key: whole titles are not shuffled."""
+    return F.unhex(F.md5(key.cast("binary")))
+
+
+def _later_copies(marked: DataFrame, search: Sequence[str], rank: str) -> DataFrame:
+    """Give rows without a reason one if their ``__key`` has a lower rank in the search."""
     first = (
-        papers.where(reason.isNull())
-        .select(*search, rank, key.alias("title_key"))
-        .groupBy(*search, "title_key")
+        marked.where(F.col("reason").isNull())
+        .groupBy(*search, "__key")
         .agg(F.min(rank).alias("__first"))
     )
-    marked = papers.withColumn("reason", reason).withColumn("title_key", key)
+    copy = F.when(F.col(rank) > F.col("__first"), "duplicate_normalized_title")
     return (
-        marked.join(first, [*search, "title_key"], "left")
-        .withColumn(
-            "reason",
-            F.when(F.col("reason").isNotNull(), F.col("reason")).when(
-                F.col(rank) > F.col("__first"), "duplicate_normalized_title"
-            ),
-        )
+        marked.join(first, [*search, "__key"], "left")
+        .withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).otherwise(copy))
         .drop("__first")
     )
 
 
+def hygiene_decisions(papers: DataFrame, search: Sequence[str], rank: str) -> DataFrame:
+    """(search, rank, reason) of every paper; titles are read and normalised once."""
+    reason = row_exclusion_reason(F.col("work_type"), F.col("title"), F.col("is_retracted"))
+    key = _key_hash(text.normalized_title(F.col("title")))
+    rows = materialise(
+        papers.select(*search, rank, reason.alias("reason"), key.alias("__key")), "title-keys"
+    )
+    return _later_copies(rows, search, rank).select(*search, rank, "reason")
+
+
 def exclusion_histogram(marked: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return (
         marked.where(F.col("reason").isNotNull())

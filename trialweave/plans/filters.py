@@ -293,7 +293,7 @@ def marked_papers(spark, sf):
 
 @query("pf10_hygiene_filter", f"{MARKED_SQL} SELECT doc_id, search, reason FROM f")
 def pf10_hygiene_filter(spark, sf):
-    return marked_papers(spark, sf).select("doc_id", "search", "reason")
+    return evidence.hygiene_decisions(papers(spark, sf), ["search"], "doc_id")
 
 
 @query(
