@@ -120,3 +120,25 @@ def test_discriminant_equals_direct_fit():
     got = x @ weights.T + bias
     # Scores may differ by a term common to both classes; differences decide.
     assert np.allclose(got[:, 1] - got[:, 0], want[:, 1] - want[:, 0])
+
+
+def test_long_signals_need_no_matrix():
+    """20,000 samples: equal to the recursion by its definition, and to the matrix form."""
+    rng = np.random.default_rng(12)
+    n, rate, low, high = 20_000, 250.0, 8.0, 30.0
+    t = np.arange(n) / rate
+    inside, outside = np.sin(2 * np.pi * 15 * t), np.sin(2 * np.pi * 60 * t)
+    data = np.stack([inside, outside, inside + outside, rng.normal(size=n)])
+    got = kernels.zero_phase(data, rate, low, high)
+    core = slice(500, -500)
+    assert np.allclose(got[0, core], inside[core], atol=0.02)
+    assert np.abs(got[1, core]).max() < 0.02
+    assert np.allclose(got[2], got[0] + got[1], atol=1e-9)
+    short = rng.normal(size=(3, 2, 1024))
+    by_matrix = kernels.zero_phase(short, rate, low, high)
+    longer = kernels.MATRIX_SAMPLES
+    try:
+        kernels.MATRIX_SAMPLES = 100
+        assert np.allclose(kernels.zero_phase(short, rate, low, high), by_matrix, atol=1e-9)
+    finally:
+        kernels.MATRIX_SAMPLES = longer

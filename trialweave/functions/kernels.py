@@ -117,6 +117,23 @@ def zero_phase_matrix(n: int, sfreq: float, low: float, high: float) -> np.ndarr
     return _cascade(sections, forward[::-1])[::-1][PAD:-PAD].copy()
 
 
+# Up to so many samples the filter is one cached matrix (at most 8 MB); longer signals are run
+# through the sections, all rows at once.
+MATRIX_SAMPLES = 1024
+
+
+def zero_phase(data: np.ndarray, sfreq: float, low: float, high: float) -> np.ndarray:
+    """Forward-backward band-pass along the last axis, in memory linear in the samples."""
+    n = data.shape[-1]
+    if n <= MATRIX_SAMPLES:
+        return data @ zero_phase_matrix(n, sfreq, low, high).T
+    x = data.reshape(-1, n).T
+    extended = np.concatenate([2 * x[0] - x[PAD:0:-1], x, 2 * x[-1] - x[-2 : -PAD - 2 : -1]])
+    sections = butterworth_sections(sfreq, low, high)
+    back = _cascade(sections, _cascade(sections, extended)[::-1])
+    return back[::-1][PAD:-PAD].T.reshape(data.shape)
+
+
 def filterable(n: int, sfreq: float, low: float, high: float) -> bool:
     return n > PAD and 0 < low < high < sfreq / 2
 
@@ -128,7 +145,7 @@ def bandpass_batch(samples: pd.Series, sfreq: pd.Series, low: pd.Series, high: p
             continue
         data = np.stack([samples.iat[i] for i in at])
         good = np.isfinite(data).all(axis=1)
-        done = np.where(good[:, None], data, 0.0) @ zero_phase_matrix(int(n), rate, lo, hi).T
+        done = zero_phase(np.where(good[:, None], data, 0.0), rate, lo, hi)
         for i, row, ok in zip(at, done, good, strict=True):
             out[i] = row if ok else None
     return pd.Series(out)
@@ -152,7 +169,7 @@ def covariance_batch(samples: pd.Series, channels: pd.Series, sfreq: pd.Series,
             if not filterable(n, rate, low, high):
                 per_band.append(None)
                 continue
-            f = cube @ zero_phase_matrix(n, rate, low, high).T
+            f = zero_phase(cube, rate, low, high)
             f = f - f.mean(axis=2, keepdims=True)
             per_band.append((f @ f.transpose(0, 2, 1)).reshape(len(at), c * c))
         for j, i in enumerate(at):

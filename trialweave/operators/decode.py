@@ -23,6 +23,7 @@ from trialweave.functions.hashing import content_hash
 from trialweave.functions.parameters import BANDS
 from trialweave.operators.checks import Rule, holds, violations
 from trialweave.operators.ordered import hash_slice, ordered_position
+from trialweave.operators.sums import array_sums
 from trialweave.session import materialise
 
 FLOOR = 1e-12
@@ -250,30 +251,21 @@ def with_folds(labelled: DataFrame, splits: Sequence[tuple[int, int]]) -> DataFr
 # --- sums -----------------------------------------------------------------------
 
 
-def element_sums(rows: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
-    """(keys, pos, total, n): element-wise sums of arrays, combined map-side."""
-    return (
-        rows.select(*keys, F.posexplode(vector).alias("pos", "x"))
-        .groupBy(*keys, "pos")
-        .agg(F.sum("x").alias("total"), F.count(F.lit(1)).alias("n"))
-    )
-
-
 def gathered_sums(rows: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
     """One row per key: sums of ``vector`` laid out by class, fold and element.
 
-    Two shuffles whatever the number of trials: the sums, combined map-side, and the
-    gathering of their classes x folds x elements, a number set by the montage.
+    Arrays are added as arrays, inside the tasks first; gathered are one array per class
+    and fold.
     """
-    sums = element_sums(rows, [*keys, "class", "fold"], vector)
-    cells = F.array_sort(F.collect_list(F.struct("class", "fold", "pos", "total", "n")))
+    sums = array_sums(rows, [*keys, "class", "fold"], vector)
+    cells = F.array_sort(F.collect_list(F.struct("class", "fold", "total", "n")))
     return (
         sums.groupBy(*keys)
         .agg(cells.alias("__c"))
         .select(
             *keys,
-            F.transform("__c", lambda c: c["total"]).alias("sums"),
-            F.transform(F.filter("__c", lambda c: c["pos"] == 0), lambda c: c["n"]).alias("counts"),
+            F.flatten(F.transform("__c", lambda c: c["total"])).alias("sums"),
+            F.transform("__c", lambda c: c["n"]).alias("counts"),
             F.array_sort(F.array_distinct(F.transform("__c", lambda c: c["fold"]))).alias("folds"),
         )
     )
