@@ -4,7 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialweave.functions import parameters, text
-from trialweave.functions.components import DEFERRED_COMPONENTS, default_components
+from trialweave.functions.components import (
+    DEFERRED_COMPONENTS,
+    component_table,
+    default_components,
+    read_components,
+)
 from trialweave.operators import checks, inventory, reconcile, rules
 from trialweave.plans.filters import identity_conflicts, mapped_codes
 
@@ -109,7 +114,7 @@ PROFILE_SCHEMA = "dataset_id string, family string, n_actions int, modalities ar
 
 def verdicts(spark, **changes):
     df = spark.createDataFrame([tuple({**PROFILE, **changes}.values())], PROFILE_SCHEMA)
-    judged = rules.applicability(df, default_components(), DEFERRED_COMPONENTS)
+    judged = rules.applicability(df, component_table(spark, default_components(), DEFERRED_COMPONENTS))
     return {r.component.id: r.verdict for r in judged.collect()}
 
 
@@ -122,6 +127,24 @@ def test_applicability(spark):
     assert verdicts(spark, eog_channel_count=3)["artifact_eog_regression"] == "applicable"
 
 
+def test_a_registry_of_any_size_is_a_table(spark, tmp_path):
+    import json
+
+    entries = default_components() + [
+        {"id": f"extra-{k}", "category": "models", "requirements": {"min_trials": k} if k % 2 else {}, "cost": k}
+        for k in range(3000)
+    ]
+    path = tmp_path / "registry.json"
+    path.write_text(json.dumps({"version": 1, "components": entries}))
+    read = read_components(spark, str(path), DEFERRED_COMPONENTS)
+    made = component_table(spark, entries, DEFERRED_COMPONENTS)
+    assert sorted(map(str, read.collect())) == sorted(map(str, made.collect()))
+    df = spark.createDataFrame([tuple({**PROFILE, "trials": 1500}.values())], PROFILE_SCHEMA)
+    judged = {r.component.id: r.verdict for r in rules.applicability(df, read).collect()}
+    assert len(judged) == len(entries)
+    assert sum(judged[f"extra-{k}"] == "excluded" for k in range(3000)) == sum(k > 1500 for k in range(1, 3000, 2))
+
+
 def test_bound_parameters(spark):
     row = spark.range(1).select(
         parameters.legal_resample_rates(F.lit(512.0)).alias("r"), parameters.legal_windows(F.lit(0.0), F.lit(4.0)).alias("w")

@@ -32,6 +32,21 @@ def test_against_numpy(spark, accuracy):
             assert got[k][name] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12), (k, name)
 
 
+@pytest.mark.parametrize("most", [1, 40])
+def test_narrowed_brackets_against_numpy(spark, most, monkeypatch):
+    """Groups far larger than what a task may rank: brackets are cut down first."""
+    monkeypatch.setattr("trialweave.operators.quantiles.BINS", 8)
+    shaped = shapes() | {"wide": np.random.default_rng(2).lognormal(0, 20, 4000)}
+    df = spark.createDataFrame(
+        [(k, float(v)) for k, values in shaped.items() for v in values], "k string, v double"
+    ).repartition(5)
+    wanted = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q999": 0.999}
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", wanted, 20, most_inside=most).collect()}
+    for k, values in shaped.items():
+        for name, p in wanted.items():
+            assert got[k][name] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12), (k, name)
+
+
 def test_robust_z(spark):
     values = np.random.default_rng(1).normal(size=501)
     df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 2.0)] * 5, "k string, v double")

@@ -1,13 +1,11 @@
-"""Component registry rows and the rules about them.
-
-A registry is a small configuration file, so it lives in the plan as literals; the
-profiles it is matched with are the table that grows.
-"""
+"""Component registry rows and the rules about them."""
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed values: (id, category, requirements) of the default registry.
 EEG = {"modalities_any": ["EEG"]}
@@ -65,16 +63,43 @@ REQUIRED_KEYS = (
     "requirements",
     "parameters",
 )
-MAX_REGISTRY_ENTRIES = 2000
+#: Columns of a registry as a table.
+FLAGS = ("binary_classes", "multiple_sessions", "requires_montage", "requires_eog", "requires_resting_state")
+TABLE = (
+    "id string, category string, modalities_any array<string>, paradigms array<string>, "
+    "min_channels int, min_trials int, " + ", ".join(f"{f} boolean" for f in FLAGS) + ", deferred boolean"
+)
 
 
 def default_components() -> list[dict]:
     return [{"id": i, "category": c, "requirements": dict(r)} for i, c, r in DEFAULT_COMPONENTS]
 
 
-def load_components(path: str) -> list[dict]:
-    """Components of a registry file; its size is bounded because it enters the plan."""
-    entries = json.loads(Path(path).read_text(encoding="utf-8"))["components"]
-    if len(entries) > MAX_REGISTRY_ENTRIES:
-        raise ValueError(f"registry has {len(entries)} entries, more than {MAX_REGISTRY_ENTRIES}")
-    return entries
+def component_table(spark: SparkSession, entries: Sequence[dict], deferred: Sequence[str] = ()) -> DataFrame:
+    """Registry entries of a program as a table."""
+    rows = []
+    for entry in entries:
+        req = entry.get("requirements") or {}
+        rows.append((
+            entry["id"], entry["category"], req.get("modalities_any", []), req.get("paradigms", []),
+            int(req.get("min_channels", 0)), int(req.get("min_trials", 0)),
+            *[bool(req.get(f, False)) for f in FLAGS], entry["id"] in deferred,
+        ))
+    return spark.createDataFrame(rows, TABLE)
+
+
+def read_components(spark: SparkSession, path: str, deferred: Sequence[str] = ()) -> DataFrame:
+    """A registry file of any size as a table; missing requirements bind nothing."""
+    req = (
+        "struct<modalities_any: array<string>, paradigms: array<string>, min_channels: int, "
+        "min_trials: int, " + ", ".join(f"{f}: boolean" for f in FLAGS) + ">"
+    )
+    schema = f"components array<struct<id: string, category: string, requirements: {req}>>"
+    found = spark.read.schema(schema).option("multiLine", True).json(path)
+    c = found.select(F.inline("components"))
+    none = F.array().cast("array<string>")
+    texts = [F.coalesce(f"requirements.{t}", none).alias(t) for t in ("modalities_any", "paradigms")]
+    numbers = [F.coalesce(f"requirements.{n}", F.lit(0)).alias(n) for n in ("min_channels", "min_trials")]
+    flags = [F.coalesce(f"requirements.{f}", F.lit(False)).alias(f) for f in FLAGS]
+    late = F.col("id").isin(*deferred) if deferred else F.lit(False)
+    return c.select("id", "category", *texts, *numbers, *flags, late.alias("deferred"))

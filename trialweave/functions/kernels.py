@@ -155,7 +155,8 @@ def covariance_batch(samples: pd.Series, channels: pd.Series, sfreq: pd.Series,
     """Per trial and band: flat channel covariance of the filtered, centred signal.
 
     Every later number of the decoding jobs (variances, spatial filters, projected
-    variances) follows from these few values, so raw samples cross to Python once.
+    variances) follows from these few values, so raw samples cross to Python once.  A band
+    without edges (None, None) is the unfiltered signal.
     """
     out: list = [None] * len(samples)
     for (size, width, rate), at in _blocks(samples.map(len), channels, sfreq):
@@ -166,10 +167,13 @@ def covariance_batch(samples: pd.Series, channels: pd.Series, sfreq: pd.Series,
         cube = np.where(good[:, None, None], cube, 0.0)
         per_band = []
         for low, high in bands:
-            if not filterable(n, rate, low, high):
+            if low is None:
+                f = cube
+            elif filterable(n, rate, low, high):
+                f = zero_phase(cube, rate, low, high)
+            else:
                 per_band.append(None)
                 continue
-            f = zero_phase(cube, rate, low, high)
             f = f - f.mean(axis=2, keepdims=True)
             per_band.append((f @ f.transpose(0, 2, 1)).reshape(len(at), c * c))
         for j, i in enumerate(at):
@@ -232,11 +236,11 @@ def projected_shares_batch(cov: pd.Series, filters: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def discriminant(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrinkage: float):
-    """Linear scores on raw features from training moments of two classes.
+def class_statistics(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrinkage: float):
+    """Scaling, class means, shrunk pooled covariance and priors from training moments.
 
-    ``counts`` (2), ``sums`` (2 x F), ``squares`` (2 x F x F).  Standardisation by the
-    training mean and deviation is folded into the weights.
+    ``counts`` (2), ``sums`` (2 x F), ``squares`` (2 x F x F); means and covariance are of
+    features standardised by the training mean and deviation.
     """
     n = counts.sum()
     center = sums.sum(axis=0) / n
@@ -248,17 +252,33 @@ def discriminant(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, shri
     cov = within_sq.sum(axis=0) / np.outer(scale, scale) / max(1, n - 2)
     size = len(center)
     cov = (1 - shrinkage) * cov + shrinkage * np.eye(size) * np.trace(cov) / size
+    return center, scale, means, cov, counts / n
+
+
+def discriminant(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrinkage: float):
+    """Linear scores on raw features from training moments of two classes; the
+    standardisation is folded into the weights."""
+    center, scale, means, cov, priors = class_statistics(counts, sums, squares, shrinkage)
     precision = np.linalg.pinv(cov, hermitian=True)
     toward = means @ precision
-    priors = np.log(np.maximum(counts / n, FLOOR))
     weights = toward / scale
-    bias = priors - 0.5 * (toward * means).sum(axis=1) - weights @ center
+    bias = np.log(np.maximum(priors, FLOOR)) - 0.5 * (toward * means).sum(axis=1) - weights @ center
     return center, scale, means, precision, weights, bias
 
 
 def discriminant_batch(sums: pd.Series, counts: pd.Series, holdout: bool, shrinkage: pd.Series) -> pd.Series:
     """Models per fold from per-fold moment sums (1, features, products) of two classes."""
     names = ("center", "scale", "means", "precision", "weights", "bias")
+    return _per_fold(sums, counts, holdout, shrinkage, names, discriminant)
+
+
+def statistics_batch(sums: pd.Series, counts: pd.Series, holdout: bool, shrinkage: pd.Series) -> pd.Series:
+    """What the models of :func:`discriminant_batch` are made from, per fold."""
+    names = ("center", "scale", "means", "covariance", "priors")
+    return _per_fold(sums, counts, holdout, shrinkage, names, class_statistics)
+
+
+def _per_fold(sums, counts, holdout, shrinkage, names, fit) -> pd.Series:
     out = []
     for flat, n, ridge in zip(sums, counts, shrinkage, strict=True):
         folds = len(n) // 2
@@ -269,7 +289,7 @@ def discriminant_batch(sums: pd.Series, counts: pd.Series, holdout: bool, shrink
         models = []
         for fold in range(folds):
             m = total[:, fold]
-            fit = discriminant(m[:, 0], m[:, 1 : f + 1], m[:, f + 1 :].reshape(2, f, f), float(ridge))
-            models.append({name: np.ravel(value).tolist() for name, value in zip(names, fit, strict=True)})
+            done = fit(m[:, 0], m[:, 1 : f + 1], m[:, f + 1 :].reshape(2, f, f), float(ridge))
+            models.append({name: np.ravel(value).tolist() for name, value in zip(names, done, strict=True)})
         out.append(models)
     return pd.Series(out)

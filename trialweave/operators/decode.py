@@ -179,7 +179,7 @@ def trial_summaries(trials: DataFrame, bands: Sequence[tuple[float, float]]) ->
     ``covs`` is null where samples are not finite; a band the signal cannot carry is
     null inside it.  Map-only: raw samples are never shuffled.
     """
-    wanted = sorted(set(bands))
+    wanted = sorted(set(bands), key=lambda b: (b[0] is not None, b))
 
     @F.pandas_udf("array<array<double>>")
     def run(samples: pd.Series, channels: pd.Series, sfreq: pd.Series) -> pd.Series:
@@ -193,6 +193,16 @@ def trial_summaries(trials: DataFrame, bands: Sequence[tuple[float, float]]) ->
     )
 
 
+#: The band of the unfiltered signal.
+UNFILTERED = (None, None)
+
+
+def covariance_rows(trials: DataFrame, band: tuple = UNFILTERED) -> DataFrame:
+    """One row per trial with the channel covariance of one band, by default of the raw
+    signal; trials without a finite one are left out."""
+    return band_rows(trial_summaries(trials, [band])).drop("band")
+
+
 def summarise(trials: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:
     """Trial summaries written to the shared folder: the one pass over raw samples."""
     return materialise(trial_summaries(trials, _bands(candidates)), "trial-summaries")
@@ -281,6 +291,23 @@ def normalised_covariance(cov: Column, channels: Column) -> Column:
     return F.transform(cov, lambda x: x / F.greatest(trace, F.lit(TRACE_FLOOR)))
 
 
+def mean_covariances(covs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, mean_covariance): mean of the trials' covariances over their traces, flat."""
+    normal = covs.withColumn("__cov", normalised_covariance(F.col("cov"), F.col("channels")))
+    return array_sums(normal, keys, "__cov").select(
+        *keys, F.transform("total", lambda x: x / F.col("n")).alias("mean_covariance")
+    )
+
+
+def log_shares(cov: Column, channels: Column) -> Column:
+    """Log of each channel's share of the variance."""
+    own = F.transform(
+        F.sequence(F.lit(0), channels - 1), lambda i: F.get(cov, i * (channels + 1))
+    )
+    whole = F.aggregate(own, F.lit(0.0), lambda s, v: s + v)
+    return F.transform(own, lambda v: F.log(v / whole + FLOOR))
+
+
 def log_variances(cov: Column, channels: Column, width: Column) -> Column:
     return F.transform(
         F.sequence(F.lit(0), channels - 1),
@@ -367,6 +394,40 @@ def fit_classifier(moments: DataFrame, keys: Sequence[str], holdout: bool) -> Da
     return fitted.select(*keys, F.get("folds", F.col("at")).alias("fold"), "m.*")
 
 
+STATISTICS_TYPE = (
+    "array<struct<center:array<double>,scale:array<double>,means:array<double>,"
+    "covariance:array<double>,priors:array<double>>>"
+)
+
+
+def classifier_statistics(moments: DataFrame, keys: Sequence[str], holdout: bool) -> DataFrame:
+    """Scaling, standardised class means, shrunk covariance and priors per row and fold:
+    what :func:`fit_classifier` makes its models from, by the same kernel."""
+
+    @F.pandas_udf(STATISTICS_TYPE)
+    def run(sums: pd.Series, counts: pd.Series, shrinkage: pd.Series) -> pd.Series:
+        return kernels.statistics_batch(sums, counts, holdout, shrinkage)
+
+    found = moments.select(
+        *keys,
+        "folds",
+        F.posexplode(run(F.col("sums"), F.col("counts"), F.col("shrinkage"))).alias("at", "s"),
+    )
+    return found.select(*keys, F.get("folds", F.col("at")).alias("fold"), "s.*")
+
+
+def standardised_features(features: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``z``: held-out features scaled by the mean and deviation of the other folds."""
+    moments = class_moments(features, keys).withColumn("shrinkage", F.lit(0.0))
+    scales = classifier_statistics(moments, keys, holdout=True).select(*keys, "fold", "center", "scale")
+    centred = F.zip_with("x", "center", lambda a, b: a - b)
+    return (
+        features.join(scales, [*keys, "fold"])
+        .withColumn("z", F.zip_with(centred, "scale", lambda a, b: a / b))
+        .drop("center", "scale")
+    )
+
+
 def discriminant_scores(x: Column, weights: Column, bias: Column) -> tuple[Column, Column]:
     """Linear score of each of the two classes, in the JVM."""
     size = F.size(x)

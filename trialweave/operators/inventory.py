@@ -158,6 +158,10 @@ def array_checks(epochs: DataFrame, run: Sequence[str], channel: str, samples: s
     )
 
 
+#: Cells of a hole that unfold from one row.
+HOLE_BLOCK = 10_000
+
+
 def grid_gaps(observed: DataFrame, unit: str, cell: str, slice_by: Column) -> DataFrame:
     """(unit, cell) pairs of the full grid nobody observed, without building the grid.
 
@@ -182,13 +186,17 @@ def grid_gaps(observed: DataFrame, unit: str, cell: str, slice_by: Column) -> Da
         )
     )
     upto = F.coalesce("__next", last + 1)
-    behind = F.when(F.col("__at") + 1 < upto, F.sequence(F.col("__at") + 1, upto - 1))
+    behind = F.when(F.col("__at") + 1 < upto, F.struct((F.col("__at") + 1).alias("lo"), (upto - 1).alias("hi")))
     ahead = F.when(
-        F.col("__prev").isNull() & (F.col("__at") > 1), F.sequence(F.lit(1).cast("long"), F.col("__at") - 1)
-    )
-    none = F.array().cast("array<bigint>")
-    holes = placed.select(
-        unit, F.explode(F.concat(F.coalesce(ahead, none), F.coalesce(behind, none))).alias("__at")
+        F.col("__prev").isNull() & (F.col("__at") > 1),
+        F.struct(F.lit(1).cast("long").alias("lo"), (F.col("__at") - 1).alias("hi")),
+    )
+    gaps = placed.select(unit, F.inline(F.array_compact(F.array(ahead, behind))))
+    # A long hole unfolds block by block, so no row holds an array of all its cells.
+    block = F.lit(HOLE_BLOCK).cast("long")
+    blocks = gaps.select(unit, "hi", F.explode(F.sequence("lo", "hi", block)).alias("lo"))
+    holes = blocks.select(
+        unit, F.explode(F.sequence("lo", F.least("hi", F.col("lo") + block - 1))).alias("__at")
     )
     return holes.join(cells, "__at").select(unit, cell)
 

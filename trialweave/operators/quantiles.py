@@ -5,7 +5,9 @@ aggregation buffer.  Here a mergeable sketch of fixed size first brackets every
 quantile between two values.  A second pass counts: values outside all brackets only
 add to a counter, values inside keep themselves with their count, and both combine
 map-side.  What reaches one task per group is the content of the brackets, a fixed
-small share of the group, and the wanted ranks are read off exactly.
+small share of the group, and the wanted ranks are read off exactly.  Where that share of
+the largest group could be too much, brackets are narrowed first: each pass counts the
+values of a bracket in bins and keeps the bins that hold the wanted ranks.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ ACCURACY = 10_000
 SLACK = 4
 # Groups up to this many times the accuracy are ranked whole.
 KEEP_ALL = 8
+# Values of one bracket that one task may rank, and the bins of a narrowing pass.
+MOST_INSIDE, BINS = 1 << 20, 4096
 
 
 def exact_quantiles(
@@ -31,11 +35,14 @@ def exact_quantiles(
     value: str,
     probabilities: dict[str, float],
     accuracy: int = ACCURACY,
+    most_inside: int = MOST_INSIDE,
 ) -> DataFrame:
     """One row per key with one column per named probability.
 
     Null and NaN values are left out, as nan-aware medians do.  Keys without any
-    value give no row.  The input is evaluated twice; write an expensive one down first.
+    value give no row.  The input is evaluated twice, and once more per narrowing pass;
+    write an expensive one down first.  No task ranks more than ``most_inside`` distinct
+    values of a bracket, or the values of a group of up to 8 times the accuracy.
     """
     keys = list(keys)
     wanted = sorted(probabilities.items(), key=lambda item: item[1])
@@ -66,6 +73,11 @@ def exact_quantiles(
             for i, (_, p) in enumerate(wanted)
         ],
     )
+    # What the sketch promises about a bracket, in values per value of the group.
+    brackets = materialise(brackets, "brackets")
+    largest = brackets.where(~small).agg(F.max("__n")).first()[0] or 0
+    if largest * 2 * (SLACK + 1) / accuracy > most_inside:
+        brackets = _narrowed(data, brackets, keys, [p for _, p in wanted], most_inside)
     span = range(len(wanted))
     inside = reduce(
         lambda a, b: a | b,
@@ -122,6 +134,74 @@ def exact_quantiles(
     return picked.select(*keys, *[out[name] for name in probabilities])
 
 
+def _narrowed(
+    data: DataFrame, brackets: DataFrame, keys: Sequence[str], shares: Sequence[float], most: int
+) -> DataFrame:
+    """Brackets cut down until each holds at most ``most`` values or one value many times.
+
+    A bracket's values are counted in equal bins of its width, with the values below it.
+    The bin of the two ranks that are interpolated gives the new ends, as values really
+    there, so two different ends always part.  Ranks in two bins are the last value of one
+    and the first of the other, and the bracket is settled.
+    """
+    span, before = range(len(shares)), None
+    while True:
+        sides = F.inline(F.array(*[
+            F.struct(F.lit(i).alias("__i"), F.col(f"__lo{i}").alias("__lo"), F.col(f"__hi{i}").alias("__hi"))
+            for i in span
+        ]))
+        v, low, high = F.col("__v"), F.col("__lo"), F.col("__hi")
+        # Halves, so that no difference overflows; -1 is below the bracket.
+        part = (v / 2 - low / 2) / (high / 2 - low / 2)
+        bin_ = (
+            F.when(v < low, -1)
+            .when(high / 2 > low / 2, F.least(F.floor(part * BINS), F.lit(BINS - 1)))
+            .otherwise(0).cast("long")
+        )
+        counted = (
+            data.join(brackets, list(keys)).select(*keys, "__n", "__v", sides)
+            .where(v <= high)
+            .groupBy(*keys, "__n", "__i", bin_.alias("__bin"))
+            .agg(F.count(F.lit(1)).alias("__size"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+        )
+        walk = (
+            Window.partitionBy(*keys, "__i").orderBy("__bin")
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        start = F.coalesce(F.sum("__size").over(walk), F.lit(0))
+        share = F.element_at(F.array(*[F.lit(float(p)) for p in shares]), F.col("__i") + 1)
+        place = share * (F.col("__n") - 1)
+
+        def holds(rank: Column) -> Column:
+            return (
+                (F.col("__bin") >= 0) & (rank >= F.col("__start"))
+                & (rank < F.col("__start") + F.col("__size"))
+            )
+
+        first, last = holds(F.floor(place)), holds(F.ceil(place))
+        ends = (
+            counted.withColumn("__start", start)
+            .groupBy(*keys, "__n", "__i")
+            .agg(
+                F.min(F.when(first & last, F.col("__least")).when(first, F.col("__most"))).alias("__lo"),
+                F.max(F.when(first & last, F.col("__most")).when(last, F.col("__least"))).alias("__hi"),
+                F.sum(F.when(first & last & (F.col("__least") < F.col("__most")), F.col("__size"))).alias("__in"),
+            )
+            .groupBy(*keys, "__n")
+            .agg(
+                *[F.max(F.when(F.col("__i") == i, F.col("__lo"))).alias(f"__lo{i}") for i in span],
+                *[F.max(F.when(F.col("__i") == i, F.col("__hi"))).alias(f"__hi{i}") for i in span],
+                F.max("__in").alias("__in"),
+            )
+        )
+        brackets = materialise(ends, "brackets")
+        inside, now = brackets.agg(F.max("__in"), F.sum("__in")).first()
+        brackets = brackets.drop("__in")
+        if (inside or 0) <= most or now == before:
+            return brackets
+        before = now
+
+
 def few_values_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]
 ) -> DataFrame:

@@ -613,15 +613,25 @@ def unauthorised(requested: DataFrame, roles: DataFrame, role: str, unit: Sequen
 # --- component applicability ----------------------------------------------------
 
 
-def applicability(profiles: DataFrame, components: Sequence[dict], deferred: Sequence[str] = ()) -> DataFrame:
+#: Registry entries that stand together in one row while they are matched.
+REGISTRY_BLOCK = 256
+
+
+def applicability(profiles: DataFrame, components: DataFrame) -> DataFrame:
     """Verdict of every registry component for every profile row.
 
-    The registry is a literal exploded per profile, so there is no join and the work
-    is linear in the profiles.  Needs family, n_actions, modalities, channel_count,
-    trials, sessions_per_subject, montage_verified, placement_scheme,
-    eog_channel_count and rest_present.
+    ``components`` is a registry table of any size (``functions.components``).  Every pair is
+    a row of the result, so the registry is packed into blocks, each profile is sent once
+    per block, and the pairs unfold where they meet; Catalyst broadcasts a small registry.
+    Needs family, n_actions, modalities, channel_count, trials, sessions_per_subject,
+    montage_verified, placement_scheme, eog_channel_count and rest_present.
     """
-    entries = F.array(*[_component_struct(c, c["id"] in deferred) for c in components])
+    count = max(1, -(-components.count() // REGISTRY_BLOCK))
+    place = F.pmod(F.xxhash64("id"), F.lit(count).cast("long"))
+    blocks = components.groupBy(place.alias("__block")).agg(
+        F.collect_list(F.struct(*components.columns)).alias("__entries")
+    )
+    spread = profiles.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
     req = F.col("component")
     montage = F.coalesce(
         F.col("montage_verified"), has_text(F.col("placement_scheme"))
@@ -642,7 +652,8 @@ def applicability(profiles: DataFrame, components: Sequence[dict], deferred: Seq
     )
     excluded = reduce(lambda a, b: a | b, [bad for _, bad in tests])
     return (
-        profiles.withColumn("component", F.explode(entries))
+        spread.join(blocks, "__block")
+        .select(*profiles.columns, F.explode("__entries").alias("component"))
         .withColumn("reasons", reasons)
         .withColumn(
             "verdict",
@@ -651,22 +662,3 @@ def applicability(profiles: DataFrame, components: Sequence[dict], deferred: Seq
             .otherwise("applicable"),
         )
     )
-
-
-def _component_struct(component: dict, deferred: bool) -> Column:
-    req = component.get("requirements") or {}
-
-    def texts(name: str) -> Column:
-        return F.array(*[F.lit(v) for v in req.get(name, [])]).cast("array<string>").alias(name)
-
-    flags = ("binary_classes", "multiple_sessions", "requires_montage", "requires_eog", "requires_resting_state")
-    return F.struct(
-        F.lit(component["id"]).alias("id"),
-        F.lit(component["category"]).alias("category"),
-        texts("modalities_any"),
-        texts("paradigms"),
-        F.lit(int(req.get("min_channels", 0))).alias("min_channels"),
-        F.lit(int(req.get("min_trials", 0))).alias("min_trials"),
-        *[F.lit(bool(req.get(f, False))).alias(f) for f in flags],
-        F.lit(deferred).alias("deferred"),
-    )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.functions import kernels
@@ -230,6 +230,15 @@ def mean_spectrum(densities: DataFrame) -> DataFrame:
     )
 
 
+def adjacent_areas(spectrum: DataFrame) -> DataFrame:
+    """Add ``area``, the trapezoid between each bin and the one before, null for the first.
+
+    A session has as many rows as bins.  Summed over the bins of a band, less the first,
+    they are its power."""
+    before = F.lag("power").over(Window.partitionBy(*SESSION).orderBy("bin"))
+    return spectrum.withColumn("area", (F.col("power") + before) / 2 * F.col("bin_hz"))
+
+
 def spectral_profile(epochs: DataFrame) -> DataFrame:
     """One row per session and band or peak: absolute and relative power, frequency.
 
@@ -395,6 +404,20 @@ def split_half_stability(features: DataFrame, slice_by: Column) -> DataFrame:
     return guarded_correlation(sides, SESSION, "a", "b")
 
 
+def session_pairs(
+    summaries: DataFrame, keys: Sequence[str], session: str, values: Sequence[str]
+) -> DataFrame:
+    """Each pair of a key's sessions once, the lesser first: left_ and right_ of the session
+    and of every value.  A key has a handful of summary rows, one per session."""
+    left = summaries.select(*keys, *[F.col(c).alias(f"left_{n}") for c, n in _sides(session, values)])
+    right = summaries.select(*keys, *[F.col(c).alias(f"right_{n}") for c, n in _sides(session, values)])
+    return left.join(right, list(keys)).where("left_session < right_session")
+
+
+def _sides(session: str, values: Sequence[str]) -> list[tuple[str, str]]:
+    return [(session, "session"), *[(v, v) for v in values]]
+
+
 def session_pair_stability(features: DataFrame) -> DataFrame:
     """Effect correlation and RMS log-power shift for each pair of a subject's sessions.
 
@@ -403,18 +426,9 @@ def session_pair_stability(features: DataFrame) -> DataFrame:
     """
     effects = class_effects(features, SESSION, "channel_idx", "label", "feature")
     levels = features.groupBy(*SESSION, "channel_idx").agg(F.avg("feature").alias("level"))
-    summary = effects.join(levels, [*SESSION, "channel_idx"]).select(
-        *SESSION, "channel_idx", "effect", "level"
-    )
-    left = summary.select(
-        "subject_id", "channel_idx", F.col("session_id").alias("left_session"), F.col("effect").alias("a"), F.col("level").alias("la")
-    )
-    right = summary.select(
-        "subject_id", "channel_idx", F.col("session_id").alias("right_session"), F.col("effect").alias("b"), F.col("level").alias("lb")
-    )
-    pairs = left.join(right, ["subject_id", "channel_idx"]).where("left_session < right_session")
+    summary = effects.join(levels, [*SESSION, "channel_idx"])
+    pairs = session_pairs(summary, ["subject_id", "channel_idx"], "session_id", ["effect", "level"])
     keys = ["subject_id", "left_session", "right_session"]
-    shift = pairs.groupBy(*keys).agg(
-        F.sqrt(F.avg((F.col("la") - F.col("lb")) * (F.col("la") - F.col("lb")))).alias("rms_shift")
-    )
-    return guarded_correlation(pairs, keys, "a", "b").join(shift, keys)
+    gap = F.col("left_level") - F.col("right_level")
+    shift = pairs.groupBy(*keys).agg(F.sqrt(F.avg(gap * gap)).alias("rms_shift"))
+    return guarded_correlation(pairs, keys, "left_effect", "right_effect").join(shift, keys)

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.functions import parameters
-from trialweave.functions.components import DEFAULT_COMPONENTS, DEFERRED_COMPONENTS, default_components
-from trialweave.operators import evidence, inventory, reconcile, rules
+from trialweave.functions.components import (
+    DEFAULT_COMPONENTS,
+    DEFERRED_COMPONENTS,
+    component_table,
+    default_components,
+)
+from trialweave.operators import evidence, inventory, reconcile, rules, signal
 from trialweave.operators.ordered import block_slice, ordered_position
 from trialweave.plans.filters import MARKED_SQL, ROLE_SQL, marked_papers, papers, user_roles
 from trialweave.plans.registry import query, table
@@ -229,12 +234,9 @@ def jn9_session_pairs(spark, sf):
         .groupBy(F.col("o_custkey").alias("subject"), F.year("o_orderdate").alias("y"))
         .agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
     )
-    left = sessions.select("subject", F.col("y").alias("left_session"), F.col("cents").alias("a"))
-    right = sessions.select("subject", F.col("y").alias("right_session"), F.col("cents").alias("b"))
-    return (
-        left.join(right, "subject")
-        .where("left_session < right_session")
-        .select("subject", "left_session", "right_session", F.abs(F.col("a") - F.col("b")).alias("shift"))
+    return signal.session_pairs(sessions, ["subject"], "y", ["cents"]).select(
+        "subject", "left_session", "right_session",
+        F.abs(F.col("left_cents") - F.col("right_cents")).alias("shift"),
     )
 
 
@@ -293,12 +295,16 @@ APPLICABLE_SQL = f"""
 """
 
 
+def registry(spark):
+    return component_table(spark, default_components(), DEFERRED_COMPONENTS)
+
+
 @query(
     "pf12_requirement_failures",
     f"{APPLICABLE_SQL} SELECT dataset_id, id AS component_id, unnest(reasons) AS reason FROM x",
 )
 def pf12_requirement_failures(spark, sf):
-    judged = rules.applicability(component_profiles(spark, sf), default_components(), DEFERRED_COMPONENTS)
+    judged = rules.applicability(component_profiles(spark, sf), registry(spark))
     return judged.select("dataset_id", F.col("component.id").alias("component_id"), F.explode("reasons").alias("reason"))
 
 
@@ -307,7 +313,7 @@ def pf12_requirement_failures(spark, sf):
     f"{APPLICABLE_SQL} SELECT dataset_id, id AS component_id, category, CASE WHEN len(reasons) > 0 THEN 'excluded' WHEN deferred THEN 'deferred' ELSE 'applicable' END AS verdict FROM x",
 )
 def jn10_applicability(spark, sf):
-    judged = rules.applicability(component_profiles(spark, sf), default_components(), DEFERRED_COMPONENTS)
+    judged = rules.applicability(component_profiles(spark, sf), registry(spark))
     return judged.select(
         "dataset_id", F.col("component.id").alias("component_id"), F.col("component.category").alias("category"), "verdict"
     )

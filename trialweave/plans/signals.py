@@ -216,12 +216,10 @@ def ag15_band_power(spark, sf):
 def wn10_adjacent_bins(spark, sf):
     """Trapezoid between neighbouring bins of the mean spectrum; a session has as many
     rows as bins."""
-    from pyspark.sql import Window
-
     spectrum = signal.mean_spectrum(signal.power_density(epochs(spark, sf)))
-    before = F.lag("power").over(Window.partitionBy("session_id").orderBy("bin"))
-    area = (F.col("power") + before) / 2 * F.col("bin_hz")
-    return spectrum.select("session_id", "bin", F.round(area, 11).alias("area"))
+    return signal.adjacent_areas(spectrum).select(
+        "session_id", "bin", F.round("area", 11).alias("area")
+    )
 
 
 @query(
