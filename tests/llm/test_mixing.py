@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from trialweave.llm import mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,3 +73,12 @@ def test_empty_table_and_no_words(make_documents, spark):
     assert mixing.mix(make_documents([])).count() == 0
     rows = mixing.mix(make_documents([(1, None, "en", None), (2, "", "en", "s")])).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in rows] == [(0, 0.0, 0)] * 2
+
+
+def test_helper_columns_of_the_caller_stay(make_documents, odd_rows):
+    documents = make_documents(odd_rows).withColumns(
+        {c: F.lit(c) for c in ("_id", "_copies", "_copy")}
+    )
+    got = mixing.mixed_documents(documents, weights=(5, 2, 1), budget=1.5, most=2)
+    assert got.columns == documents.columns and got.count() > 40
+    assert {(r["_id"], r["_copies"], r["_copy"]) for r in got.collect()} == {("_id", "_copies", "_copy")}

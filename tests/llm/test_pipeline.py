@@ -4,6 +4,12 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from tests.llm.conftest import prose
+from tests.llm.test_decontaminate import plain as plain_contaminations
+from tests.llm.test_mixing import WORD, expected_targets
+from tests.llm.test_shards import tree_by_hand
+from tests.llm.test_simhash import plain_shingles, plain_similarity
+from trialweave.llm import quality
 from trialweave.session import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +41,58 @@ def test_clashing_columns_and_nulls(spark, make_documents, odd_rows):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() > 0
         assert stage(spark, make_documents([]), SF).count() == 0
+
+
+def test_run_like_plain_python(spark, tmp_path, make_documents):
+    """Every stage by brute force: all pairs, all windows, all copies, sorted nodes."""
+    rows = [(k, prose(f"p{k}", 60 + k % 40), "en" if k % 3 else "de", f"s{k % 4}") for k in range(90)]
+    items = [(k, prose(f"item{k}", 20)) for k in range(6)]
+    for k in range(12):  # near copies of the first ones, and what is too far to be one
+        words = rows[k][1].split()
+        for j in range(1 + k % 5):
+            words[9 * j + 3] = f"edit{j}"
+        rows.append((200 + k, " ".join(words), "en", "s1"))
+    rows += [(300 + k, prose(f"c{k}", 40) + " " + body + " " + prose(f"d{k}", 30), "de", "s2") for k, body in items]
+    rows += [(400 + k, " ".join(w + "$$$" for w in prose(f"j{k}", 50).split()), "en", "s3") for k in range(40)]
+    labels = [(r[0], int(r[0] < 400), 0) for r in rows]
+    make_documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    documents = make_documents(rows)
+    ranking = quality.train(documents, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    held = [r for r in rows if ranking.scores(quality.text_features(r[1])[None])[0] >= 0.5]
+    assert all(r[0] < 400 for r in held) and len(held) > 100
+    shingles = {r[0]: plain_shingles(r[1]) for r in held}
+    root = {i: i for i in shingles}
+    for a in sorted(shingles):
+        for b in sorted(shingles):
+            if a < b and plain_similarity(shingles[a], shingles[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    held = [r for r in held if root[r[0]] == r[0]]
+    assert any(r[0] < 300 and r[0] >= 200 for r in held) and len(held) < len(shingles)
+    bad = {doc for doc, _ in plain_contaminations(held, items)}
+    assert {300 + k for k in range(6)} <= bad
+    held = [r for r in held if r[0] not in bad]
+    counts = Counter(r["doc_id"] for r in got)
+    assert set(counts) <= {r[0] for r in held} and max(counts.values()) <= 2
+    sizes, taken = Counter(), Counter()
+    for doc, text, _, source in held:
+        sizes[source] += len(WORD.findall(text))
+        taken[source] += len(WORD.findall(text)) * counts[doc]
+    for source, target in expected_targets(sizes).items():
+        assert abs(taken[source] - target) <= 200
+    mixed = [r for r in held for _ in range(counts[r[0]])]
+    want = tree_by_hand(spark, mixed, ("lang", "source", "n_chars"), 40)
+    slots = Counter()
+    sums, wanted = Counter(), Counter()
+    for r in got:
+        slots[r["shard"], r["slot"]] += 1
+        sums[r["shard"]] += r["size"]
+    for r, s in zip(mixed, want, strict=True):
+        wanted[s] += len(r[1].encode()) + 16
+    assert max(slots.values()) == 1 and set(sums) <= set(range(40))
+    # Cuts may differ from the sorted ones by the stated tolerance, a thousandth of a shard.
+    assert sum(abs(sums[s] - wanted[s]) for s in range(40)) <= 0.05 * sum(wanted.values())

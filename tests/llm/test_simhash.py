@@ -5,6 +5,8 @@ from collections import Counter
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 from tests.llm.conftest import prose
 from trialweave.llm import simhash
 
@@ -188,3 +190,10 @@ def test_first_words_reject_no_pair_at_the_limit(spark):
     radius, first = usual["radius"].default, usual["first_radius"].default
     got = simhash.near_links(prints, radius, 16, 4, ball=1, first_radius=first).collect()
     assert {(r["a"], r["b"]) for r in got} == {(2 * k, 2 * k + 1) for k in range(60)}
+
+
+def test_helper_columns_of_the_caller_stay(make_documents, odd_rows):
+    documents = make_documents(odd_rows).withColumn("_key", F.lit("mine")).withColumn("_KEY_", F.lit("too"))
+    got = simhash.one_of_each(documents)
+    assert got.columns == documents.columns
+    assert {(r["_key"], r["_KEY_"]) for r in got.collect()} == {("mine", "too")}

@@ -42,6 +42,21 @@ def test_judged_like_plain_rules(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == plain(r["url"]), r["url"]
 
 
+def test_more_rules_than_one_filter_holds(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MOST_WORDS", 8)
+    rules = [urls.Rule("block" if k % 3 else "allow", f"h{k}.net", "/") for k in range(300)]
+    assert urls.cascade_parts(100, 0) > 1 and urls.cascade_parts(1, 10**6) > 1
+    rows = [(k, f"http://a.h{k}.net/x", "mine", "too") for k in range(600)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, _keys string, _best string")
+    got = urls.judge_urls(pages, rules, default="open").collect()
+    for r in got:
+        k = r["page_id"]
+        want = ("block" if k % 3 else "allow") if k < 300 else "open"
+        assert (r["verdict"], r["rule"]) == (want, f"h{k}.net/" if k < 300 else None)
+        assert (r["_keys"], r["_best"]) == ("mine", "too")
+    assert len(got) == 600
+
+
 def test_empty_table_and_no_rules(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string")
     assert urls.judge_urls(pages, RULES).count() == 0

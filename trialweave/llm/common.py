@@ -16,6 +16,14 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the caller's table does not use."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hash_cell(cells: int, *columns: Column | str) -> Column:
     """A cell from 0 to ``cells`` - 1, drawn by hash."""
     return F.pmod(F.xxhash64(*columns), F.lit(cells))

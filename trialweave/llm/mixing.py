@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.llm.common import count_words, running_total
+from trialweave.llm.common import count_words, free_name, running_total
 from trialweave.session import materialise
 
 #: Blocks of the shuffled order of a source, and slots of one unit of virtual time.
@@ -168,15 +168,14 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
 
     doc_id must identify a document; rows that repeat an id share its count.
     """
+    own, copies, copy = (free_name(documents, n) for n in ("_id", "_copies", "_copy"))
     taken = (
         mix(documents.select("doc_id", "source", "text"), **options)
         .filter("taken > 0")
-        .groupBy("doc_id")
-        .agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+        .groupBy(F.col("doc_id").alias(own))
+        .agg(F.max(F.col("taken") / F.col("size")).cast("int").alias(copies))
     )
-    held = documents.join(
-        taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))
+    held = documents.join(taken, F.col("doc_id").eqNullSafe(F.col(own)))
+    return held.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(
+        *documents.columns
     )
-    return held.withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    ).select(*documents.columns)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm.common import join_frequent
+from trialweave.llm.common import free_name, join_frequent
 from trialweave.session import materialise
 
 #: Rows of an index bucket above which it is compared in blocks instead of joined.
@@ -523,7 +523,8 @@ def one_of_each(
     Null and empty texts are copies of each other.  An empty table gives no rows.
     """
     names = [f"w{k}" for k in range(words)]
-    known = documents.filter("doc_id is not null").withColumn("_key", F.xxhash64("text"))
+    whole = documents.filter("doc_id is not null")
+    known = whole.select("doc_id", F.xxhash64("text").alias("_key"), "text")
     held = materialise(_text_nodes(known, shingle, seed, words), "fingerprints")
     # One node per list of shingles; its first document stands for it.
     prints = materialise(
@@ -551,9 +552,11 @@ def one_of_each(
         .agg(F.min("first").alias("first"))
         .select("first.doc_id", "first._key")
     )
+    key = free_name(documents, "_key")
     one = (
-        known.join(stay, ["doc_id", "_key"], "left_semi")
-        .dropDuplicates(["doc_id", "_key"])
+        whole.withColumn(key, F.xxhash64("text"))
+        .join(stay.withColumnRenamed("_key", key), ["doc_id", key], "left_semi")
+        .dropDuplicates(["doc_id", key])
         .select(*documents.columns)
     )
     return one.unionByName(documents.filter("doc_id is null"))

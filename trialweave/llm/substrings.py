@@ -17,9 +17,11 @@ from trialweave.session import materialise
 GRAM = 64
 #: Bytes hashed at once.  Positions inside a pack fit the low bits of a key.
 PACK_BITS = 20
-#: Bytes of one suffix array, and contexts of one anchor in one shard.
+#: Bytes of one suffix array, contexts of one anchor in one shard, and strings whose digests
+#: are merged in one task.
 SHARD_BYTES = 1 << 21
 SHARD_CONTEXTS = 500
+MERGE_STRINGS = 1 << 20
 
 
 def _byte_table() -> np.ndarray:
@@ -233,74 +235,106 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-MARKS = "sha string, low bigint, high bigint, digest binary"
+#: Ranges of repeated starts; or, with a bucket, the digests a shard has in that bucket: one
+#: each of repeated strings (owner -1), and those of lone starts with owner and place.
+MARKS = (
+    "sha string, low bigint, high bigint, bucket int, digests binary, owners binary, "
+    "starts binary, shas array<string>"
+)
+MARK_KINDS = (
+    pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(),
+    pa.list_(pa.string()),
+)
+MARK_NAMES = ("sha", "low", "high", "bucket", "digests", "owners", "starts", "shas")
+#: Rows gathered before they are sent on.
+ROWS = 4000
+
+
+def _packed(strings: dict[bytes, tuple[str | None, int]], buckets: int) -> Iterator[tuple]:
+    """Mark rows of the strings of one shard, one per bucket of digests."""
+    parts: dict[int, list] = {}
+    for digest, owner in strings.items():
+        parts.setdefault(int.from_bytes(digest[:4], "big") % buckets, []).append((digest, *owner))
+    for bucket, held in parts.items():
+        names: dict[str, int] = {}
+        owners = [-1 if sha is None else names.setdefault(sha, len(names)) for _, sha, _ in held]
+        yield (
+            None, None, None, bucket, b"".join(d for d, *_ in held),
+            np.array(owners, np.int32).tobytes(),
+            np.array([start for *_, start in held], np.int64).tobytes(), list(names),
+        )
 
 
-def _mark_shards(depth: int):
-    """Marks repeated starts inside each (anchor, part) of sorted context rows."""
+def _mark_shards(depth: int, buckets: int):
+    """Marks repeated starts inside each (anchor, part) of sorted context rows.
+
+    Of a context that comes again only the first is kept: later ones are marked as they
+    come, so a shard holds distinct bytes only, however often they occur.
+    """
 
     def shard(groups: list[tuple[bool, dict]]) -> Iterator[tuple]:
         pool, owners = [], []
-        for split, group in groups:
-            lone = split or len(group) > 1
-            for (body, _), held in group.items():
-                if len(held) > 1:
-                    for sha, low, run in held:
-                        yield sha, low, low + run, None
-                if lone:
-                    owners.append((split, body, held))
-                    pool.append((body, held[0][2]))
+        for at, (split, group) in enumerate(groups):
+            if split or len(group) > 1:
+                for (body, _), (sha, low, run, known) in group.items():
+                    owners.append((at, split, body, sha, low, run, known))
+                    pool.append((body, run))
         if not pool:
             return
-        for (split, body, held), flags in zip(owners, repeated_starts(pool, depth), strict=True):
-            sha, low, run = held[0]
-            if len(held) == 1:
+        strings: dict[bytes, tuple[str | None, int]] = {}
+        for (_, split, body, sha, low, run, known), flags in zip(
+            owners, repeated_starts(pool, depth), strict=True
+        ):
+            if not known:
                 for a, b in _ranges(flags):
-                    yield sha, low + a, low + b, None
+                    yield sha, low + a, low + b, None, None, None, None, None
             if split:
-                # One row per start for the merge with the anchor's other shards.
-                known = len(held) > 1
+                # What the anchor's other shards have to know: each string once.
                 for k in range(run):
-                    lone_start = not known and not flags[k]
                     digest = hashlib.blake2b(body[k : k + depth], digest_size=16).digest()
-                    yield sha, low + k, low + k + (1 if lone_start else 0), digest
+                    lone = not known and not flags[k]
+                    if lone or digest not in strings:
+                        strings[digest] = (sha, low + k) if lone else (None, 0)
+        yield from _packed(strings, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(groups):
-            rows = list(shard(groups))
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(columns[0], pa.string()),
-                        pa.array(columns[1], pa.int64()),
-                        pa.array(columns[2], pa.int64()),
-                        pa.array(columns[3], pa.binary()),
-                    ],
-                    names=["sha", "low", "high", "digest"],
-                )
+        def sent(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), MARK_KINDS, strict=True)],
+                names=list(MARK_NAMES),
+            )
 
         groups: list[tuple[bool, dict]] = []
-        key, size = None, 0
+        key, size, rows = None, 0, []
+        nothing = (None,) * 5
         for batch in batches:
-            rows = batch.to_pydict()
+            columns = batch.to_pydict()
             for anchor, part, split, sha, low, lead, run, body in zip(
-                *(rows[n] for n in CONTEXT), strict=True
+                *(columns[n] for n in CONTEXT), strict=True
             ):
                 if (anchor, part) != key:
                     if size >= SHARD_BYTES:
-                        yield from flush(groups)
+                        rows += shard(groups)
                         groups, size = [], 0
                     key = (anchor, part)
                     groups.append((split, {}))
                 seen = groups[-1][1]
                 held = seen.get((body, lead))
                 if held is None:
-                    seen[(body, lead)] = [(sha, low, run)]
+                    seen[(body, lead)] = (sha, low, run, False)
                     size += len(body)
                 else:
-                    held.append((sha, low, run))
-        yield from flush(groups)
+                    first, at, length, known = held
+                    if not known:
+                        rows.append((first, at, at + length, *nothing))
+                        seen[(body, lead)] = (first, at, length, True)
+                    rows.append((sha, low, low + run, *nothing))
+                if len(rows) >= ROWS:
+                    yield sent(rows)
+                    rows = []
+        rows += shard(groups)
+        if rows:
+            yield sent(rows)
 
     return run
 
@@ -343,7 +377,9 @@ def _contexts(depth: int):
                     parts = -(-held // SHARD_CONTEXTS)
                     low, run = int(lows[i]), int(runs[i])
                     body = data[base + low : base + low + run - 1 + depth].tobytes()
-                    part = int(shas[k][:8], 16) % parts
+                    # By the bytes: equal contexts meet in one shard.
+                    mark = hashlib.blake2b(body, digest_size=8).digest()
+                    part = int.from_bytes(mark, "big") % parts
                     out.append((int(anchors[i]), part, parts > 1, shas[k], low,
                                 int(places[i]) - low, run, body))
                 if len(out) >= 4000:
@@ -365,20 +401,49 @@ def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks lone starts whose digest another shard has, by binary search.
+    """Ranges of lone starts whose string another shard has too, bucket by bucket.
 
-    The partition holds a range of digests, sorted; each digest is looked up in it from
-    both ends.
+    Rows are sorted by bucket.  A bucket's digests are sorted once and each is looked up
+    from both ends; a shard has every string once, so two of a kind are from two shards.
     """
-    held = list(batches)
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    digests = np.array([d.hex() for d in table["digest"].to_pylist()])
-    ordered = np.sort(digests)
-    found = np.searchsorted(ordered, digests, "right") - np.searchsorted(ordered, digests, "left")
-    rows = table.filter(pa.array(found > 1))
-    yield from rows.select(["sha", "low", "high"]).to_batches()
+    def found(held: list[tuple]) -> Iterator[tuple[str, int, int]]:
+        digests = np.concatenate([np.frombuffer(d, "S16") for d, *_ in held])
+        ordered = np.sort(digests)
+        times = np.searchsorted(ordered, digests, "right") - np.searchsorted(ordered, digests, "left")
+        at = 0
+        for d, owners, starts, shas in held:
+            again = times[at : at + len(d) // 16] > 1
+            at += len(d) // 16
+            owner, start = np.frombuffer(owners, np.int32), np.frombuffer(starts, np.int64)
+            again &= owner >= 0
+            order = np.lexsort((start[again], owner[again]))
+            own, low = owner[again][order], start[again][order]
+            first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (low[1:] != low[:-1] + 1)][: len(own)])
+            last = np.r_[first[1:], len(own)] - 1
+            for a, b in zip(first, last, strict=True) if len(own) else ():
+                yield shas[own[a]], int(low[a]), int(low[b]) + 1
+
+    def ranges(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = list(found(held))
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), MARK_KINDS, strict=False)],
+                names=["sha", "low", "high"],
+            )
+
+    bucket, held = None, []
+    for batch in batches:
+        columns = batch.to_pydict()
+        for own, *rest in zip(
+            *(columns[n] for n in ("bucket", "digests", "owners", "starts", "shas")), strict=True
+        ):
+            if own != bucket and held:
+                yield from ranges(held)
+                held = []
+            bucket = own
+            held.append(tuple(rest))
+    if held:
+        yield from ranges(held)
 
 
 def _removal(depth: int):
@@ -436,8 +501,10 @@ def remove_repeats(documents: DataFrame, depth: int = 400, texts: bool = False)
     3. Runs with an anchor found again are sent, with the bytes their windows cover, to the
        shard of the anchor.  A shard sorts its bytes into a suffix array and takes common
        prefixes; every window is the start of exactly one run.
-    4. An anchor with more than ``SHARD_CONTEXTS`` runs is cut over several shards; digests
-       of their windows are merged by binary search in digest ranges.
+    4. An anchor with more than ``SHARD_CONTEXTS`` runs is cut over several shards by the
+       bytes of the runs, so equal runs meet.  What the shards do not know of each other is
+       merged by binary search over digests: each shard sends every string once, packed by
+       buckets of digests of bounded size, and ranges of starts come back.
     """
     if depth < 2 * GRAM:
         raise ValueError(f"depth must be at least {2 * GRAM}")
@@ -490,20 +557,24 @@ def remove_repeats(documents: DataFrame, depth: int = 400, texts: bool = False)
         "chosen",
     )
     contexts = chosen.mapInArrow(_contexts(depth), CONTEXT_TYPE)
+    # A run has fewer windows than ``depth``: so many strings may have to be merged.
+    spread = again.filter(F.col("held") > SHARD_CONTEXTS).agg(F.sum("held")).first()[0] or 0
+    buckets = max(1, -(-spread * depth // MERGE_STRINGS))
     marked = materialise(
         contexts.repartition("anchor", "part")
         .sortWithinPartitions("anchor", "part")
-        .mapInArrow(_mark_shards(depth), MARKS),
+        .mapInArrow(_mark_shards(depth, buckets), MARKS),
         "marks",
     )
     merged = (
-        marked.filter("digest is not null")
-        .repartitionByRange("digest")
+        marked.filter("bucket is not null")
+        .select("bucket", "digests", "owners", "starts", "shas")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
         .mapInArrow(_merge_shards, "sha string, low bigint, high bigint")
-        .filter("high > low")
     )
     marks = (
-        marked.filter("digest is null")
+        marked.filter("bucket is null")
         .select("sha", "low", "high")
         .unionByName(merged)
         .groupBy("sha")

@@ -9,11 +9,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.llm.common import free_name
 from trialweave.session import materialise
 
-#: Largest filter a plan carries (words of 63 bits); beyond it the rules must be split.
+#: Largest filter a plan carries (words of 63 bits); beyond it keys are parted by hash.
 MOST_WORDS = 1 << 17
 PER_WORD = 63
+#: Bits per key of the first filter and of the later ones.
+FIRST_BITS, NEXT_BITS = 12.0, 2.0
 
 
 @dataclass(frozen=True)
@@ -75,7 +78,7 @@ def _all(tests) -> Column:
 
 
 def build_cascade(
-    listed: DataFrame, universe: DataFrame, first_bits: float = 12.0, next_bits: float = 2.0
+    listed: DataFrame, universe: DataFrame, first_bits: float = FIRST_BITS, next_bits: float = NEXT_BITS
 ) -> list[Level]:
     """Filters that together decide exactly which keys of the universe are listed.
 
@@ -109,6 +112,43 @@ def in_cascade(key: Column, levels: Sequence[Level]) -> Column:
     return out
 
 
+def cascade_parts(listed: int, universe: int) -> int:
+    """Into how many parts keys are dealt so that no filter outgrows ``MOST_WORDS``.
+
+    The first filter holds the listed keys, the second those of the universe that pass it by
+    chance; twice their expected number is allowed for, and four deviations of a part's size.
+    """
+    by_chance = 2 * universe * 0.6185**FIRST_BITS
+
+    def parts(keys: float, bits: float) -> int:
+        most = MOST_WORDS * PER_WORD / bits - 1
+        return math.ceil(keys / (math.sqrt(4 + most) - 2) ** 2)
+
+    return max(1, parts(listed, FIRST_BITS), parts(by_chance, NEXT_BITS))
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts))
+
+
+def build_cascades(listed: DataFrame, universe: DataFrame, parts: int) -> list[list[Level]]:
+    """A cascade per part of the keys, for lists and universes of any size."""
+    if parts == 1:
+        return [build_cascade(listed, universe)]
+    mine = [part_of(F.col("key"), parts) == k for k in range(parts)]
+    return [build_cascade(listed.filter(m), universe.filter(m)) for m in mine]
+
+
+def in_cascades(key: Column, cascades: Sequence[Sequence[Level]]) -> Column:
+    """Exact membership of a universe key, by the cascade of its part."""
+    if len(cascades) == 1:
+        return in_cascade(key, cascades[0])
+    part, out = part_of(key, len(cascades)), F.lit(False)
+    for k, levels in enumerate(cascades):
+        out = F.when(part == k, in_cascade(key, levels)).otherwise(out)
+    return out
+
+
 @dataclass(frozen=True)
 class Rule:
     """A host with all its subdomains and the start of a path."""
@@ -133,10 +173,10 @@ def parse_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, upper, lower), path
 
 
-def _marks(keys: Column, levels: Sequence[Level], verdict: str) -> Column:
+def _marks(keys: Column, cascades: Sequence[Sequence[Level]], verdict: str) -> Column:
     """The listed keys among a url's keys, longest last in order of their structs."""
     return F.transform(
-        F.filter(keys, lambda k: in_cascade(k, levels)),
+        F.filter(keys, lambda k: in_cascades(k, cascades)),
         lambda k: F.struct(
             F.length(k).alias("size"), k.alias("rule"), F.lit(verdict).alias("verdict")
         ),
@@ -154,9 +194,10 @@ def judge_urls(
     joined with the rules.  The longest listed key wins; a url without one gets ``default``.
 
     Null urls and urls without ``://`` have empty host and path and get ``default``.
-    Repeated rows are judged alike; an empty table gives no rows.  Rules are configuration:
-    their filters must fit ``MOST_WORDS`` words.  The columns host, path, rule and verdict of
-    the input, if any, are replaced.  ``pages`` is read twice.
+    Repeated rows are judged alike; an empty table gives no rows.  Rules are configuration;
+    where they or the universe outgrow one filter, keys are dealt by hash over several
+    cascades.  The columns host, path, rule and verdict of the input, if any, are replaced.
+    ``pages`` is read twice.
     """
     spark = pages.sparkSession
     lengths = sorted({len(r.path) for r in rules})
@@ -177,25 +218,26 @@ def judge_urls(
     keys = F.flatten(
         F.transform(domains, lambda d: F.transform(starts, lambda p: F.concat(d, p)))
     )
-    keyed = parsed.withColumn("_keys", F.when(F.col("host") == "", F.array()).otherwise(keys))
+    held, best = free_name(parsed, "_keys"), free_name(parsed, "_best")
+    keyed = parsed.withColumn(held, F.when(F.col("host") == "", F.array()).otherwise(keys))
     # Hosts and short path starts repeat: reduce to distinct (host, starts) before exploding.
     universe = materialise(
-        keyed.select("_keys").distinct().select(F.explode("_keys").alias("key")).distinct(),
+        keyed.select(held).distinct().select(F.explode(held).alias("key")).distinct(),
         "url-keys",
     )
-    marks = []
+    marks, size = [], universe.count()
     for verdict in sorted({r.verdict for r in rules}):
         names = sorted({r.host + r.path for r in rules if r.verdict == verdict})
-        listed = spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("key"))
-        levels = build_cascade(listed, universe)
-        marks.append(_marks(F.col("_keys"), levels, verdict))
+        listed = spark.createDataFrame([(n,) for n in names], "key string")
+        cascades = build_cascades(listed, universe, cascade_parts(len(names), size))
+        marks.append(_marks(F.col(held), cascades, verdict))
     if not marks:
         return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     return (
-        keyed.withColumn("_best", F.array_max(F.concat(*marks)))
+        keyed.withColumn(best, F.array_max(F.concat(*marks)))
         .withColumns({
-            "rule": F.col("_best.rule"),
-            "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default)),
+            "rule": F.col(best)["rule"],
+            "verdict": F.coalesce(F.col(best)["verdict"], F.lit(default)),
         })
-        .drop("_keys", "_best")
+        .drop(held, best)
     )
