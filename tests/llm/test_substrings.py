@@ -29,6 +29,7 @@ def plain(texts, depth):
 @pytest.mark.parametrize("contexts", [500, 2])
 def test_removes_what_a_plain_scan_removes(make_documents, odd_rows, monkeypatch, contexts):
     monkeypatch.setattr(substrings, "SHARD_CONTEXTS", contexts)
+    monkeypatch.setattr(substrings, "SHARD_COPIES", 2 * contexts)
     shared, umlauts = prose("shared", 90), "äöü " * 60
     rows = list(odd_rows)
     for k in range(12):

@@ -17,10 +17,11 @@ from trialweave.session import materialise
 GRAM = 64
 #: Bytes hashed at once.  Positions inside a pack fit the low bits of a key.
 PACK_BITS = 20
-#: Bytes of one suffix array, contexts of one anchor in one shard, and strings whose digests
-#: are merged in one task.
+#: Bytes of one suffix array, contexts of one anchor in one shard, equal contexts that are read
+#: by one shard, and strings whose digests are merged in one task.
 SHARD_BYTES = 1 << 21
 SHARD_CONTEXTS = 500
+SHARD_COPIES = 1 << 14
 MERGE_STRINGS = 1 << 20
 
 
@@ -362,7 +363,7 @@ def _profile(depth: int):
     return run
 
 
-def _contexts(depth: int):
+def _contexts(depth: int, most: int, copies: int):
     """Context rows of the picked anchors: the bytes all windows of a run cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,12 +375,14 @@ def _contexts(depth: int):
                 base = int(offsets[k])
                 for pick in picks[k]:
                     i, held = pick["place"], pick["held"]
-                    parts = -(-held // SHARD_CONTEXTS)
+                    parts = -(-held // most)
                     low, run = int(lows[i]), int(runs[i])
                     body = data[base + low : base + low + run - 1 + depth].tobytes()
-                    # By the bytes: equal contexts meet in one shard.
+                    # By the bytes, so that equal contexts meet; those of a very common
+                    # passage in several shards, which the merge brings together.
                     mark = hashlib.blake2b(body, digest_size=8).digest()
-                    part = int.from_bytes(mark, "big") % parts
+                    spread = -(-held // copies)
+                    part = int.from_bytes(mark, "big") % parts * spread + int(shas[k][:8], 16) % spread
                     out.append((int(anchors[i]), part, parts > 1, shas[k], low,
                                 int(places[i]) - low, run, body))
                 if len(out) >= 4000:
@@ -556,7 +559,9 @@ def remove_repeats(documents: DataFrame, depth: int = 400, texts: bool = False)
         .select("sha", "body", "picks"),
         "chosen",
     )
-    contexts = chosen.mapInArrow(_contexts(depth), CONTEXT_TYPE)
+    contexts = chosen.mapInArrow(
+        _contexts(depth, SHARD_CONTEXTS, SHARD_COPIES), CONTEXT_TYPE
+    )
     # A run has fewer windows than ``depth``: so many strings may have to be merged.
     spread = again.filter(F.col("held") > SHARD_CONTEXTS).agg(F.sum("held")).first()[0] or 0
     buckets = max(1, -(-spread * depth // MERGE_STRINGS))
