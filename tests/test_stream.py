@@ -94,3 +94,34 @@ def test_a_limit_reached_by_tenths(spark, tmp_path):
     assert seen[1, 10] == seen[2, 3] == "post_account_exceeded"
     cost = logs.COUNTERS.index("paid_cost")
     assert {r.totals[cost] for r in got if r.run == 2} == {0.1, 0.2, 0.3, 0.4}
+
+
+def test_waiting_rows_lie_in_blocks_under_few_keys(spark, tmp_path):
+    """Work per micro-batch is by bucket and block, not by run and row."""
+    log, base = tmp_path / "log", shared_dir(spark, "stream-test")
+    size, runs = 3 * budget_stream.BLOCK, 3 * budget_stream.BUCKETS
+    late = [event(0, k) for k in range(1, size)]
+    write(log, "a.json", [*late[::2], *[event(r, 0) for r in range(1, runs)]])
+    places = (str(log), f"{base}/out", f"{base}/progress")
+    first = budget_stream.account_files(spark, *places).collect()
+    assert len(first) == len(late[::2]) + runs - 1
+    assert {r.verdict for r in first if r.run == 0} == {"sequence_gap"}
+
+    def state(name):
+        return spark.read.format("statestore").option("stateVarName", name).load(places[2])
+
+    assert state("account").select("key").distinct().count() <= budget_stream.BUCKETS
+    assert state("early").count() == 3
+    # Half of the rest and some repeats, then the first row: all blocks drain in one batch.
+    write(log, "b.json", [*late[1::4], *[event(0, k, 5.0) for k in (1, 301, 601)]])
+    second = budget_stream.account_files(spark, *places).collect()
+    assert [v for v in verdicts(second) if v[2] == "sequence_repeated"] == [
+        (0, k, "sequence_repeated") for k in (1, 301, 601)
+    ]
+    write(log, "c.json", [event(0, 0), *late[3::4]])
+    final = [r for r in budget_stream.account_files(spark, *places).collect() if r.run == 0]
+    cost = logs.COUNTERS.index("paid_cost")
+    used = {r.sequence: r.totals[cost] for r in final if r.verdict == "usage_recorded"}
+    assert used == {k: k + 1.0 for k in range(size)}
+    assert len(final) == size + 3
+    assert state("early").count() == 0

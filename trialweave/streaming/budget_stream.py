@@ -2,18 +2,21 @@
 
 Per run the state holds the next sequence, the total and limit of each counter and the hash
 of the last event.  Rows that arrive ahead of their turn wait in a keyed map state, on disk,
-and are fetched one by one when their turn comes.  A timer per run reports rows that have
-waited too long behind a gap.  Totals are decimals, as in the batch twin (the running-total
-scan of the same log), so both give the same verdicts at any limit and in any order.
+in blocks of neighbouring sequence numbers, and are fetched by the block when their turn
+comes.  Runs are dealt by hash over a fixed number of buckets, one state key each, so the
+Python worker is called once per bucket and micro-batch and not once per run.  A timer
+reports rows that have waited too long behind a gap.  Totals are decimals, as in the batch
+twin (the running-total scan of the same log), so both give the same verdicts at any limit
+and in any order.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from decimal import Decimal
+from decimal import Context, Decimal
+from itertools import groupby
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,17 +37,23 @@ OUTPUT_SCHEMA = (
     "run long, sequence long, verdict string, exceeded array<string>, totals array<double>, "
     "last_event_sha256 string"
 )
-#: Amounts travel as decimals with twelve places; a missing limit is a null.
-AMOUNTS = "array<decimal(38,12)>"
-ROW = f"event_type string, used {AMOUNTS}, requested {AMOUNTS}, limits {AMOUNTS}, sha string, told boolean"
-ACCOUNT = (
-    f"next_sequence long, totals {AMOUNTS}, limits {AMOUNTS}, sha string, waiting long, timer long"
+#: Amounts travel as text: a decimal with twelve places per counter between commas, nothing
+#: for a missing limit or an amount of zero.
+ROW = (
+    "sequence long, event_type string, used string, requested string, limits string, "
+    "sha string, told boolean"
 )
+ACCOUNT = "next_sequence long, totals string, limits string, sha string, waiting long"
 GAP = "sequence_gap"
+#: State keys of a stream; neighbouring sequence numbers of a block; rows of one output frame.
+BUCKETS, BLOCK, FRAME = 1024, 256, 10_000
+#: Sums of decimal(38,12) amounts stay exact.
+EXACT = Context(prec=60)
 
 
 class BudgetAccount(StatefulProcessor):
-    """Totals of one run, all counters at once, against the limits of its first event."""
+    """Totals of the runs of a bucket, all counters at once, against the limits of the first
+    event of each run."""
 
     def __init__(self, counters: tuple[str, ...], tolerance: float, patience_ms: int | None) -> None:
         self.counters, self.tolerance = counters, Decimal(repr(tolerance))
@@ -52,89 +61,175 @@ class BudgetAccount(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.account = handle.getValueState("account", ACCOUNT)
-        self.early = handle.getMapState("early", "sequence long", ROW)
-
-    def _read(self) -> tuple:
-        size = len(self.counters)
-        if not self.account.exists():
-            return 0, [Decimal(0)] * size, [None] * size, None, 0, 0
-        ahead, totals, limits, sha, waiting, timer = self.account.get()
-        return ahead, list(totals), list(limits), sha, waiting, timer
+        self.account = handle.getMapState("account", "run long", ACCOUNT)
+        self.early = handle.getMapState("early", "run long, block long", f"held array<struct<{ROW}>>")
+        if self.patience_ms is not None:
+            self.due = handle.getMapState("due", "run long", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ahead, totals, limits, sha, waiting, timer = self._read()
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["sequence", "sha"], kind="stable")
-        out, before = [], ahead
-        for row in batch.itertuples(index=False):
-            at = int(row.sequence)
-            values = (row.event_type, list(row.used), list(row.requested), list(row.limits), row.sha)
-            if at < ahead or (at > ahead and waiting and self.early.containsKey((at,))):
-                out.append((at, "sequence_repeated", [], None, sha))
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["run", "sequence", "sha"], kind="stable")
+        values = zip(*[batch[c].tolist() for c in ("run", "sequence", "event_type", "used", "requested", "limits", "sha")], strict=True)
+        out: list = []
+        for run, events in groupby(values, key=lambda v: v[0]):
+            for done in self._account(int(run), events, timerValues):
+                out.append(done)
+                if len(out) >= FRAME:
+                    yield self._frame(out)
+                    out = []
+        if out:
+            yield self._frame(out)
+
+    def _account(self, run: int, events: Iterator[tuple], timerValues) -> Iterator[tuple]:  # noqa: N803
+        """Rows of one run, in the order of their sequence."""
+        ahead, totals, limits, sha, waiting = self.account.getValue((run,)) or (0, "", "", None, 0)
+        before, totals, caps = ahead, self._numbers(totals), self._caps(limits)
+        shown = [float(t) for t in totals]
+        held = Blocks(self.early, run, waiting > 0)
+        for _, at, *event in events:
+            at = int(at)
+            if at < ahead or (at > ahead and waiting and at in held.of(at, ahead)):
+                yield run, at, "sequence_repeated", [], None, sha
                 continue
             if at > ahead:
-                self.early.updateValue((at,), (*values, False))
+                held.put(at, ahead, (at, *event, False))
                 waiting += 1
                 continue
-            while values is not None:
-                kind, used, requested, given, sha = values
+            while event is not None:
+                kind, used, requested, given, sha = event
                 if ahead == 0:
                     limits = given
-                totals = [a + b for a, b in zip(totals, used, strict=True)]
-                out.append((ahead, *self._judge(kind, totals, requested, limits), sha))
-                ahead, values = ahead + 1, None
-                if waiting and self.early.containsKey((ahead,)):
-                    values = self.early.getValue((ahead,))[:5]
-                    self.early.removeKey((ahead,))
+                    caps = self._caps(limits)
+                for i, amount in self._amounts(used):
+                    totals[i] = EXACT.add(totals[i], amount)
+                    shown[i] = float(totals[i])
+                yield run, ahead, *self._judge(kind, totals, requested, caps), list(shown), sha
+                ahead, event = ahead + 1, None
+                if waiting and ahead in held.of(ahead, ahead):
+                    event = held.take(ahead)[1:6]
                     waiting -= 1
+        held.write()
+        self.account.updateValue((run,), (ahead, ",".join(map(str, totals)), limits, sha, waiting))
         if self.patience_ms is not None:
-            # A gap that closed takes its timer along; the next one starts its own.
-            if timer and (not waiting or ahead > before):
-                self.handle.deleteTimer(timer)
-                timer = 0
-            if waiting and not timer:
-                timer = int(timerValues.getCurrentProcessingTimeInMs()) + self.patience_ms
-                self.handle.registerTimer(timer)
-        self.account.update((ahead, totals, limits, sha, waiting, timer))
-        yield from self._frame(key, out)
+            due = self.due.containsKey((run,))
+            # A gap that closed takes its time along; the next one starts its own.
+            if due and (not waiting or ahead > before):
+                self.due.removeKey((run,))
+                due = False
+            if waiting and not due:
+                at = int(timerValues.getCurrentProcessingTimeInMs()) + self.patience_ms
+                self.due.updateValue((run,), (at,))
+                self.handle.registerTimer(at)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """One fault row per event still waiting; it stays, in case the gap closes later."""
-        ahead, totals, limits, sha, waiting, _ = self._read()
-        out = []
-        for (at,), held in list(self.early.iterator()):
-            if not held[5]:
-                out.append((at, GAP, [], None, sha))
-                self.early.updateValue((at,), (*held[:5], True))
-        self.account.update((ahead, totals, limits, sha, waiting, 0))
-        yield from self._frame(key, sorted(out, key=lambda r: r[0]))
-
-    def _frame(self, key, out: list) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        late = {run for (run,), (at,) in self.due.iterator() if at <= now}
+        if not late:
+            return
+        blocks = sorted(
+            tuple(place) for place, (rows,) in self.early.iterator()
+            if place[0] in late and not all(row[6] for row in rows)
+        )
+        out: list = []
+        for run, places in groupby(blocks, key=lambda place: place[0]):
+            sha = self.account.getValue((run,))[3]
+            for place in places:
+                (rows,) = self.early.getValue(place)
+                out += [(run, row[0], GAP, [], None, sha) for row in rows if not row[6]]
+                self.early.updateValue(place, ([(*row[:6], True) for row in rows],))
+                if len(out) >= FRAME:
+                    yield self._frame(out)
+                    out = []
+        for run in late:
+            self.due.removeKey((run,))
         if out:
-            done = pd.DataFrame(out, columns=["sequence", "verdict", "exceeded", "totals", "last_event_sha256"])
-            done.insert(0, "run", np.int64(key[0]))
-            yield done
+            yield self._frame(out)
+
+    def _frame(self, out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["run", "sequence", "verdict", "exceeded", "totals", "last_event_sha256"])
+
+    def _numbers(self, text: str) -> list[Decimal]:
+        return [Decimal(t) for t in text.split(",")] if text else [Decimal(0)] * len(self.counters)
 
-    def _judge(self, kind, totals, requested, limits) -> tuple:
+    def _amounts(self, text: str | None) -> list[tuple[int, Decimal]]:
+        return [(i, Decimal(t)) for i, t in enumerate(text.split(",")) if t] if text else []
+
+    def _caps(self, limits: str | None) -> list[tuple[int, str, Decimal]]:
+        """Index, name and largest admitted total of the counters with a limit."""
+        return [(i, self.counters[i], EXACT.add(limit, self.tolerance)) for i, limit in self._amounts(limits)]
+
+    def _judge(self, kind, totals, requested, caps) -> tuple:
         asks = kind == "precheck"
+        more = dict(self._amounts(requested)) if asks else {}
         names = [
-            c
-            for c, total, more, limit in zip(self.counters, totals, requested, limits, strict=True)
-            if limit is not None and total + (more if asks else 0) > limit + self.tolerance
+            c for i, c, cap in caps
+            if (EXACT.add(totals[i], more[i]) if i in more else totals[i]) > cap
         ]
         if asks:
             verdict = "precheck_rejected" if names else "precheck_passed"
         else:
             verdict = "post_account_exceeded" if names else "usage_recorded"
-        return verdict, names, [float(t) for t in totals]
+        return verdict, names
 
     def close(self) -> None:
         pass
 
 
-def _by_counter(amounts: str, missing: float | None) -> Column:
-    cells = [F.coalesce(F.col(amounts)[c], F.lit(missing).cast("double")) for c in COUNTERS]
-    return F.array(*[c.cast("decimal(38,12)") for c in cells])
+class Blocks:
+    """Waiting rows of one run: at most the block in hand and the next turn's in memory.
+
+    Rows come in the order of their sequence, so a block left behind is written at once.
+    """
+
+    def __init__(self, early, run: int, stored: bool) -> None:
+        self.early, self.run, self.stored = early, run, stored
+        self.blocks: dict[int, dict[int, tuple]] = {}
+        self.known: set[int] = set()
+        self.changed: set[int] = set()
+
+    def of(self, at: int, ahead: int) -> dict[int, tuple]:
+        number = at // BLOCK
+        if number not in self.blocks:
+            for other in [b for b in self.blocks if b != ahead // BLOCK]:
+                self._write(other)
+            found = self.early.getValue((self.run, number)) if self.stored else None
+            if found is not None:
+                self.known.add(number)
+            self.blocks[number] = {row[0]: tuple(row) for row in found[0]} if found is not None else {}
+        return self.blocks[number]
+
+    def put(self, at: int, ahead: int, row: tuple) -> None:
+        self.of(at, ahead)[at] = row
+        self.changed.add(at // BLOCK)
+
+    def take(self, at: int) -> tuple:
+        self.changed.add(at // BLOCK)
+        return self.blocks[at // BLOCK].pop(at)
+
+    def write(self) -> None:
+        for number in list(self.blocks):
+            self._write(number)
+
+    def _write(self, number: int) -> None:
+        rows = self.blocks.pop(number)
+        if number in self.changed:
+            if rows:
+                self.early.updateValue((self.run, number), ([rows[at] for at in sorted(rows)],))
+                self.stored = True
+            elif number in self.known:
+                self.early.removeKey((self.run, number))
+        self.known.discard(number)
+        self.changed.discard(number)
+
+
+def _as_text(amounts: str, keep_zero: bool) -> Column:
+    """Decimals of all counters between commas."""
+    cells = []
+    for c in COUNTERS:
+        cell = F.col(amounts)[c].cast("decimal(38,12)")
+        kept = cell if keep_zero else F.when(cell != 0, cell)
+        cells.append(F.coalesce(kept.cast("string"), F.lit("")))
+    return F.when(F.col(amounts).isNotNull(), F.concat_ws(",", *cells))
 
 
 def budget_verdicts(events: DataFrame, patience_ms: int | None = None) -> DataFrame:
@@ -147,15 +242,16 @@ def budget_verdicts(events: DataFrame, patience_ms: int | None = None) -> DataFr
     ``sequence_gap``, once each; should the gap close later, their verdicts follow.
     """
     rows = events.select(
+        F.pmod(F.xxhash64("run"), F.lit(BUCKETS)).cast("int").alias("bucket"),
         "run",
         "sequence",
         "event_type",
-        _by_counter("used", 0.0).alias("used"),
-        _by_counter("requested", 0.0).alias("requested"),
-        _by_counter("limits", None).alias("limits"),
+        _as_text("used", False).alias("used"),
+        F.when(F.col("event_type") == "precheck", _as_text("requested", False)).alias("requested"),
+        F.when(F.col("sequence") == 0, _as_text("limits", True)).alias("limits"),
         F.col("event_sha256").alias("sha"),
     )
-    return rows.groupBy("run").transformWithStateInPandas(
+    return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=BudgetAccount(COUNTERS, TOLERANCE, patience_ms),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",
@@ -171,15 +267,12 @@ def waiting_events(spark: SparkSession, checkpoint: str) -> DataFrame:
     and no timer has reported."""
     held = (
         spark.read.format("statestore").option("stateVarName", "early").load(checkpoint)
-        .select(
-            F.col("key.run").alias("run"),
-            F.col("user_map_key.sequence").alias("sequence"),
-            F.col("user_map_value.told").alias("told"),
-        )
+        .select(F.col("user_map_key.run").alias("run"), F.explode("user_map_value.held").alias("row"))
+        .select("run", "row.sequence", "row.told")
     )
     account = (
         spark.read.format("statestore").option("stateVarName", "account").load(checkpoint)
-        .select(F.col("key.run").alias("run"), F.col("value.sha").alias("last_event_sha256"))
+        .select(F.col("user_map_key.run").alias("run"), F.col("user_map_value.sha").alias("last_event_sha256"))
     )
     return held.where("not told").join(account, "run").select(
         "run", "sequence", F.lit(GAP).alias("verdict"),
