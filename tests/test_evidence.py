@@ -303,3 +303,16 @@ def test_partition_counts_do_not_matter(spark):
             )
         )
     assert all(a == b for a, b in itertools.pairwise(results))
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_a_tied_selection_names_the_earliest_cycle(spark, turned):
+    trace = [("s", 11, 0.5, 1, "a", True), ("s", 12, 0.7, 2, "b", True), ("s", 13, 0.7, 3, "c", True),
+             ("s", 14, 0.9, 4, "d", False), ("t", 21, None, 1, "a", True), ("t", 22, 0.4, 2, "b", False)]
+    df = spark.createDataFrame(
+        trace[::-1] if turned else trace,
+        "k string, experiment_id long, score double, research_cycle int, configuration string, chosen boolean",
+    ).coalesce(1)
+    got = {r.k: r for r in search.lock_best(df, ["k"], "chosen").collect()}
+    assert got["s"].selected_experiment == 12 and got["s"].selected_score == 0.7
+    assert got["t"].selected_experiment is None and got["t"].status == "selection_not_in_trace"

@@ -216,14 +216,20 @@ def lock_best(trace: DataFrame, keys: Sequence[str], selected: str) -> DataFrame
     """One lock row per key: selected versus best score of the admitted trace.
 
     ``trace`` has experiment_id, score, research_cycle, configuration; ``selected``
-    marks the chosen experiment.
+    marks the chosen experiment.  Of chosen experiments with equal scores the one of the
+    earliest cycle is named.
     """
     keys = list(keys)
     facts = trace.groupBy(*keys).agg(
         F.countDistinct("configuration").alias("distinct_candidates"),
         F.max("score").alias("observed_best_score"),
         F.max(F.when(F.col(selected), F.col("score"))).alias("selected_score"),
-        F.max_by("experiment_id", F.when(F.col(selected), F.col("score"))).alias("selected_experiment"),
+        F.max_by(
+            "experiment_id",
+            F.when(
+                F.col(selected) & F.col("score").isNotNull(), F.struct(F.col("score"), -F.col("research_cycle"))
+            ),
+        ).alias("selected_experiment"),
         F.count(F.lit(1)).alias("research_cycles"),
     )
     gap = F.col("observed_best_score") - F.col("selected_score")

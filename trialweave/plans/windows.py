@@ -130,7 +130,7 @@ def gj8_search_trace(spark, sf):
     "gj9_search_lock",
     f"""
     WITH {TRACE_SQL}, d AS (SELECT * FROM trace WHERE verdict = 'admitted'),
-    l AS (SELECT subject, count(DISTINCT configuration) AS n, max(score) AS best, max(CASE WHEN pos % 3 <> 0 THEN score END) AS sel, arg_max(pos, CASE WHEN pos % 3 <> 0 THEN score END) AS ex, count(*) AS c FROM d GROUP BY 1)
+    l AS (SELECT subject, count(DISTINCT configuration) AS n, max(score) AS best, max(CASE WHEN pos % 3 <> 0 THEN score END) AS sel, arg_max(pos, (score, -research_cycle)) FILTER (pos % 3 <> 0 AND score IS NOT NULL) AS ex, count(*) AS c FROM d GROUP BY 1)
     SELECT subject, n::BIGINT AS distinct_candidates, round(best, 9) AS observed_best_score, round(sel, 9) AS selected_score, CASE WHEN sel IS NOT NULL THEN ex END AS selected_experiment, c::BIGINT AS research_cycles, round(best - sel, 9) AS gap_to_best, best - sel <= 0.02 AS within_tolerance,
       CASE WHEN n < 2 THEN 'too_few_candidates' WHEN sel IS NULL THEN 'selection_not_in_trace' ELSE 'locked_awaiting_confirmation' END AS status FROM l
     """,
