@@ -81,10 +81,42 @@ def abstract_from_positions(inverted: Column) -> Column:
             ),
         )
     )
-    words = F.transform(F.array_sort(pairs), lambda x: x["word"])
+    words = F.transform(F.sort_array(pairs), lambda x: x["word"])
     return F.when(F.size(words) > 0, F.array_join(words, " "))
 
 
+def positions_of_words(words: Column) -> Column:
+    """Word -> positions map of a list of words, built inside the row: the inverse of
+    ``abstract_from_positions``.  The list is sorted once and cut where the word changes."""
+
+    def entries(placed: Column) -> Column:
+        size = F.size(placed)
+        starts = F.filter(
+            F.sequence(F.lit(1), size),
+            lambda i: (i == 1) | (F.get(placed, i - 1)["word"] != F.get(placed, i - 2)["word"]),
+        )
+        # The next start of each start; the arrays bound by a lambda are evaluated once.
+        cuts = F.transform(
+            F.array(starts),
+            lambda s: F.zip_with(
+                s,
+                F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(size + 1)),
+                lambda a, b: F.struct(a.alias("a"), b.alias("b")),
+            ),
+        )
+        return F.transform(
+            F.filter(F.get(cuts, F.lit(0)), lambda c: c["a"].isNotNull()),
+            lambda c: F.struct(
+                F.get(placed, c["a"] - 1)["word"],
+                F.transform(F.slice(placed, c["a"], c["b"] - c["a"]), lambda p: p["at"]),
+            ),
+        )
+
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+    filled = F.get(F.transform(F.array(placed), entries), F.lit(0))
+    return F.when(F.size(words) > 0, F.map_from_entries(filled))
+
+
 def first_of(values: Column) -> Column:
     return F.get(values, F.lit(0))
 

@@ -89,20 +89,17 @@ def sf3_stable_paper_id(spark, sf):
     """,
 )
 def sf4_abstract_rebuild(spark, sf):
-    words = (
-        table(spark, sf, "documents")
-        .select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")))
-        .groupBy("doc_id", "col")
-        .agg(F.collect_list("pos").alias("positions"))
-    )
-    inverted = words.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("col", "positions"))).alias("inverted"),
-        F.sum(F.size("positions")).alias("word_count"),
-    )
+    """Each text as a word -> positions map, and back; a text never leaves its row."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    # Two steps, each read twice by the next, so nothing is computed again per reader.
+    split = table(spark, sf, "documents").where(F.rlike("text", F.lit(r"\S"))).select("doc_id", words.alias("words"))
+    inverted = split.select("doc_id", text.positions_of_words(F.col("words")).alias("inverted"))
     return inverted.select(
         "doc_id",
         F.sha2(text.abstract_from_positions(F.col("inverted")), 256).alias("abstract_sha256"),
-        "word_count",
+        F.aggregate(
+            F.map_values("inverted"), F.lit(0).cast("long"), lambda n, at: n + F.size(at)
+        ).alias("word_count"),
     )
 
 
