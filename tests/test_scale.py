@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from trialweave.functions import text
+from trialweave.operators import reconcile
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +36,46 @@ def test_positions_of_words_and_back(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
 def test_abstracts_are_rebuilt_without_a_shuffle(spark):
     assert exchanges(entry.queries()["sf4_abstract_rebuild"](spark, SF)) == 0
+
+
+def test_locks_against_traces_with_odd_rows(spark):
+    search, balanced = "pipeline_search_and_lock", "balanced_accuracy"
+    trace = [
+        (1, "a", "s1", 0.5, search, False), (1, "b", "s2", 0.7, search, False),
+        (2, "a", "s1", 0.5, search, True), (3, "c", None, None, search, False),
+        # An experiment recorded twice: one record agrees with the lock, the other does not.
+        (5, "a", "s1", 0.5, search, False), (5, "a", "s9", 0.5, search, False),
+    ]
+    locks = [
+        (1, "b", "s2", balanced, 0.7, ["a", "b"], 2, 2), (2, "a", "s1", balanced, 0.5, ["a", "z"], 1, 1),
+        (3, "c", "s1", balanced, 0.1, None, 1, 1), (4, None, None, balanced, None, [None], 0, 0),
+        (5, "a", "s1", balanced, 0.5, ["a"], 2, 2),
+    ]
+    got = reconcile.lock_faults(
+        spark.createDataFrame(locks, "lock_id long, selected_experiment_id string, pipeline_sha256 string, primary_metric string, selected_search_score double, evidence_experiment_ids array<string>, candidate_executions long, research_cycles long"),
+        spark.createDataFrame(trace, "lock_id long, experiment_id string, pipeline_sha256 string, score double, data_role string, confirmation_data_accessed boolean"),
+        spark.createDataFrame([(k, balanced, 6) for k in range(1, 6)], "lock_id long, primary_metric string, authorised long"),
+    )
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.lock_id, []).append(r.rule_id)
+    assert {k: sorted(v) for k, v in found.items()} == {
+        2: ["citations_in_trace", "trace_is_search_only"],
+        3: ["pipeline_hash_matches", "score_matches", "selection_cited"],
+        4: sorted([
+            "selection_in_trace", "pipeline_hash_matches", "score_matches", "selection_cited", "citations_in_trace",
+            "trace_is_search_only", "executions_match_trace", "cycles_match_trace", "within_authorised_budget",
+        ]),
+        5: ["pipeline_hash_matches"],
+    }
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
+def test_lock_reconciliation_deals_the_lines_twice_at_most(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # Lines for the locks and for their check, orders for the locks and for the limits.
+        assert exchanges(entry.queries()["jn13_lock_reconciliation"](spark, SF)) <= 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)

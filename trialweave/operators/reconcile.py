@@ -142,32 +142,38 @@ def lock_faults(locks: DataFrame, trace: DataFrame, limits: DataFrame) -> DataFr
     data_role, confirmation_data_accessed.  ``limits``: lock_id, primary_metric,
     authorised (the smallest of the budgets).
     """
-    chosen = trace.select(
+    told = trace.select(
         "lock_id",
-        F.col("experiment_id").alias("selected_experiment_id"),
+        F.col("experiment_id").alias("t_id"),
         F.col("pipeline_sha256").alias("t_sha"),
         F.col("score").alias("t_score"),
-        F.lit(True).alias("in_trace"),
-    )
-    size = trace.groupBy("lock_id").agg(
-        F.count(F.lit(1)).alias("t_count"),
-        F.bool_and(
+        (
             (F.col("data_role") == "pipeline_search_and_lock") & ~F.col("confirmation_data_accessed")
         ).alias("t_clean"),
+        F.lit(True).alias("in_trace"),
     )
-    cited = locks.select("lock_id", F.explode("evidence_experiment_ids").alias("experiment_id"))
-    uncited = (
-        cited.join(trace.select("lock_id", "experiment_id"), ["lock_id", "experiment_id"], "left_anti")
-        .groupBy("lock_id")
-        .agg(F.count(F.lit(1)).alias("unknown_citations"))
-    )
-    bounds = limits.withColumnRenamed("primary_metric", "p_metric")
-    joined = (
-        locks.join(chosen, ["lock_id", "selected_experiment_id"], "left")
-        .join(size, "lock_id", "left")
-        .join(uncited, "lock_id", "left")
-        .join(bounds, "lock_id", "left")
+    # One join by lock; the groups keep its partitioning, so the trace is dealt once.
+    selected = F.col("t_id") == F.col("selected_experiment_id")
+    cited = F.array_contains("evidence_experiment_ids", F.col("t_id"))
+    facts = (
+        locks.dropDuplicates().join(told, "lock_id", "left").groupBy(*locks.columns)
+        .agg(
+            F.nullif(F.count("in_trace"), F.lit(0)).alias("t_count"),
+            F.bool_and("t_clean").alias("t_clean"),
+            F.collect_list(F.when(selected, F.struct("t_sha", "t_score", "in_trace"))).alias("chosen"),
+            F.collect_set(F.when(cited, F.col("t_id"))).alias("known"),
+        )
+        .select("*", F.explode_outer("chosen").alias("hit"))
+        .select(
+            *locks.columns, "t_count", "t_clean", "hit.*",
+            F.when(
+                F.col("evidence_experiment_ids").isNotNull(),
+                F.size(F.array_except("evidence_experiment_ids", "known")),
+            ).alias("unknown_citations"),
+        )
     )
+    bounds = limits.select("lock_id", F.col("primary_metric").alias("p_metric"), "authorised")
+    joined = facts.join(bounds, "lock_id", "left")
     close = F.abs(F.col("selected_search_score") - F.col("t_score")) <= SCORE_TOLERANCE
     return violations(
         joined,

@@ -379,24 +379,28 @@ LOCK_SQL = """
 
 
 def lock_tables(spark, sf):
-    lines = table(spark, sf, "lineitem")
+    """Locks, their traces and limits.  Lines are dealt once by lock, and all groups and
+    joins by (lock, experiment) or lock below keep that partitioning."""
+    lines = table(spark, sf, "lineitem").repartition(F.col("l_orderkey"))
     trace = lines.groupBy(F.col("l_orderkey").alias("lock_id"), F.col("l_partkey").cast("string").alias("experiment_id")).agg(
-        F.max(F.sha2(F.col("l_partkey").cast("string"), 256)).alias("pipeline_sha256"),
         F.max("l_extendedprice").alias("score"),
         F.bool_or(F.col("l_tax") == 0.08).alias("confirmation_data_accessed"),
-    ).withColumn("data_role", F.lit("pipeline_search_and_lock"))
+    ).withColumns({
+        "pipeline_sha256": F.sha2("experiment_id", 256), "data_role": F.lit("pipeline_search_and_lock")
+    })
     ends = trace.groupBy("lock_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.max("experiment_id").alias("hi"),
+        F.max(F.struct("experiment_id", "score")).alias("top"),
         F.min("experiment_id").alias("lo"),
     )
-    orders = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "lock_id").join(ends, "lock_id", "left")
+    orders = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "lock_id")
     urgent = F.col("o_orderpriority") == "1-URGENT"
-    chosen = F.when(urgent, "none").otherwise(F.col("hi"))
-    picked = trace.select("lock_id", F.col("experiment_id").alias("sel"), F.col("score").alias("sel_score"), F.col("pipeline_sha256").alias("sel_sha"))
+    hi, selected = F.col("top.experiment_id"), F.col("sel") == F.col("top.experiment_id")
     locks = (
-        orders.withColumn("sel", chosen)
-        .join(picked, ["lock_id", "sel"], "left")
+        orders.join(ends, "lock_id", "left")
+        .withColumn("sel", F.when(urgent, "none").otherwise(hi))
+        .withColumn("sel_score", F.when(selected, F.col("top.score")))
+        .withColumn("sel_sha", F.when(selected, F.sha2("sel", 256)))
         .select(
             "lock_id",
             F.col("o_custkey").alias("subject_id"),
