@@ -152,23 +152,35 @@ def lock_faults(locks: DataFrame, trace: DataFrame, limits: DataFrame) -> DataFr
         ).alias("t_clean"),
         F.lit(True).alias("in_trace"),
     )
-    # One join by lock; the groups keep its partitioning, so the trace is dealt once.
-    selected = F.col("t_id") == F.col("selected_experiment_id")
-    cited = F.array_contains("evidence_experiment_ids", F.col("t_id"))
+    # One join by lock; the groups keep its partitioning, so the trace is dealt once.  Only
+    # the records a lock names go through the groups.
+    named = F.array_append(
+        F.coalesce("evidence_experiment_ids", F.array()), F.col("selected_experiment_id")
+    )
+    asked = locks.groupBy("lock_id").agg(F.array_distinct(F.flatten(F.collect_list(named))).alias("named"))
     facts = (
-        locks.dropDuplicates().join(told, "lock_id", "left").groupBy(*locks.columns)
+        told.join(asked, "lock_id")
+        .select(
+            "lock_id", "t_clean",
+            F.when(F.array_contains("named", F.col("t_id")), F.struct("t_id", "t_sha", "t_score", "in_trace")).alias("hit"),
+        )
+        .groupBy("lock_id")
         .agg(
-            F.nullif(F.count("in_trace"), F.lit(0)).alias("t_count"),
+            F.count(F.lit(1)).alias("t_count"),
             F.bool_and("t_clean").alias("t_clean"),
-            F.collect_list(F.when(selected, F.struct("t_sha", "t_score", "in_trace"))).alias("chosen"),
-            F.collect_set(F.when(cited, F.col("t_id"))).alias("known"),
+            F.collect_list("hit").alias("hits"),
         )
-        .select("*", F.explode_outer("chosen").alias("hit"))
+    )
+    own = F.filter("hits", lambda h: h["t_id"] == F.col("selected_experiment_id"))
+    known = F.coalesce(F.transform("hits", lambda h: h["t_id"]), F.array())
+    facts = (
+        locks.join(facts, "lock_id", "left")
+        .select("*", F.explode_outer(own).alias("hit"))
         .select(
-            *locks.columns, "t_count", "t_clean", "hit.*",
+            *locks.columns, "t_count", "t_clean", "hit.t_sha", "hit.t_score", "hit.in_trace",
             F.when(
                 F.col("evidence_experiment_ids").isNotNull(),
-                F.size(F.array_except("evidence_experiment_ids", "known")),
+                F.size(F.array_except("evidence_experiment_ids", known)),
             ).alias("unknown_citations"),
         )
     )
