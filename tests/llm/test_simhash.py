@@ -197,3 +197,46 @@ def test_helper_columns_of_the_caller_stay(make_documents, odd_rows):
     got = simhash.one_of_each(documents)
     assert got.columns == documents.columns
     assert {(r["_key"], r["_KEY_"]) for r in got.collect()} == {("mine", "too")}
+
+
+def template_rows(count, edits):
+    words = prose("template", 300).split()
+    rows, drawn = [], random.Random(11)
+    for k in range(count):
+        edited = list(words)
+        for j in drawn.sample(range(300), edits(k)):
+            edited[j] = f"edit{k}x{j}"
+        rows.append((k, " ".join(edited), "en", "s"))
+    return rows
+
+
+def test_texts_of_one_template_make_no_row_per_pair(make_documents, monkeypatch):
+    rows = template_rows(200, lambda k: 6)
+    shingles = [plain_shingles(r[1]) for r in rows]
+    linked = sum(
+        plain_similarity(a, b) >= 0.8 for k, a in enumerate(shingles) for b in shingles[k + 1 :]
+    )
+    assert linked < 20
+    sent, similar = [], simhash._similar
+    monkeypatch.setattr(
+        simhash, "_similar", lambda pairs, *rest: sent.append(pairs.count()) or similar(pairs, *rest)
+    )
+    assert 180 <= simhash.one_of_each(make_documents(rows)).count() <= 200
+    assert sum(sent) < 200 * 12  # all pairs are 19,900
+
+
+def test_blocks_of_a_family_match_brute_force(make_documents, monkeypatch):
+    rows = template_rows(120, lambda k: k % 9)
+    shingles = {r[0]: plain_shingles(r[1]) for r in rows}
+    root = {i: i for i in shingles}
+    for a in shingles:
+        for b in shingles:
+            if a < b and root[a] != root[b] and plain_similarity(shingles[a], shingles[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    assert 10 < len(set(root.values())) < 110
+    for texts, most in ((4096, 1_000_000), (25, 1_000_000), (4096, 5_000)):
+        monkeypatch.setattr(simhash, "BLOCK_TEXTS", texts)
+        monkeypatch.setattr(simhash, "BLOCK_SHINGLES", most)
+        kept = {r["doc_id"] for r in simhash.one_of_each(make_documents(rows)).collect()}
+        assert kept == set(root.values())

@@ -17,6 +17,9 @@ from trialweave.session import materialise
 #: Rows of an index bucket above which it is compared in blocks instead of joined.
 FULL_BUCKET = 256
 BLOCK = 1024
+#: Texts and shingles of a block in which the links of a family are verified.
+BLOCK_TEXTS = 4096
+BLOCK_SHINGLES = 1_000_000
 
 
 def shingle_hashes(text: str | None, size: int, seed: int) -> np.ndarray:
@@ -266,11 +269,26 @@ def _within(pairs: DataFrame, prints: DataFrame, radius: int, words: int) -> Dat
 def star_links(
     prints: DataFrame, radius: int, segments: int, words: int, ball: int, first_radius: int
 ) -> DataFrame:
-    """Links of each node to the smallest node filed in a bucket it looks up.
+    """The candidates of ``star_candidates`` whose whole fingerprints are within ``radius``."""
+    found = star_candidates(prints, radius, segments, words, ball, first_radius)
+    return _within(found, prints, radius, words)
 
-    At most one link per probe, however many near copies meet in a bucket, and only where
+
+def star_candidates(
+    prints: DataFrame,
+    radius: int,
+    segments: int,
+    words: int,
+    ball: int,
+    first_radius: int,
+    most: int | None = None,
+) -> DataFrame:
+    """Pairs of each node and the smallest node filed in a bucket it looks up.
+
+    At most one pair per probe, however many near copies meet in a bucket, and only where
     the first two words differ by ``first_radius`` bits each or fewer, together: enough to
-    draw most of a large group together before its remaining links are sought.
+    draw most of a large group together before its remaining links are sought.  ``most``
+    keeps the pairs with that many smallest nodes.
     """
     cut, balls = _segments(words, segments), [ball] * segments
     first = [f"w{k}" for k in range(min(words, 2))]
@@ -285,10 +303,12 @@ def star_links(
     )
     close = _near_first("", "head_", words, radius, first_radius)
     pairs = looked.join(heads, "bucket").filter(close & (F.col("head") != F.col("node")))
-    ordered = pairs.select(
+    if most is not None:
+        kept = F.slice(F.sort_array(F.collect_set("head")), 1, most)
+        pairs = pairs.groupBy("node").agg(F.explode(kept).alias("head"))
+    return pairs.select(
         F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")
     ).distinct()
-    return _within(ordered, prints, radius, words)
 
 
 def drawn_together(stars: DataFrame) -> DataFrame:
@@ -362,6 +382,77 @@ def near_links(
     return small.unionByName(_full_links(looked, full, prints, radius, words)).distinct()
 
 
+def _verified_links(
+    members: DataFrame, sets: DataFrame, radius: int, words: int, percent: int
+) -> DataFrame:
+    """Spanning links (a, b) of the families, each verified by the shingles.
+
+    ``members`` has node, family, root (nodes of one root are joined already) and words;
+    those without shingles in ``sets`` are left out.
+
+    A family is cut into blocks of bounded numbers of texts and shingles.  Each pair of
+    blocks is compared in one task, which decides a link where it finds one and sends only
+    links between nodes not joined yet: fewer rows than texts, however many pairs are near.
+    """
+    names = [f"w{k}" for k in range(words)]
+    held = members.join(sets, "node")
+    count = F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES)
+    ).cast("long")
+    cut = (
+        held.groupBy("family")
+        .agg(count.alias("blocks"), F.min("root").alias("x"), F.max("root").alias("y"))
+        .filter("x <> y")
+        .select("family", "blocks")
+    )
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    others = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+        lambda o: F.struct(F.least(o, mine).alias("low"), F.greatest(o, mine).alias("high")),
+    )
+    units = (
+        held.join(cut, "family")
+        .withColumn("mine", mine)
+        .select("family", F.explode(others).alias("u"), "mine", "node", "root", *names, "shingles")
+        .select("family", "u.low", "u.high", "mine", "node", "root", *names, "shingles")
+    )
+
+    def forest(rows):
+        import pandas as pd
+
+        rows = rows.sort_values(["mine", "node"])
+        nodes, block = rows["node"].to_numpy(), rows["mine"].to_numpy()
+        bits = rows[names].to_numpy(np.int64).view(np.uint64)
+        sizes = rows["shingles"].map(len).to_numpy()
+        flat = np.unique(np.concatenate(rows["shingles"].to_list()), return_inverse=True)[1]
+        starts = np.cumsum(sizes) - sizes
+        group = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
+        own, out = np.zeros(len(flat), bool), []
+        split = np.searchsorted(block, block[-1])  # 0 if the block is compared with itself
+        for k in range(split or len(nodes) - 1):
+            after = split or k + 1
+            near = np.bitwise_count(bits[after:] ^ bits[k]).sum(axis=1) <= radius
+            near = after + np.flatnonzero(near & (group[after:] != group[k]))
+            fewer, more = np.minimum(sizes[near], sizes[k]), np.maximum(sizes[near], sizes[k])
+            near = near[fewer * 100 >= more * percent]
+            if not len(near):
+                continue
+            many = sizes[near]
+            ends = np.cumsum(many)
+            places = np.arange(ends[-1]) + np.repeat(starts[near] - ends + many, many)
+            mine = flat[starts[k] : starts[k] + sizes[k]]
+            own[mine] = True
+            both = np.diff(np.cumsum(own[flat[places]])[ends - 1], prepend=0)
+            own[mine] = False
+            for x in near[both * (100 + percent) >= (many + sizes[k]) * percent]:
+                if group[x] != group[k]:
+                    out.append(sorted((nodes[k], nodes[x])))
+                    group[group == group[x]] = group[k]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return units.groupBy("family", "low", "high").applyInPandas(forest, "a bigint, b bigint").distinct()
+
+
 def _full_links(
     looked: DataFrame, full: DataFrame, prints: DataFrame, radius: int, words: int
 ) -> DataFrame:
@@ -514,10 +605,11 @@ def one_of_each(
     16 bits with balls of one bit meet 99.5 % of them, taking bits as independent.  Buckets
     hold a 65,536th of the distinct texts.
 
-    Large groups are first drawn together by verified links, one candidate per probe; then
-    only candidates between nodes that are still apart are sought.  Both look at pairs whose
-    first two words differ by 2 * ``first_radius`` of 128 bits or fewer; at similarity 0.8
-    that is five standard deviations above the mean of 19.4, so practically none is lost.
+    Each text first meets a few candidates, at most one per probe.  The components of these
+    candidates are families; a family is compared in bounded blocks, which send verified
+    links alone, since its members may nearly all be too far apart to be linked.  Other
+    candidates are sought between families only.  Both look at pairs whose first two words
+    differ by 2 * ``first_radius`` of 128 bits or fewer; at similarity 0.8 that is five standard deviations above the mean of 19.4, so practically none is lost.
 
     Rows that repeat a doc_id and equal texts leave one row; rows with a null doc_id stay.
     Null and empty texts are copies of each other.  An empty table gives no rows.
@@ -532,20 +624,28 @@ def one_of_each(
         "prints",
     )
     nodes = prints.select("node", *names)
-    heads = materialise(
-        star_links(nodes, radius, segments, words, ball=1, first_radius=first_radius), "heads"
+    met = materialise(
+        star_candidates(nodes, radius, segments, words, ball=1, first_radius=first_radius, most=8),
+        "met",
     )
-    sets = materialise(_shingle_sets(known, prints, _ends(heads), shingle, seed), "sets")
+    sets = materialise(_shingle_sets(known, prints, _ends(met), shingle, seed), "sets")
+    heads = materialise(_within(met, nodes, radius, words), "heads")
     stars = materialise(_similar(heads, sets, percent), "stars")
+    families = components(met).withColumnRenamed("root", "family")
     apart = materialise(
-        nodes.join(drawn_together(stars), "node", "left").withColumn("root", F.coalesce("root", "node")),
+        nodes.join(drawn_together(stars), "node", "left")
+        .join(families, "node", "left")
+        .withColumns({c: F.coalesce(c, "node") for c in ("root", "family")}),
         "apart",
     )
-    rest = near_links(apart, radius, segments, words, ball=1, first_radius=first_radius)
+    between = apart.select("node", F.col("family").alias("root"), *names)
+    rest = near_links(between, radius, segments, words, ball=1, first_radius=first_radius)
     rest = materialise(rest.join(heads, ["a", "b"], "left_anti"), "rest")
     new = _ends(rest).join(sets, "node", "left_anti")
     more = materialise(_shingle_sets(known, prints, new, shingle, seed), "sets")
-    linked = components(stars.unionByName(_similar(rest, sets.unionByName(more), percent)))
+    inside = _verified_links(apart, sets, radius, words, percent)
+    across = _similar(rest, sets.unionByName(more), percent)
+    linked = components(stars.unionByName(inside).unionByName(across))
     stay = (
         prints.join(linked, "node", "left")
         .groupBy(F.coalesce("root", "node").alias("root"))
